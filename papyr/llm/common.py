@@ -125,5 +125,60 @@ def runs_by_key(
         yield pa.Table.from_batches(held)
 
 
-def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def dealt_in_blocks(rows: DataFrame, key: str, member: str, size: int, bounded: bool = False) -> DataFrame:
+    """`rows` with (block, x, y, cell): members of a group of over `size` go to all block pairs they take part in.
+
+    Rows of one cell, a hash of (key, x, y), are compared with each other where
+    x = y, and across the blocks x and y otherwise; so every pair of a group
+    meets in one cell and no cell holds more than about 2 * size rows.
+    bounded: the number of keys has a limit, so the table of large groups may
+    be broadcast.
+    """
+    large = rows.groupBy(key).count().where(F.col("count") > size).select(key, F.ceil(F.col("count") / size).cast("int").alias("blocks"))
+    dealt = rows.join(F.broadcast(large) if bounded else large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return (
+        dealt.withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+        .drop("blocks", "other")
+        .withColumn("cell", F.xxhash64(key, "x", "y"))
+    )
+
+
+def pairs_in_cells(t: pa.Table, key: str, value: str, near: Callable, small: int = 64):
+    """Index pairs (p, q) of rows of one (key, x, y) for which near(values of p, values of q).
+
+    Works through small groups together and through large ones by blocks of
+    rows, so memory stays bounded.  Returns (table in group order, p, q).
+    """
+    import numpy as np
+
+    k, v, block, x, y = (t.column(c).to_numpy() for c in (key, value, "block", "x", "y"))
+    order = np.lexsort((block, y, x, k))
+    k, v, block, x, y = (a[order] for a in (k, v, block, x, y))
+    change = (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    head = np.flatnonzero(np.concatenate(([True], change)))
+    count = np.diff(np.concatenate((head, [len(k)])))
+    ps, qs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    few = count <= small
+    row = np.repeat(few, count)
+    group, at = np.repeat(np.arange(len(head)), count)[row], np.flatnonzero(row)
+    for step in range(1, int(count[few].max(initial=1))):
+        i = np.flatnonzero(group[step:] == group[:-step])
+        if not len(i):
+            break
+        p, q = at[i], at[i + step]
+        keep = ((x[p] == y[p]) | (block[p] != block[q])) & near(v[p], v[q])
+        ps.append(p[keep]), qs.append(q[keep])
+    for s, n in zip(head[~few], count[~few], strict=True):
+        one = x[s] == y[s]
+        m = n if one else int((block[s : s + n] == x[s]).sum())
+        base = s if one else s + m
+        for i in range(s, s + m, 128):
+            top = min(i + 128, s + m)
+            p, q = np.nonzero(near(v[i:top, None], v[None, base : s + n]))
+            p, q = p + i, q + base
+            if one:
+                p, q = p[p < q], q[p < q]
+            ps.append(p), qs.append(q)
+    return order, np.concatenate(ps), np.concatenate(qs)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyr.llm.common import NULL_ID, Tables, id_of, read, runs_by_key, width
+from papyr.llm.common import NULL_ID, Tables, dealt_in_blocks, id_of, pairs_in_cells, read, runs_by_key, width
 from papyr.llm.components import connected_components
 
 BITS = 64
@@ -124,45 +124,15 @@ def _canonical(bucket: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one (bucket, block pair) within CODE_RADIUS; rows are sorted by `cell`."""
+    """Pairs of a cell within CODE_RADIUS, each from its first bucket only."""
+    near = lambda a, b: np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= CODE_RADIUS
     for t in runs_by_key(batches, "cell", 50_000):
-        cell, bucket, ids, code, block, x, y = (t.column(c).to_numpy() for c in ("cell", "bucket", "id", "code", "block", "x", "y"))
-        o = np.lexsort((block, y, x, bucket, cell))
-        bucket, ids, code, block, x, y = (v[o] for v in (bucket, ids, code, block, x, y))
-        code, bucket = code.view(np.uint64), bucket.view(np.uint64)
-        change = (bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        head = np.flatnonzero(np.concatenate(([True], change)))
-        size = np.diff(np.concatenate((head, [len(ids)])))
-        a, b = [], []
-        small = size <= 64
-        row = np.repeat(small, size)
-        group = np.repeat(np.arange(len(head)), size)[row]
-        at = np.flatnonzero(row)
-        for step in range(1, int(size[small].max(initial=1))):
-            near = np.flatnonzero(group[step:] == group[:-step])
-            if not len(near):
-                break
-            p, q = at[near], at[near + step]
-            keep = (np.bitwise_count(code[p] ^ code[q]) <= CODE_RADIUS) & ((x[p] == y[p]) | (block[p] != block[q]))
-            p, q = p[keep], q[keep]
-            keep = _canonical(bucket[p], code[p], code[q])
-            a.append(p[keep]), b.append(q[keep])
-        for s, n in zip(head[~small], size[~small], strict=True):
-            one = x[s] == y[s]
-            m = n if one else int((block[s : s + n] == x[s]).sum())
-            for i in range(s, s + m, 256):
-                top = min(i + 256, s + m)
-                base = i if one else s + m
-                p, q = np.nonzero(np.bitwise_count(code[i:top, None] ^ code[None, base : s + n]) <= CODE_RADIUS)
-                p, q = p + i, q + base
-                if one:
-                    p, q = p[p < q], q[p < q]
-                keep = _canonical(bucket[p], code[p], code[q])
-                a.append(p[keep]), b.append(q[keep])
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            lo, hi = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
+        order, p, q = pairs_in_cells(t, "bucket", "code", near)
+        bucket, ids, code = (t.column(c).to_numpy()[order] for c in ("bucket", "id", "code"))
+        code = code.view(np.uint64)
+        keep = _canonical(bucket[p].view(np.uint64), code[p], code[q])
+        p, q = ids[p[keep]], ids[q[keep]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
 
 def _rerank(threshold: float):
@@ -190,14 +160,7 @@ def similar_pairs(vectors: DataFrame, tables: Tables, threshold: float = THRESHO
     codes = tables.settle(vectors.mapInArrow(_codes(mean, projection), "id long, code long"))
     entered = codes.mapInArrow(_enter, "bucket long, id long, code long")
     # at most TABLES * 2**16 buckets exist, whatever the input; that bounds the broadcast
-    large = entered.groupBy("bucket").count().where(F.col("count") > BUCKET).select("bucket", F.ceil(F.col("count") / BUCKET).cast("int").alias("blocks"))
-    dealt = entered.join(F.broadcast(large), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = (
-        dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", "id", "code", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-        .withColumn("cell", F.xxhash64("bucket", "x", "y"))
-    )
+    dealt = dealt_in_blocks(entered, "bucket", "id", BUCKET, bounded=True)
     pairs = (
         dealt.repartition(width(spark), "cell").sortWithinPartitions("cell").mapInArrow(_compare, "a long, b long")
     )

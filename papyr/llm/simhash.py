@@ -25,10 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyr.llm import textunits as tu
-from papyr.llm.common import NULL_ID, Tables, id_of, read, runs_by_key, slices, width
+from papyr.llm.common import NULL_ID, Tables, dealt_in_blocks, id_of, pairs_in_cells, read, runs_by_key, slices, width
 from papyr.llm.components import connected_components, forest
 
 SEGMENTS = 16
+#: Views by which documents meet that are less alike than the grid can see, and their shingles.
+VIEWS, VIEW_SIZE = 8, 3
+#: Differing bits of two similar documents that meet in a view.
+SIMILAR_BITS = 11
+#: Members of a view above which it is dealt out in blocks.
+BUCKET = 4_000
 #: Members of a cell up to which its pairs are compared directly.
 CROWD = 48
 
@@ -170,5 +176,73 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3) -> D
     )
 
 
+def view_keys(hashes: np.ndarray, views: int) -> np.ndarray:
+    """SimHash features by view: a hash of the VIEW_SIZE shingles that are smallest under the view's own hash."""
+    own = np.unique(hashes)
+    out = np.empty(views, np.uint64)
+    for v in range(views):
+        m = tu.mix(own ^ tu.mix(np.array([v + 1], np.uint64)))
+        m = np.sort(np.partition(m, VIEW_SIZE - 1)[:VIEW_SIZE] if len(m) > VIEW_SIZE else m)
+        key = np.array([v], np.uint64)
+        for x in m:
+            key = tu.fold(key, np.array([x], np.uint64))
+        out[v] = key[0]
+    return out
+
+
+def sketches(docs: DataFrame, shingle: int, views: int) -> DataFrame:
+    """(id, fp, views): the fingerprint and the view keys of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2_000_000):
+            fps, keys = [], []
+            for x in batch.column("text").to_pylist():
+                h = shingle_hashes(x or b"", shingle)
+                fps.append(fingerprint(h))
+                keys.append(view_keys(h, views).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "fp", "views"],
+            )
+
+    plain = docs.select(id_of().alias("id"), F.col("text").cast("binary").alias("text"))
+    return plain.mapInArrow(run, "id long, fp long, views array<long>")
+
+
+def _verify_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    near = lambda a, b: np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= SIMILAR_BITS
+    for t in runs_by_key(batches, "cell", 50_000):
+        order, p, q = pairs_in_cells(t, "view", "fp", near)
+        rep = t.column("rep").to_numpy()[order]
+        a, b = forest(rep[p], rep[q])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def similar_documents(spark: SparkSession, docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(id, component): groups of documents whose word shingles agree to about 0.8 or more.
+
+    Texts that share four fifths of their shingles differ in about 9 of 64
+    bits, far more than the grid's 2.  So besides the grid's links documents
+    meet where one of VIEWS views of their shingles is equal (each is, with
+    probability 0.8 ** VIEW_SIZE), and are linked where their fingerprints
+    differ in at most SIMILAR_BITS bits.
+    """
+    tables = Tables(spark)
+    rows = tables.settle(sketches(docs, shingle, VIEWS))
+    classes = tables.settle(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.min_by("views", "id").alias("views")))
+    seen = classes.select(F.explode("views").alias("view"), "fp", "rep")
+    dealt = dealt_in_blocks(seen, "view", "rep", BUCKET)
+    by_view = dealt.repartition(width(spark), "cell").sortWithinPartitions("cell").mapInArrow(_verify_views, "a long, b long")
+    joined = connected_components(links(classes.select("fp", "rep")).union(by_view), tables)
+    of_class = classes.join(joined, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    return rows.select("id", "fp").join(of_class, "fp").select("id", "component")
+
+
+def keep_representatives(spark: SparkSession, docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The rows of `docs` with the smallest doc_id of their group of similar documents."""
+    gone = similar_documents(spark, docs, shingle).where("id <> component").select(F.col("id").alias("_gone")).distinct()
+    return docs.join(gone, id_of() == F.col("_gone"), "left_anti")
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, read(spark, sf_dir, "documents"))
