@@ -29,7 +29,7 @@ from papyr.llm.suffix_dedup import merge_windows
 
 WINDOW = 13
 TRIGGER = 6
-SHARD_ROWS = 16_000
+SHARD_ROWS = 6_000
 
 
 class WaveletMatrix:
@@ -144,7 +144,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, digest: bool = False) -
     kind = "kept_sha256" if digest else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "z", 2_000_000):
+        for batch in slices(batches, "z", 500_000):
             rows = []
             for i, z, spans in zip(*(batch.column(c).to_pylist() for c in ("id", "z", "spans")), strict=True):
                 words = base.unpack(z).split()

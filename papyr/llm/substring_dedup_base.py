@@ -27,7 +27,7 @@ from papyr.llm import textunits as tu
 from papyr.llm.common import NULL_ID, Tables, id_of, slices, width
 
 #: Bytes of text that a task parses at once; bounds its arrays.
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 1_000_000
 #: Dictionary rows of one trigger above which they are split by window.
 GROUP = 1_000
 _SIGN = np.uint64(1 << 63)
@@ -101,7 +101,7 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     press = zstandard.ZstdCompressor(level=3)
-    for batch in slices(batches, "text", 16_000_000):
+    for batch in slices(batches, "text", 4_000_000):
         z = [None if x is None else press.compress(x) for x in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(z, pa.binary())], names=["id", "z"])
 
@@ -152,7 +152,7 @@ def repeated_ranges(
     )
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "z", 1_000_000):
+        for batch in slices(batches, "z", 400_000):
             got: list[list] = [[], [], [], []]
             for i, z, asks in zip(*(batch.column(x).to_pylist() for x in ("id", "z", "asks")), strict=True):
                 s, n, t, p = (np.array([a[k] for a in asks], np.int64) for k in ("start", "n", "trig", "parts"))

@@ -32,7 +32,7 @@ WINDOW = 100
 #: Length of a trigger; WINDOW - TRIGGER + 1 spans compete in each window.
 TRIGGER = 40
 #: Dictionary phrases that a shard sorts at once.
-SHARD_ROWS = 16_000
+SHARD_ROWS = 6_000
 
 
 def suffix_ranks(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
@@ -124,7 +124,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, digest: bool = False) -
     kind = "kept_sha256 string" if digest else "kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "z", 2_000_000):
+        for batch in slices(batches, "z", 500_000):
             rows = []
             for i, z, spans in zip(*(batch.column(c).to_pylist() for c in ("id", "z", "spans")), strict=True):
                 text = base.unpack(z)
