@@ -31,7 +31,7 @@ from papyr.llm.common import read, slices
 
 BUCKETS = 1 << 13
 GRAMS = (1, 2, 3, 4)
-PER_LANGUAGE = 512
+PER_LANGUAGE = 256
 SALTS = 16
 UNDETERMINED = "und"
 
@@ -83,25 +83,30 @@ def features(texts: list[str]) -> np.ndarray:
     return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss and balanced classes, by accelerated gradient steps; y is +-1."""
+def fit_svm(gram: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 150) -> np.ndarray:
+    """Linear machine with squared hinge loss and balanced classes, by accelerated gradient steps; y is +-1.
+
+    The weights stay in the span of the training rows, so the steps are made on
+    the rows' coefficients, which are returned: gram is X X' (with the bias as
+    a constant feature) and the weights are X' times the result.
+    """
     n = len(y)
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * cost
-    x = np.concatenate((x, np.ones((n, 1), x.dtype)), axis=1)
     # largest curvature: 1 (regulariser) + 2 * top eigenvalue of the weighted Gram matrix
-    v = np.ones(x.shape[1]) / np.sqrt(x.shape[1])
+    root = np.sqrt(weight)
+    v = np.ones(n) / np.sqrt(n)
     for _ in range(12):
-        v = x.T @ (weight * (x @ v))
+        v = root * (gram @ (root * v))
         top = np.linalg.norm(v)
         v /= max(top, 1e-12)
     rate = 1 / (1 + 2.2 * top)
-    w = look = np.zeros(x.shape[1])
+    a = look = np.zeros(n)
     for k in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ look))
-        new = look - rate * (look - 2 * x.T @ (weight * slack * y))
-        look = new + k / (k + 3) * (new - w)
-        w = new
-    return w[:-1], float(w[-1])
+        slack = np.maximum(0, 1 - y * (gram @ look))
+        new = look - rate * (look - 2 * weight * slack * y)
+        look = new + k / (k + 3) * (new - a)
+        a = new
+    return a
 
 
 @dataclass
@@ -142,15 +147,18 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     names = sorted(set(families))
     at = np.array([languages.index(v) for v in langs])
     fam = np.array([names.index(families[i]) for i in at])
+    gram = (x @ x.T).astype(np.float64) + 1
     columns = []
     if len(names) > 1:
-        columns += [fit_svm(x, np.where(fam == k, 1.0, -1.0)) for k in range(len(names))]
+        columns += [fit_svm(gram, np.where(fam == k, 1.0, -1.0)) for k in range(len(names))]
     pairs = [(a, b) for a in range(len(languages)) for b in range(a + 1, len(languages)) if families[a] == families[b]]
     for a, b in pairs:
-        own = (at == a) | (at == b)
-        columns.append(fit_svm(x[own], np.where(at[own] == a, 1.0, -1.0)))
-    weights = np.stack([c[0] for c in columns], 1) if columns else np.zeros((x.shape[1], 0))
-    return Model(languages, families, weights.astype(np.float32), np.array([c[1] for c in columns], np.float32), pairs)
+        own = np.flatnonzero((at == a) | (at == b))
+        c = np.zeros(len(x))
+        c[own] = fit_svm(gram[np.ix_(own, own)], np.where(at[own] == a, 1.0, -1.0))
+        columns.append(c)
+    c = np.stack(columns, 1) if columns else np.zeros((len(x), 0))
+    return Model(languages, families, x.T @ c.astype(np.float32), c.sum(0).astype(np.float32), pairs)
 
 
 def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -182,7 +190,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None
     if not got.num_rows:
         return None
     rows = sorted(zip(got.column("lang").to_pylist(), got.column("x").to_pylist(), strict=True))  # whatever the order of tasks
-    x = np.stack([np.frombuffer(v, np.float32) for _, v in rows]).astype(np.float64)
+    x = np.stack([np.frombuffer(v, np.float32) for _, v in rows])
     return fit(x, [v for v, _ in rows])
 
 
