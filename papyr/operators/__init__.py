@@ -1 +1 @@
-"""See the module docstrings."""
+"""Operators on DataFrames: paragraphs in order, request and metric logs."""

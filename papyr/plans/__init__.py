@@ -1 +1 @@
-"""See the module docstrings."""
+"""The registered queries."""

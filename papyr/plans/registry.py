@@ -1,4 +1,6 @@
 """The registered queries of the engine and the SQL they are checked against."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from papyr.plans import catalog, files, structure, text
+
+QUERIES: dict = {**text.QUERIES, **structure.QUERIES, **catalog.QUERIES, **files.QUERIES}
+SQL: dict = {**text.SQL, **structure.SQL, **catalog.SQL, **files.SQL}

@@ -1 +1 @@
-"""See the module docstrings."""
+"""Readers of office containers."""

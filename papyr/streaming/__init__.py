@@ -1 +1 @@
-"""See the module docstrings."""
+"""Operators on streams."""
