@@ -100,8 +100,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no benchmark passage."""
-    found = contaminated_pairs(docs, items).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, id_of() == F.col("_hit"), "left_anti")
+    found = contaminated_pairs(docs, items).select(F.col("doc_id").alias("_papyr_hit")).distinct()
+    return docs.join(found, id_of() == F.col("_papyr_hit"), "left_anti")
 
 
 def _sql() -> str:

@@ -54,11 +54,14 @@ def usable(c: str = "embedding") -> F.Column:
     )
 
 
-def fit_rotation(x: np.ndarray, bits: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection) of iterative quantisation on the rows of x, already of unit length."""
+def fit_rotation(x: np.ndarray, bits: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Projection of iterative quantisation on the rows of x, already of unit length.
+
+    The rows are not centred: planes through the origin cut a small angle
+    rarely, wherever the vectors lie, whereas planes through the mean of one
+    tight group would cut it everywhere.
+    """
     dim = x.shape[1]
-    mean = x.mean(0)
-    x = x - mean
     _, axes = np.linalg.eigh(x.T @ x)
     axes = axes[:, ::-1][:, : min(bits, dim)]
     rng = np.random.default_rng(0)
@@ -70,7 +73,7 @@ def fit_rotation(x: np.ndarray, bits: int, rounds: int = ROUNDS) -> tuple[np.nda
         code = np.where(v @ rot >= 0, 1.0, -1.0)
         u, _, w = np.linalg.svd(code.T @ v)
         rot = (u @ w).T
-    return mean, axes @ rot
+    return axes @ rot
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -79,12 +82,12 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
 
 
-def _codes(mean: np.ndarray, projection: np.ndarray):
+def _codes(projection: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = (_matrix(batch.column("v")) - mean) @ projection >= 0
+            bits = _matrix(batch.column("v")) @ projection >= 0
             code = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(code.view(np.int64))], names=["id", "code"])
 
@@ -155,9 +158,9 @@ def similar_pairs(vectors: DataFrame, tables: Tables, threshold: float = THRESHO
         return none
     lengths = pa.compute.list_value_length(sample).to_numpy(zero_copy_only=False)
     dim = int(np.bincount(lengths).argmax())
-    mean, projection = fit_rotation(_matrix(sample.filter(pa.array(lengths == dim))), BITS)
+    projection = fit_rotation(_matrix(sample.filter(pa.array(lengths == dim))), BITS)
     vectors = vectors.where(F.size("v") == dim)
-    codes = tables.settle(vectors.mapInArrow(_codes(mean, projection), "id long, code long"))
+    codes = tables.settle(vectors.mapInArrow(_codes(projection), "id long, code long"))
     entered = codes.mapInArrow(_enter, "bucket long, id long, code long")
     # at most TABLES * 2**16 buckets exist, whatever the input; that bounds the broadcast
     dealt = dealt_in_blocks(entered, "bucket", "id", BUCKET, bounded=True)

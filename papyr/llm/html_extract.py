@@ -5,7 +5,8 @@ classified by itself: places that are never part of an article (menus, footers,
 asides, forms, adverts, comments, hidden parts) are bad; others are judged by
 link density, length and the density of stop words, as good, nearly good, short
 or bad.  In the second pass ambiguous blocks inherit the label of the nearest
-decided neighbours.  Where a page marks its article, blocks outside it are bad.
+decided neighbours.  Where a page marks its article, blocks outside it are bad;
+where nothing on a page is decided, all of it is kept.
 
 Defined results: a null or empty page has the empty text; broken markup is read
 as far as it goes, unclosed elements end with their parents; every character
@@ -223,7 +224,7 @@ def classify(found: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> lis
             j = after[i] if found[i][2] or (after[i] - i) < (i - before[i]) else before[i]
             keep.append(first[j] == "good")
         else:
-            keep.append("good" in sides)
+            keep.append(not sides or "good" in sides)
     return keep
 
 

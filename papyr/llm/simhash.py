@@ -240,8 +240,8 @@ def similar_documents(spark: SparkSession, docs: DataFrame, shingle: int = 5) ->
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The rows of `docs` with the smallest doc_id of their group of similar documents."""
-    gone = similar_documents(spark, docs, shingle).where("id <> component").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, id_of() == F.col("_gone"), "left_anti")
+    gone = similar_documents(spark, docs, shingle).where("id <> component").select(F.col("id").alias("_papyr_gone")).distinct()
+    return docs.join(gone, id_of() == F.col("_papyr_gone"), "left_anti")
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ def suffix_ranks(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     size = min(8, depth)
     n = len(data)
     value = np.zeros(n, np.uint64)
-    for k in range(size):
+    for k in range(min(size, n)):
         value[: n - k] |= data[k:].astype(np.uint64) << np.uint64(8 * (7 - k))
     live = np.flatnonzero(room >= size)
     rank = np.full(n, -1, np.int64)
