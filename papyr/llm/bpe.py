@@ -29,7 +29,7 @@ from papyr.llm.common import process_state, read, slices
 
 _NONE = 1 << 62
 #: Words that a worker keeps with their ids.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -96,6 +96,28 @@ def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return [s for s in symbols if s]
 
 
+class Words(dict):
+    """Ids by word, computed when first asked for.
+
+    Holds two generations of at most `most` words: when the young one is full
+    the old one goes, so frequent words stay and memory is bounded.
+    """
+
+    def __init__(self, compute, most: int):
+        super().__init__()
+        self.compute, self.most, self.old = compute, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.compute(word)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+
 class Codec:
     """Encodes and decodes as the tokenizer file says."""
 
@@ -123,20 +145,14 @@ class Codec:
         self.tokens = [""] * top
         for t, i in [*self.vocab.items(), *self.special.items()]:
             self.tokens[i] = t
-        self.cache: dict[str, bytes] = {}
+        self.cache = Words(self.encode_word, CACHE_WORDS // 2)
 
     def encode_word(self, word: str) -> bytes:
         """Ids of one word as little-endian unsigned 32-bit integers."""
-        found = self.cache.get(word)
-        if found is None:
-            symbols = [self.symbols[b] for b in word.encode()]
-            symbols[-1] += self.suffix
-            ids = [i for s in merge(symbols, self.ranks) if (i := self.vocab.get(s)) is not None]
-            found = np.array(ids, "<u4").tobytes()
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = found
-        return found
+        symbols = [self.symbols[b] for b in word.encode()]
+        symbols[-1] += self.suffix
+        ids = [i for s in merge(symbols, self.ranks) if (i := self.vocab.get(s)) is not None]
+        return np.array(ids, "<u4").tobytes()
 
     def normal(self, text: str) -> str:
         if self.nfc and not text.isascii():
@@ -147,12 +163,8 @@ class Codec:
         return text
 
     def _plain(self, text: str) -> bytes:
-        words = self.words(self.normal(text))
         cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            return b"".join([self.encode_word(w) for w in words])
+        return b"".join([cache[w] for w in self.words(self.normal(text))])
 
     def encode(self, text: str) -> bytes:
         if self.split_special is None or not self.split_special.search(text):
