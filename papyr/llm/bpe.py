@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -29,7 +30,7 @@ from papyr.llm.common import process_state, read, slices
 
 _NONE = 1 << 62
 #: Words that a worker keeps with their ids.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -152,7 +153,7 @@ class Codec:
         symbols = [self.symbols[b] for b in word.encode()]
         symbols[-1] += self.suffix
         ids = [i for s in merge(symbols, self.ranks) if (i := self.vocab.get(s)) is not None]
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def normal(self, text: str) -> str:
         if self.nfc and not text.isascii():
