@@ -11,9 +11,15 @@ from papyr.functions import charclass as cc
 
 
 def _count(c: Column, pattern: str) -> Column:
+    """Matches of a pattern; each is a string of its own, so for single characters see _chars."""
     return F.regexp_count(c, F.lit(pattern)).cast("long")
 
 
+def _chars(c: Column, one: str) -> Column:
+    """Characters of a class, as what is missing when its runs are deleted."""
+    return (F.length(c) - F.length(F.regexp_replace(c, one + "+", ""))).cast("long")
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, as Python strips it."""
     return F.regexp_replace(c, f"^[{cc.WS}]+|[{cc.WS}]+$", "")
@@ -47,7 +53,7 @@ def keep_allowed(c: Column) -> Column:
 
 def korean_ratio(c: Column) -> Column:
     """Korean characters of all that are not white space; 0 if there are none."""
-    return F.coalesce(_count(c, f"[{cc.KOREAN}]") / F.nullif(_count(c, f"[^{cc.WS}]"), F.lit(0)), F.lit(0.0))
+    return F.coalesce(_chars(c, f"[{cc.KOREAN}]") / F.nullif(_chars(c, f"[^{cc.WS}]"), F.lit(0)), F.lit(0.0))
 
 
 def meaningful(token: Column) -> Column:
@@ -92,7 +98,7 @@ def clean_line(c: Column) -> Column:
     bare = F.regexp_replace(narrow, rf"[ࡂृ{cc.CONTROLS}{cc.SPECIALS}]", "")
     bare = F.regexp_replace(F.regexp_replace(bare, "Bƀ+", ""), "䤀耈蠂", "")
     line = squeeze(bare)
-    known = _count(line, r"[\x{AC00}-\x{D7AF}A-Za-z\p{Nd}]")
+    known = _chars(line, r"[\x{AC00}-\x{D7AF}A-Za-z\p{Nd}]")
     return F.when((F.length(line) >= 3) & (known < F.length(line) * 0.2), "").otherwise(line)
 
 
@@ -150,36 +156,34 @@ def list_level(c: Column) -> Column:
     return F.floor((F.length(c) - F.length(F.regexp_replace(c, f"^[{cc.WS}]+", ""))) / 2).cast("long") + 1
 
 
-def sentences(c: Column) -> Column:
-    return F.filter(F.split(c, "[.!?]+"), lambda s: s.rlike(f"[^{cc.WS}]"))
+def sentence_count(c: Column) -> Column:
+    """Runs between sentence ends that are not blank."""
+    return _count(c, f"[{cc.WS}]*[^{cc.WS}.!?][^.!?]*")
 
 
 def text_statistics(c: Column) -> dict[str, Column]:
     """Counts and ratios of a text by name; ratios are rounded to 6 places."""
     n = F.length(c).cast("long")
     own = F.greatest(n, F.lit(1))
-    parts = sentences(c)
     return {
         "char_count": n,
         "char_count_no_spaces": F.length(F.translate(c, " \n", "")).cast("long"),
         "word_count": words(c),
-        "line_count": _count(c, "\n") + 1,
-        "korean_ratio": F.round(_count(c, f"[{cc.HANGUL}]") / own, 6),
-        "english_ratio": F.round(_count(c, "[A-Za-z]") / own, 6),
-        "sentence_count": F.size(parts).cast("long"),
-        # sentence ends are no white space, so a word that holds one counts in both sentences
-        "avg_sentence_length": F.round(
-            F.aggregate(parts, F.lit(0).cast("long"), lambda a, s: a + words(s)) / F.greatest(F.size(parts), F.lit(1)), 6
-        ),
+        "line_count": _chars(c, "\n") + 1,
+        "korean_ratio": F.round(_chars(c, f"[{cc.HANGUL}]") / own, 6),
+        "english_ratio": F.round(_chars(c, "[A-Za-z]") / own, 6),
+        "sentence_count": sentence_count(c),
+        # a sentence end divides a word that holds it, as splitting at the ends does
+        "avg_sentence_length": F.round(_count(c, f"[^{cc.WS}.!?]+") / F.greatest(sentence_count(c), F.lit(1)), 6),
     }
 
 
 def quality(c: Column) -> dict[str, Column]:
     """Shares of kinds of characters in percent, by name; nulls for an empty text but for quality_score 0."""
     n = F.nullif(F.length(c), F.lit(0))
-    korean, english, digits = _count(c, r"[\x{AC00}-\x{D7AF}]"), _count(c, "[A-Za-z]"), _count(c, r"\p{Nd}")
-    noise = _count(c, rf"[ࡂृ{cc.CONTROLS}]")
-    readable = korean + english + digits + _count(c, "[ \n]")
+    korean, english, digits = _chars(c, r"[\x{AC00}-\x{D7AF}]"), _chars(c, "[A-Za-z]"), _chars(c, r"\p{Nd}")
+    noise = _chars(c, rf"[ࡂृ{cc.CONTROLS}]")
+    readable = korean + english + digits + _chars(c, "[ \n]")
     return {
         "total_chars": n.cast("long"), "korean_chars": korean, "english_chars": english, "numbers": digits,
         "korean_pct": F.round(korean / n * 100, 6), "noise_pct": F.round(noise / n * 100, 6),
@@ -189,20 +193,20 @@ def quality(c: Column) -> dict[str, Column]:
 
 def noise_counts(c: Column) -> dict[str, Column]:
     return {
-        "control_chars": _count(c, f"[{cc.CONTROLS}]"),
-        "special_chars": _count(c, "[ࡂृ]"),
-        "unicode_specials": _count(c, f"[{cc.SPECIALS}]"),
-        "replacement_char": _count(c, r"\x{FFFD}"),
-        "zero_width": _count(c, f"[{cc.ZERO_WIDTH}]"),
+        "control_chars": _chars(c, f"[{cc.CONTROLS}]"),
+        "special_chars": _chars(c, "[ࡂृ]"),
+        "unicode_specials": _chars(c, f"[{cc.SPECIALS}]"),
+        "replacement_char": _chars(c, r"\x{FFFD}"),
+        "zero_width": _chars(c, f"[{cc.ZERO_WIDTH}]"),
     }
 
 
 def garbled_ok(c: Column) -> Column:
     """At least 10 characters, over half of them allowed, under a tenth garbled, and 11 Korean or 21 Latin letters."""
     n = F.length(c)
-    allowed = _count(c, f"[{cc.ALLOWED}{cc.ALLOWED_SPACES}]")
-    garbled = _count(c, f"[{cc.NOISE}&&[^{cc.ALLOWED_SPACES}]]")
-    return (n >= 10) & (allowed / n > 0.5) & (garbled / n < 0.1) & ((_count(c, f"[{cc.KOREAN}]") > 10) | (_count(c, "[A-Za-z]") > 20))
+    allowed = _chars(c, f"[{cc.ALLOWED}{cc.ALLOWED_SPACES}]")
+    garbled = _chars(c, f"[{cc.NOISE}&&[^{cc.ALLOWED_SPACES}]]")
+    return (n >= 10) & (allowed / n > 0.5) & (garbled / n < 0.1) & ((_chars(c, f"[{cc.KOREAN}]") > 10) | (_chars(c, "[A-Za-z]") > 20))
 
 
 def xml_escape(c: Column, quotes: bool = True) -> Column:

@@ -64,17 +64,20 @@ FROM d JOIN p USING (doc_id)"""
 )
 def doc_statistics(spark, sf_dir):
     """Text statistics of every document and of its lines; both come from one row, so nothing is shuffled."""
-    text = F.coalesce("text", F.lit(""))
-    lines = F.split(text, "\n")
-    counts = F.transform(lines, t.words)
-    return table(spark, sf_dir, "documents").select(
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # the counts of the lines are used four times and computed once
+    docs = docs.withColumn("counts", F.transform(F.split(text, "\n"), t.words))
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    emails = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(cc.TAGS[1][1])))
+    return docs.select(
         "doc_id",
-        *(c.alias(k) for k, c in t.text_statistics(text).items()),
-        F.size(lines).cast("long").alias("paragraph_count"),
-        F.round(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(lines), 6).alias("avg_paragraph_length"),
-        F.array_max(counts).alias("max_paragraph_length"),
-        F.array_min(counts).alias("min_paragraph_length"),
-        F.size(F.filter(lines, lambda x: x.rlike(cc.TAGS[1][1]))).cast("long").alias("email_paragraphs"),
+        *(c.alias(k) for k, c in (t.text_statistics(text) | {"word_count": total}).items()),
+        F.size("counts").cast("long").alias("paragraph_count"),
+        F.round(total / F.size("counts"), 6).alias("avg_paragraph_length"),
+        F.array_max("counts").alias("max_paragraph_length"),
+        F.array_min("counts").alias("min_paragraph_length"),
+        F.when(text.contains("@"), emails).otherwise(0).cast("long").alias("email_paragraphs"),
     )
 
 
