@@ -145,15 +145,18 @@ def dealt_in_blocks(rows: DataFrame, key: str, member: str, size: int, bounded:
     )
 
 
-def pairs_in_cells(t: pa.Table, key: str, value: str, near: Callable, small: int = 64):
+def pairs_in_cells(t: pa.Table, key: str, value, near: Callable, small: int = 64):
     """Index pairs (p, q) of rows of one (key, x, y) for which near(values of p, values of q).
 
+    value: a column's name, or an array with a row of numbers for each row of `t`.
+
     Works through small groups together and through large ones by blocks of
     rows, so memory stays bounded.  Returns (table in group order, p, q).
     """
     import numpy as np
 
-    k, v, block, x, y = (t.column(c).to_numpy() for c in (key, value, "block", "x", "y"))
+    k, block, x, y = (t.column(c).to_numpy() for c in (key, "block", "x", "y"))
+    v = t.column(value).to_numpy() if isinstance(value, str) else value
     order = np.lexsort((block, y, x, k))
     k, v, block, x, y = (a[order] for a in (k, v, block, x, y))
     change = (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])

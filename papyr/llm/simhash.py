@@ -31,8 +31,10 @@ from papyr.llm.components import connected_components, forest
 SEGMENTS = 16
 #: Views by which documents meet that are less alike than the grid can see, and their shingles.
 VIEWS, VIEW_SIZE = 8, 3
-#: Differing bits of two similar documents that meet in a view.
-SIMILAR_BITS = 11
+#: Words of 64 bits of the wide fingerprint that settles whether documents that meet in a view are similar.
+WIDE = 16
+#: Differing bits, of 64 * WIDE, of two similar documents: sets with a Jaccard similarity of 0.8 differ in 155 +- 11.
+SIMILAR_BITS = 172
 #: Members of a view above which it is dealt out in blocks.
 BUCKET = 4_000
 #: Members of a cell up to which its pairs are compared directly.
@@ -55,15 +57,30 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.fromiter((digest(flat[s:e], 42) for s, e in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64)
 
 
+_SALTS = tu.mix(np.arange(WIDE, dtype=np.uint64) + np.uint64(911))
+
+
+def fingerprint_words(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Words of a SimHash; bit i is set if it is set in over half the hashes.
+
+    The first word takes the hashes as they are, each other one a mix of its own.
+    """
+    total = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 255 * 16):
+        part = hashes[at : at + 255 * 16]
+        h = np.empty((len(part), words), np.uint64)
+        h[:, 0] = part
+        if words > 1:
+            h[:, 1:] = tu.mix(part[:, None] ^ _SALTS[None, 1:words])
+        bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little")
+        for row in range(0, len(part), 255):  # 255 ones fit a byte
+            total += bits[row : row + 255].sum(0, dtype=np.uint8)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)
+
+
 def fingerprint(hashes: np.ndarray) -> int:
-    """Bit i is set if it is set in over half the hashes."""
-    if not len(hashes):
-        return 0
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = np.ascontiguousarray(hashes[at : at + (1 << 16)])
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
+    """The 64-bit SimHash; zero for no hashes."""
+    return int(fingerprint_words(hashes, 1)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -191,50 +208,62 @@ def view_keys(hashes: np.ndarray, views: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int, views: int) -> DataFrame:
-    """(id, fp, views): the fingerprint and the view keys of every row."""
+    """(id, fp, wide, views): the fingerprint, the wide one and the view keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
-            fps, keys = [], []
+            wide, keys = [], []
             for x in batch.column("text").to_pylist():
                 h = shingle_hashes(x or b"", shingle)
-                fps.append(fingerprint(h))
+                wide.append(fingerprint_words(h, WIDE).view(np.int64))
                 keys.append(view_keys(h, views).view(np.int64))
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "fp", "views"],
+                [batch.column("id"), pa.array([w[0] for w in wide], pa.int64()), pa.array(wide, longs), pa.array(keys, longs)],
+                names=["id", "fp", "wide", "views"],
             )
 
     plain = docs.select(id_of().alias("id"), F.col("text").cast("binary").alias("text"))
-    return plain.mapInArrow(run, "id long, fp long, views array<long>")
+    return plain.mapInArrow(run, "id long, fp long, wide array<long>, views array<long>")
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether wide fingerprints, along the last axis, differ in at most SIMILAR_BITS bits."""
+    differ = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]), np.uint16)
+    for k in range(WIDE):
+        differ += np.bitwise_count(a[..., k] ^ b[..., k])
+    return differ <= SIMILAR_BITS
 
 
 def _verify_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    near = lambda a, b: np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= SIMILAR_BITS
     for t in runs_by_key(batches, "cell", 50_000):
-        order, p, q = pairs_in_cells(t, "view", "fp", near)
+        wide = t.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WIDE)
+        order, p, q = pairs_in_cells(t, "view", wide, similar)
         rep = t.column("rep").to_numpy()[order]
         a, b = forest(rep[p], rep[q])
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(id, component): groups of documents whose word shingles agree to about 0.8 or more.
+    """(id, component): groups of documents whose word shingles agree to 0.8 or more.
 
     Texts that share four fifths of their shingles differ in about 9 of 64
     bits, far more than the grid's 2.  So besides the grid's links documents
     meet where one of VIEWS views of their shingles is equal (each is, with
-    probability 0.8 ** VIEW_SIZE), and are linked where their fingerprints
-    differ in at most SIMILAR_BITS bits.
+    probability 0.8 ** VIEW_SIZE), and are linked where their wide
+    fingerprints, which tell similarity to about 0.03, differ in at most
+    SIMILAR_BITS bits.
     """
     tables = Tables(spark)
     rows = tables.settle(sketches(docs, shingle, VIEWS))
-    classes = tables.settle(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.min_by("views", "id").alias("views")))
-    seen = classes.select(F.explode("views").alias("view"), "fp", "rep")
+    classes = tables.settle(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.min_by(F.struct("views", "wide"), "id").alias("own")).select("fp", "rep", "own.*"))
+    views = classes.select(F.explode("views").alias("view"), "rep")
+    met = tables.settle(views.groupBy("view").count().where("count > 1").select("view"))
+    seen = classes.select(F.explode("views").alias("view"), "rep", "wide").join(met, "view", "left_semi")
     dealt = dealt_in_blocks(seen, "view", "rep", BUCKET)
     by_view = dealt.repartition(width(spark), "cell").sortWithinPartitions("cell").mapInArrow(_verify_views, "a long, b long")
     joined = connected_components(links(classes.select("fp", "rep")).union(by_view), tables)
-    of_class = classes.join(joined, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    of_class = classes.select("fp", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return rows.select("id", "fp").join(of_class, "fp").select("id", "component")
 
 

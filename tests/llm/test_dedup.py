@@ -173,6 +173,25 @@ def test_similar_documents(spark):
     assert sorted(r.doc_id for r in kept) == [*range(30), 99]
 
 
+def test_similar_documents_by_similarity(spark):
+    """Pairs of known Jaccard similarity: those of 0.85 or more are found, those of 0.65 or less are not."""
+    rng = random.Random(8)
+    rows, wanted = [], {}
+    for k in range(240):
+        a = [f"{k}-{rng.random()}" for _ in range(rng.choice((40, 300, 1500)))]
+        b = list(a)
+        for at in rng.sample(range(len(b)), max(1, round(len(b) * rng.uniform(0.004, 0.09)))):
+            b[at] = "y" + str(rng.random())
+        x, y = (set(simhash.shingle_hashes(" ".join(t).encode(), 5).tolist()) for t in (a, b))
+        wanted[k] = len(x & y) / len(x | y)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    kept = {r.doc_id for r in simhash.keep_representatives(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * k in kept for k in wanted)
+    assert sum(j >= 0.85 for j in wanted.values()) > 20 and sum(j <= 0.65 for j in wanted.values()) > 50
+    assert not [k for k, j in wanted.items() if j >= 0.85 and 2 * k + 1 in kept]
+    assert not [k for k, j in wanted.items() if j <= 0.65 and 2 * k + 1 not in kept]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 32))
