@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,8 +103,20 @@ def clean_line(c: Column) -> Column:
     return F.when((F.length(line) >= 3) & (known < F.length(line) * 0.2), "").otherwise(line)
 
 
+def composed(c: Column) -> Column:
+    """Canonical composition (NFC), for which Spark has no function: an Arrow UDF that passes composed texts on."""
+
+    @F.pandas_udf("string")
+    def nfc(x: pd.Series) -> pd.Series:
+        from unicodedata import is_normalized, normalize
+
+        return x.map(lambda v: v if v is None or is_normalized("NFC", v) else normalize("NFC", v))
+
+    return nfc(c)
+
+
 def clean_controls(c: Column) -> Column:
-    """Control characters mapped or deleted, zero width deleted, white space squeezed (all but the NFC step)."""
+    """Control characters mapped or deleted, zero width deleted, white space squeezed; put `composed` before it for NFC."""
     spaced = F.translate(c, "\x0b\x0c", " \n")
     return clean_zero_width(F.regexp_replace(spaced, rf"[ࡂृ࡚{cc.CONTROLS}{cc.SPECIALS}\x{{80}}-\x{{9f}}]", ""))
 

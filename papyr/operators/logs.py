@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def sliding_log(times: Iterator[float], limit: int, window: float, log: deque | None = None) -> Iterator[tuple[bool, int]]:
@@ -105,6 +106,16 @@ def cache_ttl(kind: Column, size: Column, base: int = TTL_BASE) -> Column:
     return F.least(grown, F.lit(TTL_TOP).cast("long"))
 
 
+def refreshed_hits(reads: DataFrame, ttl: float, order: str = "event_id") -> DataFrame:
+    """Adds hit to reads (key, t in seconds, ...).
+
+    Every read leaves the entry alive for `ttl` seconds, a hit by extending it
+    and a miss by storing it, so only the time since the last read counts.
+    """
+    since = F.col("t") - F.lag("t").over(W.partitionBy("key").orderBy("t", order))
+    return reads.withColumn("hit", F.coalesce(since <= ttl, F.lit(False)))
+
+
 def cache_key(kind: Column, content: Column, options: Column | None = None) -> Column:
     base = F.concat_ws(":", F.lit("hwp_extract"), kind, F.sha2(content, 256))
     return base if options is None else F.when(options.isNull(), base).otherwise(F.concat_ws(":", base, F.substring(F.md5(options), 1, 8)))

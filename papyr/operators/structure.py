@@ -139,6 +139,15 @@ def is_table(c: Column) -> Column:
     return F.exists(F.split(c, "\n"), lambda x: F.regexp_count(x, F.lit("><")) >= 2)
 
 
+def clean_cells(rows: Column) -> Column:
+    """Rows of cells stripped of white space; a null cell is empty."""
+    return F.transform(rows, lambda r: F.transform(r, lambda x: t.strip(F.coalesce(x, F.lit("")))))
+
+
+def emphasised(c: Column, strong: Column) -> Column:
+    return F.when(strong, F.concat(F.lit("**"), c, F.lit("**"))).otherwise(c)
+
+
 def cell_kind(row: Column, col: Column) -> Column:
     return F.when(row == 0, "header").when(col == 0, "row_header").otherwise("data")
 

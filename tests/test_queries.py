@@ -29,6 +29,17 @@ def test_stream_equals_batch(spark):
     assert a.equals(b)
 
 
+def test_buffered_rows_join_to_the_text(spark):
+    from papyr.plans.delivery import buffered_rows
+
+    rows = [(k, i, None if i == 3 else f"{k}-{i} " * (i % 5)) for k in range(6) for i in range(20)]
+    got = buffered_rows(spark.createDataFrame(rows, "k long, i long, text string"), 30, "k", "i").orderBy("k", "flush").collect()
+    for k in range(6):
+        mine = [r.content for r in got if r.k == k]
+        assert "".join(mine) == "".join(x or "" for a, _, x in rows if a == k)
+        assert all(len(x) >= 30 for x in mine[:-1])
+
+
 def test_entry(spark):
     import __spark_entry__
 
