@@ -33,11 +33,11 @@ SELECT CAST(o_custkey AS BIGINT) AS doc_id, CAST(o_orderkey AS BIGINT) AS idx,
 FROM {orders}
 """
 
-#: Documents with Korean words and noise before and behind their text.
+#: Documents, each whole, with Korean words and noise before and behind their text.
 MIXED = """
 SELECT doc_id, lang, source,
   concat('한국어 문서 ', CAST(doc_id AS VARCHAR(12)), chr(9), '입니다. ①→ ', substr('ЀЖĀƀ䀀耀蠀褀贀捀', CAST(doc_id % 10 AS INT) + 1, 1),
-         ' ', substr(coalesce(text, ''), 1, 400), ' ', '​', '끝 ', '￹', 'ࡂ', '####!!!! ABCDEFGHIJ') AS text
+         ' ', coalesce(text, ''), ' ', '​', '끝 ', '￹', 'ࡂ', '####!!!! ABCDEFGHIJ') AS text
 FROM {documents}
 """
 

@@ -45,3 +45,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 200
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_cleaning_queries_read_whole_texts(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert sum(len(x) > 400 for x in docs.values()) > 100
+    for r in registry.QUERIES["xml_escape"](spark, SF).collect():
+        text = docs[r.doc_id].replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+        assert text in r.result
