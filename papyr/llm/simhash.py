@@ -31,10 +31,14 @@ from papyr.llm.components import connected_components, forest
 SEGMENTS = 16
 #: Views by which documents meet that are less alike than the grid can see, and their shingles.
 VIEWS, VIEW_SIZE = 8, 3
-#: Words of 64 bits of the wide fingerprint that settles whether documents that meet in a view are similar.
+#: Jaccard similarity, as a fraction, from which sets of shingles are similar.
+SIMILARITY = (4, 5)
+#: Words of 64 bits of the wide fingerprint that spares most unlike pairs the comparison of their sets.
 WIDE = 16
-#: Differing bits, of 64 * WIDE, of two similar documents: sets with a Jaccard similarity of 0.8 differ in 155 +- 11.
-SIMILAR_BITS = 172
+#: Differing bits, of 64 * WIDE, up to which sets are compared: those with a similarity of 0.8 differ in 155 +- 11.
+NEAR_BITS = 230
+#: Sets of fewer shingles are always compared.
+SMALL_SET = 32
 #: Members of a view above which it is dealt out in blocks.
 BUCKET = 4_000
 #: Members of a cell up to which its pairs are compared directly.
@@ -207,64 +211,180 @@ def view_keys(hashes: np.ndarray, views: int) -> np.ndarray:
     return out
 
 
+def set_key(own: np.ndarray) -> tuple[int, int]:
+    """Two hashes, as signed longs, of a set of distinct shingle hashes."""
+    parts = (tu.mix(own ^ _SALTS[0]).sum(dtype=np.uint64), tu.mix(own ^ _SALTS[1]).sum(dtype=np.uint64))
+    return int(parts[0].view(np.int64)), int(parts[1].view(np.int64))
+
+
 def sketches(docs: DataFrame, shingle: int, views: int) -> DataFrame:
-    """(id, fp, wide, views): the fingerprint, the wide one and the view keys of every row."""
+    """(id, k1, k2, n, fp, wide, views): the key and size of the set of distinct shingles, its fingerprint, the wide one and the view keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
-            wide, keys = [], []
+            wide, keys, sets, sizes = [], [], [], []
             for x in batch.column("text").to_pylist():
-                h = shingle_hashes(x or b"", shingle)
-                wide.append(fingerprint_words(h, WIDE).view(np.int64))
-                keys.append(view_keys(h, views).view(np.int64))
-            longs = pa.list_(pa.int64())
+                own = np.unique(shingle_hashes(x or b"", shingle))
+                wide.append(fingerprint_words(own, WIDE).view(np.int64))
+                keys.append(view_keys(own, views).view(np.int64))
+                sets.append(set_key(own))
+                sizes.append(len(own))
+            longs, (k1, k2) = pa.list_(pa.int64()), zip(*sets, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([w[0] for w in wide], pa.int64()), pa.array(wide, longs), pa.array(keys, longs)],
-                names=["id", "fp", "wide", "views"],
+                [batch.column("id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sizes, pa.int64()), pa.array([w[0] for w in wide], pa.int64()), pa.array(wide, longs), pa.array(keys, longs)],
+                names=["id", "k1", "k2", "n", "fp", "wide", "views"],
             )
 
     plain = docs.select(id_of().alias("id"), F.col("text").cast("binary").alias("text"))
-    return plain.mapInArrow(run, "id long, fp long, wide array<long>, views array<long>")
+    return plain.mapInArrow(run, "id long, k1 long, k2 long, n long, fp long, wide array<long>, views array<long>")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(id, size, text): the texts compressed, as they are about to be shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2_000_000):
+            text = [x or b"" for x in batch.column("text").to_pylist()]
+            small = [pa.compress(x, codec="zstd", asbytes=True) for x in text]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, text), pa.int64()), pa.array(small, pa.binary())], names=["id", "size", "text"])
+
+    return docs.select(id_of().alias("id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, size long, text binary")
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, k1, k2, own): the distinct shingle hashes, sorted, of every row of packed `docs`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 500_000):
+            texts = zip(batch.column("text").to_pylist(), batch.column("size").to_pylist(), strict=True)
+            own = [np.unique(shingle_hashes(pa.decompress(x, size, codec="zstd", asbytes=True) if size else b"", shingle)) for x, size in texts]
+            k1, k2 = zip(*map(set_key, own), strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))],
+                names=["id", "k1", "k2", "own"],
+            )
+
+    return docs.mapInArrow(run, "id long, k1 long, k2 long, own array<long>")
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether wide fingerprints, along the last axis, differ in at most SIMILAR_BITS bits."""
+def jaccard_at_least(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted arrays of distinct values have a Jaccard similarity of SIMILARITY or more; two empty ones have."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) * SIMILARITY[1] < len(b) * SIMILARITY[0]:
+        return False
+    if not len(a):
+        return not len(b)
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int(np.count_nonzero(b[at] == a))
+    return both * SIMILARITY[1] >= (len(a) + len(b) - both) * SIMILARITY[0]
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of (wide fingerprint, set size), along the last axis, may have the similarity."""
     differ = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]), np.uint16)
     for k in range(WIDE):
         differ += np.bitwise_count(a[..., k] ^ b[..., k])
-    return differ <= SIMILAR_BITS
+    few, many = np.minimum(a[..., WIDE], b[..., WIDE]), np.maximum(a[..., WIDE], b[..., WIDE])
+    sizes = few * np.uint64(SIMILARITY[1]) >= many * np.uint64(SIMILARITY[0])
+    return sizes & ((differ <= NEAR_BITS) | (few < SMALL_SET))
 
 
-def _verify_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in runs_by_key(batches, "cell", 50_000):
-        wide = t.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WIDE)
-        order, p, q = pairs_in_cells(t, "view", wide, similar)
-        rep = t.column("rep").to_numpy()[order]
-        a, b = forest(rep[p], rep[q])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def _spanning(t: pa.Table, key: str, value: np.ndarray, same=None) -> pa.RecordBatch:
+    """Spanning links of the near pairs of each (key, x, y), of those only for which same(row, row) where it is given.
+
+    A pair that others have joined is not compared again; large groups are
+    worked through by blocks of rows, so no table of their pairs is made.
+    """
+    nodes, at = np.unique(t.column("rep").to_numpy(), return_inverse=True)
+    root = np.arange(len(nodes))
+
+    def join(p: np.ndarray, q: np.ndarray) -> None:
+        nonlocal root
+        while len(p):
+            live = root[at[p]] != root[at[q]]
+            p, q = p[live], q[live]
+            step = 512 if same else len(p)
+            a, b = p[:step], q[:step]
+            if same:
+                keep = np.fromiter((same(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
+                a, b = a[keep], b[keep]
+            low, high = forest(root[at[a]], root[at[b]])
+            new = np.arange(len(nodes))
+            new[low] = high
+            root = new[root]
+            p, q = p[step:], q[step:]
+
+    k, block, x, y = (t.column(c).to_numpy() for c in (key, "block", "x", "y"))
+    order = np.lexsort((block, y, x, k))
+    change = np.any([c[order][1:] != c[order][:-1] for c in (k, x, y)], axis=0)
+    head = np.flatnonzero(np.concatenate(([True], change)))
+    count = np.diff(np.concatenate((head, [len(k)])))
+    few = np.sort(order[np.repeat(count <= CROWD, count)])
+    if len(few):
+        where, p, q = pairs_in_cells(t.select([key, "block", "x", "y"]).take(few), key, value[few], _near)
+        join(few[where][p], few[where][q])
+    for s, n in zip(head[count > CROWD], count[count > CROWD], strict=True):
+        rows = order[s : s + n]
+        one = x[rows[0]] == y[rows[0]]
+        left, right = (rows, rows) if one else (rows[block[rows] == x[rows[0]]], rows[block[rows] != x[rows[0]]])
+        for i in range(0, len(left), 128):
+            part = left[i : i + 128]
+            other = right[i:] if one else right
+            p, q = np.nonzero((root[at[part]][:, None] != root[at[other]][None, :]) & _near(value[part][:, None], value[other][None, :]))
+            join(part[p], other[q])
+    live = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[live]), pa.array(nodes[root[live]])], names=["a", "b"])
+
+
+def _sized(t: pa.Table, sizes: np.ndarray) -> np.ndarray:
+    wide = t.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WIDE)
+    return np.column_stack((wide, sizes.astype(np.uint64)))
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning links of the pairs of each cell that may be similar."""
+    for t in runs_by_key(batches, "cell", 20_000):
+        yield _spanning(t, "view", _sized(t, t.column("n").to_numpy()))
+
+
+def _verify_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning links of the pairs of each cell whose sets are similar."""
+    for t in runs_by_key(batches, "cell", 4_000):
+        own = t.column("own").combine_chunks()
+        values = own.flatten().to_numpy().view(np.uint64)  # sorted as such
+        ends = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(own).to_numpy(), dtype=np.int64)))
+        yield _spanning(t, "group", _sized(t, np.diff(ends)), lambda i, j: jaccard_at_least(values[ends[i] : ends[i + 1]], values[ends[j] : ends[j + 1]]))  # noqa: B023
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(id, component): groups of documents whose word shingles agree to 0.8 or more.
-
-    Texts that share four fifths of their shingles differ in about 9 of 64
-    bits, far more than the grid's 2.  So besides the grid's links documents
-    meet where one of VIEWS views of their shingles is equal (each is, with
-    probability 0.8 ** VIEW_SIZE), and are linked where their wide
-    fingerprints, which tell similarity to about 0.03, differ in at most
-    SIMILAR_BITS bits.
+    """(id, component): groups of documents whose sets of distinct word shingles have a Jaccard similarity of 0.8 or more.
+
+    Equal sets form one class.  Texts that share four fifths of their shingles
+    differ in about 9 of 64 bits, far more than the grid's 2.  So classes meet
+    where the grid links them or where one of VIEWS views of their shingles is
+    equal (each is, with probability 0.8 ** VIEW_SIZE).  What meets is linked
+    only where the sets themselves are similar.
     """
     tables = Tables(spark)
+    key = ["k1", "k2"]
+    sorted_cells = lambda x: x.repartition(width(spark), "cell").sortWithinPartitions("cell")
     rows = tables.settle(sketches(docs, shingle, VIEWS))
-    classes = tables.settle(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.min_by(F.struct("views", "wide"), "id").alias("own")).select("fp", "rep", "own.*"))
+    classes = tables.settle(rows.groupBy(*key).agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "fp", "views", "wide"), "id").alias("own")).select(*key, "rep", "own.*"))
     views = classes.select(F.explode("views").alias("view"), "rep")
     met = tables.settle(views.groupBy("view").count().where("count > 1").select("view"))
-    seen = classes.select(F.explode("views").alias("view"), "rep", "wide").join(met, "view", "left_semi")
-    dealt = dealt_in_blocks(seen, "view", "rep", BUCKET)
-    by_view = dealt.repartition(width(spark), "cell").sortWithinPartitions("cell").mapInArrow(_verify_views, "a long, b long")
-    joined = connected_components(links(classes.select("fp", "rep")).union(by_view), tables)
-    of_class = classes.select("fp", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return rows.select("id", "fp").join(of_class, "fp").select("id", "component")
+    seen = classes.select(F.explode("views").alias("view"), "rep", "n", "wide").join(met, "view", "left_semi")
+    by_view = sorted_cells(dealt_in_blocks(seen, "view", "rep", BUCKET)).mapInArrow(_meet, "a long, b long")
+    # all that may be similar and meets lies in one group, so each set is sent to its group only
+    groups = tables.settle(connected_components(links(classes.select("fp", "rep")).union(by_view), tables).withColumnsRenamed({"node": "id", "component": "group"}))
+    sets = shingle_sets(packed(docs).join(groups.select("id").distinct(), "id", "left_semi"), shingle).dropDuplicates(["id", *key])
+    first = classes.select(F.col("rep").alias("id"), *key, "wide").join(groups, "id")
+    member = first.join(sets, ["id", *key]).select("group", F.col("id").alias("rep"), "wide", "own")
+    by_group = sorted_cells(dealt_in_blocks(tables.settle(member), "group", "rep", BUCKET)).mapInArrow(_verify_sets, "a long, b long")
+    joined = connected_components(by_group, tables)
+    of_class = classes.select(*key, "rep").join(joined, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component"))
+    return rows.select("id", *key).join(of_class, key).select("id", "component")
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, shingle: int = 5) -> DataFrame:

@@ -237,3 +237,26 @@ def test_empty_tables(spark):
     assert simhash.near_duplicates(spark, docs).count() == 0
     assert simhash.keep_representatives(spark, docs).count() == 0
     assert embed_dedup.near_duplicates(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_similarity_is_that_of_the_sets(spark):
+    """Repeats of a shingle neither part texts of one set nor join texts of different sets."""
+    rng = random.Random(5)
+    words = lambda n: [str(rng.random()) for _ in range(n)]
+    rows, alike, unlike = [], [], []
+    for k in range(10):
+        own, line = words(200), words(8)
+        rows += [(4 * k, " ".join(own + line * 2)), (4 * k + 1, " ".join(own + line * 30))]
+        alike.append(4 * k + 1)
+        rows += [(4 * k + 2, "| " * 300 + " ".join(words(40))), (4 * k + 3, "| " * 300 + " ".join(words(40)))]
+        unlike += [4 * k + 2, 4 * k + 3]
+    kept = {r.doc_id for r in simhash.keep_representatives(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not kept & set(alike)
+    assert kept >= set(unlike)
+
+
+def test_jaccard_at_the_limit():
+    sets = lambda n, m: (np.arange(n, dtype=np.int64), np.arange(m, dtype=np.int64))
+    assert simhash.jaccard_at_least(*sets(4, 5)) and simhash.jaccard_at_least(*sets(5, 4)) and simhash.jaccard_at_least(*sets(0, 0))
+    assert not simhash.jaccard_at_least(*sets(3, 4)) and not simhash.jaccard_at_least(*sets(0, 1))
+    assert not simhash.jaccard_at_least(np.array([1, 9]), np.array([2, 9]))
