@@ -30,7 +30,7 @@ SCOPE = 400
 _ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{32,}")
-_WEAK = re.compile(rb"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
+_WEAK = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
 _ENDPOINT = re.compile(rb"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.amazonaws\.com")
 
 
