@@ -20,16 +20,22 @@ A conversation's events are never gathered in one place: order is a sort key
 Defined results, in `status`: ok; orphan_result (no such call); unanswered
 (a call without result); duplicate_id (a later call of the same identifier;
 results belong to the first); unknown_tool (definitions exist, this is not one
-of them); invalid_arguments (with `error`); malformed (a block that is not
-JSON); cycle (calls that wait for each other).  A null text is an empty
+of them); invalid_arguments (with `error`); unsupported_schema (the tool's
+schema holds a keyword, named in `error`, that cannot be decided here);
+malformed (a block that is not JSON); cycle (calls that wait for each other).  A null text is an empty
 message; null conv_id and turn are values of their own; repeated rows give
 repeated messages and duplicate calls.
 """
 
 from __future__ import annotations
 
+import datetime
+import fractions
+import ipaddress
 import json
+import math
 import re
+import urllib.parse
 from collections.abc import Iterator
 from typing import Any
 
@@ -56,17 +62,139 @@ def _strict(text: str) -> Any:
     return json.loads(text, parse_constant=refuse)
 
 
-def validate(value: Any, schema: Any, at: str = "$") -> str | None:
-    """The first violation of a JSON schema (types, enum, const, ranges, lengths, patterns, items, properties, any/all/oneOf, not)."""
+class Unsupported(ValueError):
+    """A keyword of a schema that validate() cannot decide."""
+
+
+#: Keywords that assert nothing.
+_SILENT = {
+    "$schema", "$comment", "$defs", "definitions", "$anchor", "title", "description", "default", "examples", "example", "deprecated", "readOnly", "writeOnly",
+    "contentEncoding", "contentMediaType", "contentSchema",
+}
+_PLAIN = {
+    "type", "enum", "const", "multipleOf", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern", "minItems", "maxItems",
+    "uniqueItems", "minContains", "maxContains", "required", "minProperties", "maxProperties", "dependentRequired",
+}
+#: Keywords that hold one schema, a list of them, and schemas by name.
+_ONE = {"items", "additionalItems", "contains", "additionalProperties", "propertyNames", "not", "if", "then", "else"}
+_LIST = {"allOf", "anyOf", "oneOf", "prefixItems", "items"}
+_NAMED = {"properties", "patternProperties", "dependentSchemas", "dependencies"}
+
+
+def _parses(read: Any) -> Any:
+    def fits(text: str) -> bool:
+        try:
+            read(text)
+        except (ValueError, re.error):
+            return False
+        return True
+
+    return fits
+
+
+def _date_time(text: str) -> None:
+    m = re.fullmatch(r"(\d{4}-\d\d-\d\d)[Tt ](.+)", text, re.A)
+    if not m:
+        raise ValueError(text)
+    datetime.date.fromisoformat(m[1])
+    _time(m[2])
+
+
+def _time(text: str) -> None:
+    m = re.fullmatch(r"(\d\d):(\d\d):(\d\d)(?:\.\d+)?(?:[Zz]|[+-](\d\d):(\d\d))", text, re.A)
+    if not m or int(m[1]) > 23 or int(m[2]) > 59 or int(m[3]) > 60 or int(m[4] or 0) > 23 or int(m[5] or 0) > 59:
+        raise ValueError(text)
+
+
+_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+_HOST = re.compile(rf"(?=.{{1,253}}\Z){_LABEL}(?:\.{_LABEL})*")
+_FORMATS = {
+    "date": lambda x: bool(re.fullmatch(r"\d{4}-\d\d-\d\d", x, re.A)) and _parses(datetime.date.fromisoformat)(x),
+    "time": _parses(_time),
+    "date-time": _parses(_date_time),
+    "duration": lambda x: bool(re.fullmatch(r"P(?!\Z)(?:\d+W|(?:\d+Y)?(?:\d+M)?(?:\d+D)?(?:T(?!\Z)(?:\d+H)?(?:\d+M)?(?:\d+S)?)?)", x, re.A)),
+    "email": lambda x: bool(re.fullmatch(rf"[A-Za-z0-9!#$%&'*+/=?^_`{{|}}~-]+(?:\.[A-Za-z0-9!#$%&'*+/=?^_`{{|}}~-]+)*@{_HOST.pattern}", x)),
+    "hostname": lambda x: bool(_HOST.fullmatch(x)),
+    "ipv4": _parses(ipaddress.IPv4Address),
+    "ipv6": lambda x: "%" not in x and _parses(ipaddress.IPv6Address)(x),
+    "uuid": lambda x: bool(re.fullmatch(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", x)),
+    "uri": lambda x: bool(re.fullmatch(r"[A-Za-z][A-Za-z0-9+.-]*:(?:[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=-]|%[0-9A-Fa-f]{2})*", x)),
+    "regex": _parses(re.compile),
+}
+
+
+def _resolve(ref: Any, root: Any) -> Any:
+    """The schema that a reference inside `root` points to: "#", "#/a/b" or "#anchor"."""
+    if not isinstance(ref, str) or not ref.startswith("#"):
+        raise Unsupported(f"$ref {ref}")
+    path = urllib.parse.unquote(ref[1:])
+    if path and path[0] != "/":
+        stack = [root]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, dict) and x.get("$anchor") == path:
+                return x
+            stack += x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()
+        raise Unsupported(f"$ref {ref}")
+    at = root
+    for part in path.split("/")[1:]:
+        part = part.replace("~1", "/").replace("~0", "~")
+        try:
+            at = at[int(part)] if isinstance(at, list) else at[part]
+        except (KeyError, IndexError, TypeError, ValueError):
+            raise Unsupported(f"$ref {ref}") from None
+    return at
+
+
+def unsupported(schema: Any) -> str | None:
+    """The first keyword, in the schema or in what it refers to, that validate() cannot decide."""
+    stack, seen = [schema], set()
+    while stack:
+        x = stack.pop()
+        if not isinstance(x, dict) or id(x) in seen:
+            continue
+        seen.add(id(x))
+        for k in sorted(x):
+            v = x[k]
+            if k == "$ref":
+                try:
+                    stack.append(_resolve(v, schema))
+                except Unsupported as e:
+                    return str(e)
+            elif k == "format":
+                if v not in _FORMATS:
+                    return f"format {v}"
+            elif k in _LIST and isinstance(v, list):
+                stack += v
+            elif k in _ONE:
+                stack.append(v)
+            elif k in _NAMED and isinstance(v, dict):
+                stack += v.values()
+            elif k not in _PLAIN | _SILENT and not k.startswith("x-") and not (k == "$id" and x is schema):
+                return k
+    return None
+
+
+def validate(value: Any, schema: Any, at: str = "$", root: Any = None) -> str | None:
+    """The first violation of a JSON schema.
+
+    All assertions of draft 2020-12 but unevaluatedItems, unevaluatedProperties
+    and dynamic or remote references, which unsupported() tells; also the older
+    forms of items, dependencies and exclusive bounds.
+    """
     if schema is True or schema is None:
         return None
     if schema is False or not isinstance(schema, dict):
         return f"{at}: not allowed"
+    root = schema if root is None else root
+    check = lambda v, s, where=at: validate(v, s, where, root)
+    if "$ref" in schema and (e := check(value, _resolve(schema["$ref"], root))):
+        return e
     kinds = schema.get("type")
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
     if kinds is not None:
-        number = isinstance(value, (int, float)) and not isinstance(value, bool)
         fits = lambda k: (
-            number if k == "number" else number and float(value).is_integer() if k == "integer" else k in _TYPES and isinstance(value, _TYPES[k])
+            number if k == "number" else number and (isinstance(value, int) or value.is_integer()) if k == "integer" else k in _TYPES and isinstance(value, _TYPES[k])
         )
         if not any(fits(k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
             return f"{at}: not {kinds if isinstance(kinds, str) else '/'.join(kinds)}"
@@ -74,10 +202,15 @@ def validate(value: Any, schema: Any, at: str = "$") -> str | None:
         return f"{at}: not in enum"
     if "const" in schema and canonical(value) != canonical(schema["const"]):
         return f"{at}: not const"
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
+    if number:
         for key, bad in (("minimum", lambda a, b: a < b), ("maximum", lambda a, b: a > b), ("exclusiveMinimum", lambda a, b: a <= b), ("exclusiveMaximum", lambda a, b: a >= b)):
-            if isinstance(schema.get(key), (int, float)) and bad(value, schema[key]):
+            bound = schema.get(key)
+            if bound is True:  # the form of draft 4: the other bound is exclusive
+                bound = schema.get({"exclusiveMinimum": "minimum", "exclusiveMaximum": "maximum"}.get(key))
+            if isinstance(bound, (int, float)) and not isinstance(bound, bool) and bad(value, bound):
                 return f"{at}: {key}"
+        if "multipleOf" in schema and (value in (math.inf, -math.inf) or fractions.Fraction(str(value)) % fractions.Fraction(str(schema["multipleOf"]))):
+            return f"{at}: multipleOf"
     if isinstance(value, str):
         if len(value) < schema.get("minLength", 0):
             return f"{at}: minLength"
@@ -85,6 +218,11 @@ def validate(value: Any, schema: Any, at: str = "$") -> str | None:
             return f"{at}: maxLength"
         if "pattern" in schema and not re.search(schema["pattern"], value):
             return f"{at}: pattern"
+        if "format" in schema:
+            if schema["format"] not in _FORMATS:
+                raise Unsupported(f"format {schema['format']}")
+            if not _FORMATS[schema["format"]](value):
+                return f"{at}: format"
     if isinstance(value, list):
         if len(value) < schema.get("minItems", 0):
             return f"{at}: minItems"
@@ -92,27 +230,56 @@ def validate(value: Any, schema: Any, at: str = "$") -> str | None:
             return f"{at}: maxItems"
         if schema.get("uniqueItems") and len({canonical(x) for x in value}) < len(value):
             return f"{at}: uniqueItems"
+        first, rest = schema.get("prefixItems", []), schema.get("items")
+        if isinstance(rest, list):
+            first, rest = rest, schema.get("additionalItems")
         for i, x in enumerate(value):
-            if e := validate(x, schema.get("items"), f"{at}[{i}]"):
+            if e := check(x, first[i] if i < len(first) else rest, f"{at}[{i}]"):
                 return e
+        if "contains" in schema:
+            n = sum(not check(x, schema["contains"]) for x in value)
+            if n < schema.get("minContains", 1):
+                return f"{at}: contains"
+            if "maxContains" in schema and n > schema["maxContains"]:
+                return f"{at}: maxContains"
     if isinstance(value, dict):
-        own = schema.get("properties", {})
+        own, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
         for k in schema.get("required", ()):
             if k not in value:
                 return f"{at}.{k}: required"
+        if len(value) < schema.get("minProperties", 0):
+            return f"{at}: minProperties"
+        if "maxProperties" in schema and len(value) > schema["maxProperties"]:
+            return f"{at}: maxProperties"
         for k in sorted(value):
-            rule = own[k] if k in own else schema.get("additionalProperties")
-            if e := validate(value[k], rule, f"{at}.{k}"):
-                return e
+            rules = ([own[k]] if k in own else []) + [s for p, s in sorted(patterns.items()) if re.search(p, k)]
+            for rule in rules or [schema.get("additionalProperties")]:
+                if e := check(value[k], rule, f"{at}.{k}"):
+                    return e
+            if "propertyNames" in schema and check(k, schema["propertyNames"]):
+                return f"{at}.{k}: propertyNames"
+        for key in ("dependentRequired", "dependentSchemas", "dependencies"):
+            for k, need in sorted(schema.get(key, {}).items()):
+                if k not in value:
+                    continue
+                if isinstance(need, list):
+                    if not all(x in value for x in need):
+                        return f"{at}.{k}: {key}"
+                elif e := check(value, need):
+                    return e
     for s in schema.get("allOf", ()):
-        if e := validate(value, s, at):
+        if e := check(value, s):
             return e
-    if "anyOf" in schema and all(validate(value, s, at) for s in schema["anyOf"]):
+    if "anyOf" in schema and all(check(value, s) for s in schema["anyOf"]):
         return f"{at}: anyOf"
-    if "oneOf" in schema and sum(not validate(value, s, at) for s in schema["oneOf"]) != 1:
+    if "oneOf" in schema and sum(not check(value, s) for s in schema["oneOf"]) != 1:
         return f"{at}: oneOf"
-    if "not" in schema and not validate(value, schema["not"], at):
+    if "not" in schema and not check(value, schema["not"]):
         return f"{at}: not"
+    if "if" in schema:
+        branch = "else" if check(value, schema["if"]) else "then"
+        if branch in schema and (e := check(value, schema[branch])):
+            return e
     return None
 
 
@@ -212,11 +379,14 @@ def _serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 value = _strict(body)
                 line |= {"id": i, "name": name, {"call": "arguments", "result": "content", "tool": "parameters"}[kind]: value}
                 if kind == "call" and schema is not None and status in ("ok", "unanswered"):
+                    rules = _strict(schema)
                     try:
-                        error = validate(value, _strict(schema))
-                    except (re.error, TypeError, RecursionError) as e:
-                        error = f"schema: {type(e).__name__}"
-                    status = "invalid_arguments" if error else status
+                        if unknown := unsupported(rules):
+                            status, error = "unsupported_schema", f"schema: {unknown}"
+                        elif error := validate(value, rules):
+                            status = "invalid_arguments"
+                    except (re.error, TypeError, ValueError, AttributeError, ZeroDivisionError, RecursionError) as e:
+                        status, error = "invalid_arguments", f"schema: {type(e).__name__}"
             else:
                 line["content"] = body
             line["status"] = status

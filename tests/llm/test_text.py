@@ -212,6 +212,44 @@ def test_schemas(value, schema, ok):
     assert (tool_chat.validate(value, schema) is None) == ok
 
 
+NESTED = {"$defs": {"Node": {"type": "object", "required": ["v"], "properties": {"v": {"type": "integer"}, "next": {"$ref": "#/$defs/Node"}}}}, "properties": {"n": {"$ref": "#/$defs/Node"}}}
+
+
+@pytest.mark.parametrize(
+    ("value", "schema", "ok"),
+    [
+        ({"n": {"v": 1, "next": {"v": 2}}}, NESTED, True), ({"n": {"v": 1, "next": {"v": "2"}}}, NESTED, False), ({"n": {}}, NESTED, False),
+        ({"x1": 1}, {"patternProperties": {"^x": {"type": "integer"}}, "additionalProperties": False}, True),
+        ({"x1": "1"}, {"patternProperties": {"^x": {"type": "integer"}}, "additionalProperties": False}, False),
+        ({"y": 1}, {"patternProperties": {"^x": {}}, "additionalProperties": False}, False),
+        (0.3, {"multipleOf": 0.1}, True), (7, {"multipleOf": 2}, False), ({}, {"minProperties": 1}, False), ({"a": 1, "b": 2}, {"maxProperties": 1}, False),
+        ([1, "a", 2], {"prefixItems": [{"type": "integer"}, {"type": "string"}], "items": {"type": "integer"}}, True), (["a"], {"prefixItems": [{"type": "integer"}]}, False),
+        ([1, 2], {"items": [{"type": "integer"}], "additionalItems": False}, False), ([1, "a"], {"contains": {"type": "string"}}, True), ([1], {"contains": {"type": "string"}}, False),
+        (["a", "b"], {"contains": {"type": "string"}, "maxContains": 1}, False), ({"a": 1}, {"dependentRequired": {"a": ["b"]}}, False), ({"a": 1}, {"dependentSchemas": {"a": {"required": ["b"]}}}, False),
+        ({"k": 1}, {"if": {"required": ["k"]}, "then": {"required": ["v"]}}, False), ({}, {"if": {"required": ["k"]}, "then": {"required": ["v"]}, "else": {"maxProperties": 0}}, True),
+        ({"ab": 1}, {"propertyNames": {"maxLength": 1}}, False), ("2025-02-30", {"format": "date"}, False), ("2025-02-28T10:00:00Z", {"format": "date-time"}, True), ("a@b.c", {"format": "email"}, True),
+        ("nobody", {"format": "email"}, False), ("::1", {"format": "ipv6"}, True), (1, {"minimum": 1, "exclusiveMinimum": True}, False), (10**400, {"type": "integer"}, True),
+    ],
+)
+def test_schema_keywords(value, schema, ok):
+    assert tool_chat.unsupported(schema) is None
+    assert (tool_chat.validate(value, schema) is None) == ok
+
+
+def test_calls_by_schema(spark):
+    import json
+
+    schemas = {"nest": NESTED, "open": {"properties": {"a": {"unevaluatedProperties": False}}}, "far": {"$ref": "https://x.org/s"}}
+    tools = json.dumps({"tools": [{"name": k, "parameters": v} for k, v in schemas.items()]})
+    calls = [("a", "nest", {"n": {"v": 1}}), ("b", "nest", {"n": {"v": "1"}}), ("c", "open", {}), ("d", "far", {})]
+    made = json.dumps({"tool_calls": [{"id": i, "function": {"name": n, "arguments": x}} for i, n, x in calls]})
+    rows = [(1, 0, "system", tools), (1, 1, "assistant", made)] + [(1, 2 + k, "tool", json.dumps({"tool_call_id": c[0], "content": "x"})) for k, c in enumerate(calls)]
+    got = tool_chat.link_tool_calls(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("kind = 'call'").collect()
+    assert {r.call_id: (r.status, r.error) for r in got} == {
+        "a": ("ok", None), "b": ("invalid_arguments", "$.n.v: not integer"), "c": ("unsupported_schema", "schema: unevaluatedProperties"), "d": ("unsupported_schema", "schema: $ref https://x.org/s"),
+    }
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
