@@ -59,8 +59,12 @@ def _streamed(spark, df, name, mode="append"):
     """Rows that a stream gives until its input ends, written to and read from the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     at = f"{base}/stream-{name}-{uuid.uuid4().hex}"
-    done = df.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start()
-    done.awaitTermination()
+    stream = df.writeStream.option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True)
+    if mode == "complete":  # each batch gives the whole result, which files cannot take in place
+        stream = stream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/out"))
+    else:
+        stream = stream.format("parquet").option("path", f"{at}/out")
+    stream.start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{at}/out")
 
 
@@ -79,5 +83,5 @@ def stream_rate_limit(spark, sf_dir):
 
 @query()
 def stream_counter(spark, sf_dir):
-    """Closed windows only: the last one stays open when the input ends."""
-    return _streamed(spark, limits.counted_stream(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))), "count")
+    """All windows, also those still open when the input ends."""
+    return _streamed(spark, limits.counted_stream(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))), "count", "complete")
