@@ -1,32 +1,49 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  In the first pass each block is
-classified by itself: places that are never part of an article (menus, footers,
-asides, forms, adverts, comments, hidden parts) are bad; others are judged by
-link density, length and the density of stop words, as good, nearly good, short
-or bad.  In the second pass ambiguous blocks inherit the label of the nearest
-decided neighbours.  Where a page marks its article, blocks outside it are bad;
-where nothing on a page is decided, all of it is kept.
+A page is cut into blocks at block-level tags by a scanner that reads every
+character a bounded number of times.  In the first pass each block is judged by
+itself, by link density, length and the density of stop words: good, nearly
+good, bad, or ambiguous (short, or long without stop words).  In the second
+pass nearly good and ambiguous blocks inherit the label of the nearest decided
+neighbours.  This holds inside a marked article (article, main) as well; the
+mark only narrows the blocks that are looked at.
+
+Places that are never part of an article (menus, footers, asides, forms,
+adverts, comments, hidden parts) are set aside before.  Tags and names of
+classes only suggest such a place: where nothing good would remain, the
+suggested place that holds most good text is taken back, and one whose name
+merely mentions such a word (`has-sidebar`) is taken back if it holds most of
+the page's good text.
 
 Defined results: a null or empty page has the empty text; broken markup is read
-as far as it goes, unclosed elements end with their parents; every character
-of the page counts, however long it is.
+as far as it goes: a quote that never closes is an ordinary character, a `<`
+without a `>` behind it is text, unclosed elements end with their parents.
+Between neighbours at equal distance the good one decides; where no block of a
+page is decided, all that is not set aside is kept.  In a page without any
+block as dense in known stop words as prose, the language counts as unknown and
+length and links decide alone.  Every character counts, however long the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from papyr.llm.common import read, slices
 
+#: Characters below which a block is short, and from which a dense one is good.
 LOW, HIGH = 70, 200
-LINKS = 0.3
+#: Share of a block's characters in links above which it is bad; the first for short blocks.
+LINKS_SHORT, LINKS = 0.3, 0.5
 STOP_LOW, STOP_HIGH = 0.10, 0.20
+#: Suggested places inside each other; deeper ones count as the enclosing one.
+NESTED = 32
 
 #: Function words of the languages served; a parameter of the operator.
 STOP_WORDS = frozenset(
@@ -36,14 +53,16 @@ STOP_WORDS = frozenset(
     le la les de des et en un une du est que pour dans qui par sur pas au plus ce avec il sont se ne ou son aux
     el los las y del que por con para una su al lo como más pero sus o este fue ha
     il di che è per non sono della dei nel o e do da em os na um uma het van een op te dat niet zijn
+    и в не на что с по это как к из у за от но его она он они был для при так же
     """.split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
-_RAW = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_RAW = {k: re.compile(rf"</{k}(?=[\s/>]|\Z)[^>]*+>?", re.I) for k in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+#: One attribute: its name and, behind an equals sign, a value in closed quotes or a bare one.
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+_BARE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+()()([^\s>]*+))?+""")
+_BETWEEN = re.compile(r"[\s/=]*+")
 _SPACE = re.compile(r"\s+")
 
 _BLOCK = frozenset(
@@ -51,54 +70,87 @@ _BLOCK = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-_OUT = frozenset("nav footer aside form dialog menu select button template noscript head svg math object video audio canvas fieldset search datalist".split())
+#: Elements that show nothing of an article, whatever they hold.
+_NEVER = frozenset("select button template noscript head svg math object video audio canvas datalist".split())
+_OUT = frozenset("nav footer aside form dialog menu fieldset search".split())
 _MAIN = frozenset("article main".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 _OUT_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promoted promotion cookie cookies consent gdpr notice notices notification alert sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended recommendations newsletter subscribe subscription popup modal overlay login signin signup register comment comments commentlist disqus reply replies respond discussion footer masthead topbar toolbar pagination pager widget widgets skip copyright legal disclaimer tags search".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promoted promotion cookie cookies consent gdpr notice notices notification alert sidebar rail menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended recommendations newsletter subscribe subscription popup modal overlay login signin signup register comment comments commentlist disqus reply replies respond discussion footer masthead topbar toolbar pagination pager widget widgets skip copyright legal disclaimer tags search".split()
 )
+#: Words beside a name above that leave it the subject of the class: `comment-list`, not `has-sidebar`.
+_BESIDE = frozenset("list box bar area section block wrap wrapper container inner outer left right top bottom site page global item items group link links text title count unit slot thread form row column".split())
 _NAME_SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
-#: text, place (out, main or none), whether it is a heading, characters in links.
-Block = tuple[str, str, bool, int]
+@dataclass
+class Block:
+    text: str
+    linked: int  # characters in links
+    heading: bool
+    marked: bool  # inside an article or main element
+    places: tuple[int, ...]  # suggested places around it, from the outside in
+
+
+@dataclass
+class Page:
+    blocks: list[Block] = field(default_factory=list)
+    strong: list[bool] = field(default_factory=list)  # for each suggested place whether its name says so plainly
 
 
-def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
+def _tag(page: str, at: int, quotes: bool) -> tuple[int, dict[str, str]]:
+    """(index of the tag's `>` or -1, attributes) of the attributes that begin at `at`."""
+    pattern, found, n = (_ATTRIBUTE if quotes else _BARE), {}, len(page)
+    while True:
+        at = _BETWEEN.match(page, at).end()
+        if at >= n:
+            return -1, found
+        if page[at] == ">":
+            return at, found
+        m = pattern.match(page, at)
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        at = m.end()
 
 
-def _out_by_attributes(raw: str, in_main: bool) -> bool:
-    if not raw or raw.isspace():
-        return False
-    a = _attributes(raw)
-    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
-        return True
-    if a.get("role", "").lower() in _OUT_ROLES:
-        return True
+def _suggests(tag: str, a: dict[str, str], in_main: bool) -> str:
+    """never, strong or weak for a place that may lie outside an article; empty for others."""
+    if tag in _NEVER or "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
+        return "never"
+    if tag in _MAIN:  # what an article's class names mention does not make it something else
+        return ""
+    if tag in _OUT or (tag == "header" and not in_main) or a.get("role", "").lower() in _OUT_ROLES:
+        return "strong"
+    out = ""
     for name in (a.get("class", ""), a.get("id", "")):
-        for part in name.split():
+        for part in html.unescape(name).split() if name else ():
             words = [w.lower() for w in _NAME_SPLIT.split(part) if w]
-            if any(w in _OUT_NAMES for w in words) or (not in_main and "header" in words):
-                return True
-    return False
+            told = [w in _OUT_NAMES or (w == "header" and not in_main) for w in words]
+            if any(told):
+                if all(t or w in _BESIDE for t, w in zip(told, words, strict=True)):
+                    return "strong"
+                out = "weak"
+    return out
 
 
-def blocks(page: str) -> list[Block]:
-    """Every block of the page that holds text, in page order."""
-    found: list[Block] = []
-    stack: list[tuple[str, str]] = []  # open containers and the place that they open
+def blocks(page: str) -> Page:
+    """Every block of the page that holds text, in page order, but for what is never shown."""
+    found = Page()
+    # open containers: tag, inside main, suggested places, never shown
+    stack: list[tuple[str, bool, tuple[int, ...], bool]] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked = 0
-    in_link = heading = hidden = False
-    place = "none"
+    in_link = heading = False
+    marked, places, never = False, (), False
+    own: tuple[tuple[int, ...], bool] | None = None  # of a paragraph or heading with names of its own
 
     def close() -> None:
         nonlocal text, linked
         if text:
             line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
-            if line:
-                found.append((line, "out" if hidden else place, heading, min(linked, len(line))))
+            p, hidden = own or (places, never)
+            if line and not hidden:
+                found.blocks.append(Block(line, min(linked, len(line)), heading, marked, p))
         text, linked = [], 0
 
     def add(piece: str) -> None:
@@ -107,130 +159,171 @@ def blocks(page: str) -> list[Block]:
         if in_link:
             linked += len(_SPACE.sub(" ", html.unescape(piece)))
 
-    at, end = 0, len(page)
+    def inner(tag: str, a: dict[str, str]) -> tuple[tuple[int, ...], bool]:
+        kind = _suggests(tag, a, marked)
+        if kind in ("strong", "weak") and len(places) < NESTED:
+            found.strong.append(kind == "strong")
+            return (*places, len(found.strong) - 1), never
+        return places, never or kind == "never"
+
+    at, end, quotes, last = 0, len(page), True, page.rfind(">")
     while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0 or start > last:
             add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        if start > at:
+            add(page[at:start])
+        at = start
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            at = stop + 3 if stop >= 0 else end
+            continue
+        if page.startswith("<![CDATA[", at):
+            stop = page.find("]]>", at)
+            at = stop + 3 if stop >= 0 else end
             continue
-        tag = tag.lower()
-        if m[1]:
+        if page.startswith(("<!", "<?"), at):
+            at = page.index(">", at) + 1
+            continue
+        name = _NAME.match(page, at + 1)
+        if name is None:
+            add("<")
+            at += 1
+            continue
+        stop, a = _tag(page, name.end(), quotes)
+        if stop < 0 and quotes:  # a quote swallowed the rest of the page: quotes mean nothing from here on
+            quotes = False
+            stop, a = _tag(page, name.end(), quotes)
+        if stop < 0:
+            add(page[at:])
+            break
+        at = stop + 1
+        tag = name[0].lower()
+        if tag[0] == "/":
+            tag = tag[1:]
             if tag == "a":
                 in_link = False
             elif tag in _BLOCK:
                 close()
+                own = None
                 if tag in _HEADING:
                     heading = False
-                elif tag == "p":
-                    hidden = False
-                elif any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
-                    place = stack[-1][1] if stack else "none"
-                    in_link = hidden = False
+                elif tag != "p" and opened[tag]:
+                    while (shut := stack.pop()[0]) != tag:
+                        opened[shut] -= 1
+                    opened[tag] -= 1
+                    _, marked, places, never = stack[-1] if stack else ("", False, (), False)
+                    in_link = False
             continue
         if tag in _RAW:
             done = _RAW[tag].search(page, at)
             at = done.end() if done else end
-            continue
-        if tag == "br":
+        elif tag == "br":
             text.append(" ")
         elif tag == "a":
             in_link = True
         elif tag in _BLOCK:
             close()
-            hidden = False
-            raw = m[3] or ""
-            out = _out_by_attributes(raw, place == "main")
-            if tag in _HEADING:
-                heading, hidden = True, out
-            elif tag == "p":
-                heading, hidden = False, out
-            elif tag not in _VOID and not raw.rstrip().endswith("/"):
-                heading = False
-                if place == "out" or out or tag in _OUT or (tag == "header" and place != "main"):
-                    inner = "out"
-                elif tag in _MAIN:
-                    inner = "main"
-                else:
-                    inner = place
+            own = None
+            heading = tag in _HEADING
+            if heading or tag == "p":
+                own = inner(tag, a) if a else None
+            elif tag not in _VOID and page[stop - 1] != "/":
                 if tag == "body":
-                    stack, inner = [], "none"
-                stack.append((tag, inner))
-                place = inner
+                    stack, marked, places, never = [], False, (), False
+                    opened.clear()
+                p, hidden = inner(tag, a)
+                marked, places, never = marked or tag in _MAIN, p, hidden
+                stack.append((tag, marked, places, never))
+                opened[tag] += 1
     close()
     return found
 
 
-def classify(found: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> list[bool]:
-    """For each block whether it belongs to the main text."""
-    marked = any(p == "main" for _, p, *_ in found)
-    kind: list[str] = []
-    for line, place, _, linked in found:
-        n = len(line)
-        if place == "out" or (marked and place != "main"):
-            kind.append("bad")
-            continue
-        words = line.lower().split()
-        stops = sum(w.strip(".,;:!?\"'()") in stop_words for w in words) / len(words)
-        if linked / n > LINKS and (n < HIGH or linked / n > 0.6):
-            kind.append("bad")
-        elif ("©" in line or "&copy" in line) and n < HIGH:
-            kind.append("bad")
-        elif place == "main":
-            # the page itself says that this is the article; length and stop words only firm it up
-            kind.append("good" if n >= LOW or stops >= STOP_LOW else "short")
-        elif n < LOW:
-            kind.append("bad" if linked else "short")
-        elif stops >= STOP_HIGH:
-            kind.append("good" if n > HIGH else "near")
-        elif stops >= STOP_LOW:
-            kind.append("near")
-        else:
-            kind.append("bad")
-    first = list(kind)
-    decided = [i for i, k in enumerate(first) if k in ("good", "bad") and not (marked and found[i][1] != "main" and k == "bad")]
-    before: list[int | None] = []
-    last: int | None = None
-    good_or_bad = set(decided)
-    for i in range(len(first)):
-        before.append(last)
-        if i in good_or_bad:
-            last = i
-    after: list[int | None] = [None] * len(first)
-    nxt: int | None = None
-    for i in range(len(first) - 1, -1, -1):
-        after[i] = nxt
-        if i in good_or_bad:
-            nxt = i
+def judge(b: Block, stop_words: frozenset[str], served: bool) -> str:
+    """First pass: good, near, bad or open (ambiguous)."""
+    n, share = len(b.text), b.linked / len(b.text)
+    if share > (LINKS if n >= LOW else LINKS_SHORT) or (n < LOW and "©" in b.text):
+        return "bad"
+    if n < LOW:
+        return "open"
+    stops = stop_density(b.text, stop_words) if served else 1.0
+    if stops >= STOP_HIGH:
+        return "good" if n > HIGH else "near"
+    return "near" if stops >= STOP_LOW else "open"
+
+
+def stop_density(line: str, stop_words: frozenset[str]) -> float:
+    words = line.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in stop_words for w in words) / len(words)
+
+
+def inherit(kinds: list[str], headings: list[bool]) -> list[bool]:
+    """Second pass: whether each block is kept, by the nearest decided neighbours of those that are not decided."""
+    n = len(kinds)
+    before, after = [-1] * n, [-1] * n
+    last = -1
+    for i in range(n):
+        before[i] = last
+        last = i if kinds[i] in ("good", "bad") else last
+    last = -1
+    for i in range(n - 1, -1, -1):
+        after[i] = last
+        last = i if kinds[i] in ("good", "bad") else last
     keep = []
-    for i, k in enumerate(first):
+    for i, k in enumerate(kinds):
+        sides = [kinds[j] for j in (before[i], after[i]) if j >= 0]
         if k in ("good", "bad"):
             keep.append(k == "good")
-            continue
-        sides = [first[j] for j in (before[i], after[i]) if j is not None]
-        if found[i][1] == "main":
-            keep.append(not sides or "good" in sides)
-        elif k == "near":
-            keep.append(not sides or "good" in sides or len(found) == 1)
-        elif len(sides) == 2 and sides[0] != sides[1]:
-            # a heading goes with what follows it, other short blocks with the nearer side
-            j = after[i] if found[i][2] or (after[i] - i) < (i - before[i]) else before[i]
-            keep.append(first[j] == "good")
-        else:
+        elif k == "near" or len(set(sides)) < 2:
             keep.append(not sides or "good" in sides)
+        else:  # a heading goes with what follows it, other blocks with the nearer side, the good one of two as near
+            back, on = i - before[i], after[i] - i
+            j = after[i] if headings[i] or on < back else before[i] if back < on else before[i] if kinds[before[i]] == "good" else after[i]
+            keep.append(kinds[j] == "good")
+    return keep
+
+
+def set_aside(page: Page, kinds: list[str]) -> set[int]:
+    """The suggested places that are outside the article after all."""
+    out = set(range(len(page.strong)))
+    good = [(b, len(b.text)) for b, k in zip(page.blocks, kinds, strict=True) if k == "good"] or [
+        (b, len(b.text)) for b, k in zip(page.blocks, kinds, strict=True) if k != "bad"
+    ]
+    total = sum(n for _, n in good)
+    held: dict[int, int] = {}
+    for b, n in good:
+        for p in b.places:
+            held[p] = held.get(p, 0) + n
+    out -= {p for p, n in held.items() if not page.strong[p] and 2 * n > total}
+    while good and all(any(p in out for p in b.places) for b, _ in good):
+        first: dict[int, int] = {}  # of the outermost places, the one with most good text is none
+        for b, n in good:
+            p = next(p for p in b.places if p in out)
+            first[p] = first.get(p, 0) + n
+        out.remove(max(first, key=lambda p: (first[p], -p)))
+    return out
+
+
+def classify(page: Page, stop_words: frozenset[str] = STOP_WORDS) -> list[bool]:
+    """For each block whether it belongs to the main text."""
+    served = any(len(b.text) >= LOW and stop_density(b.text, stop_words) >= STOP_LOW for b in page.blocks)
+    kinds = [judge(b, stop_words, served) for b in page.blocks]
+    out = set_aside(page, kinds)
+    inside = [not any(p in out for p in b.places) for b in page.blocks]
+    if any(i and b.marked and k != "bad" for i, b, k in zip(inside, page.blocks, kinds, strict=True)):
+        inside = [i and b.marked for i, b in zip(inside, page.blocks, strict=True)]
+    at = [i for i, x in enumerate(inside) if x]
+    keep = [False] * len(inside)
+    for i, k in zip(at, inherit([kinds[i] for i in at], [page.blocks[i].heading for i in at]), strict=True):
+        keep[i] = k
     return keep
 
 
 def main_text(page: str, stop_words: frozenset[str] = STOP_WORDS) -> str:
     found = blocks(page)
-    return "\n\n".join(b[0] for b, ok in zip(found, classify(found, stop_words), strict=True) if ok)
+    return "\n\n".join(b.text for b, ok in zip(found.blocks, classify(found, stop_words), strict=True) if ok)
 
 
 def extract(pages: DataFrame, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
@@ -250,4 +343,9 @@ def extract(pages: DataFrame, stop_words: frozenset[str] = STOP_WORDS) -> DataFr
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every whole page: page_id, url, text, n_chars.
+
+    A null or empty page has the empty text and 0 characters; a null page_id or
+    url stays null; repeated rows give repeated results; an empty table gives no rows.
+    """
     return extract(read(spark, sf_dir, "pages"))
