@@ -3,14 +3,20 @@
 Windows of WINDOW words that also start in a document of smaller id are
 removed.  Documents are parsed into phrases with word-level triggers
 (substring_dedup_base), so that equal windows meet in one shard whatever the
-number of documents; each shard indexes its distinct phrases once, in a
-compressed FM-index (Burrows-Wheeler transform in a wavelet matrix of packed
-bits), and streams the same phrases through backward search.  A window whose
-interval holds a suffix of a smaller document has matching statistics of at
-least WINDOW and is reported.
+number of documents.  Each shard keeps a compressed FM-index of its distinct
+phrases (Burrows-Wheeler transform in a wavelet matrix of packed bits) and
+streams the phrases of its documents through backward search.  For each place
+where a window can end this gives the matching statistic: the length of the
+longest sequence ending there that also stands in a document of smaller id.
+Intervals of WINDOW words or more are reported.
+
+A phrase that equals an earlier document's as a whole matches all along; its
+statistics are known while phrases are dealt, and one copy of it is indexed.
+Phrases whose trigger ends no other phrase match nothing else.
 
 Defined results: a null text has no words; repeated rows of one doc_id are one
-document; a null doc_id sorts first.
+document; a null doc_id sorts first; rows of one doc_id with different texts are
+different documents, ordered by a hash of the text.
 """
 
 from __future__ import annotations
@@ -23,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from papyr.llm import substring_dedup_base as base
-from papyr.llm import textunits as tu
-from papyr.llm.common import NULL_ID, runs_by_key, slices
-from papyr.llm.suffix_dedup import merge_windows
+from papyr.llm.common import read, runs_by_key, slices
 
 WINDOW = 13
-TRIGGER = 6
+#: Length of a trigger in words, and the divisor of its hash.
+TRIGGER, MODULUS = 6, 8
+#: Phrases that a shard indexes at once.
 SHARD_ROWS = 6_000
 
 
@@ -77,41 +83,55 @@ class FMIndex:
             rank = np.unique((rank << np.int64(32)) | (nxt + 1), return_inverse=True)[1]
             depth *= 2
         order = np.argsort(rank)
-        self.owner = owner[order]
+        self.smallest = self._table(owner[order])
         counts = np.bincount(text, minlength=n_symbols)
         self.before = np.cumsum(counts) - counts
         self.bwt = WaveletMatrix(text[order - 1], n_symbols)
         self.n = n
 
-    def search(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search: suffix interval of text[s:s+length] for every s."""
-        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
-        for k in range(length - 1, -1, -1):
-            c = text[starts + k]
-            lo, hi = self.before[c] + self.bwt.rank(c, lo), self.before[c] + self.bwt.rank(c, hi)
-        return lo, hi
+    @staticmethod
+    def _table(owner: np.ndarray) -> list[np.ndarray]:
+        """Smallest owners of 1, 2, 4 ... suffixes in order."""
+        table, size = [owner], 1
+        while 2 * size <= len(owner):
+            table.append(np.minimum(table[-1][:-size], table[-1][size:]))
+            size *= 2
+        return table
 
     def smallest_owner(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Of the suffixes in each interval; intervals are equal or apart, none empty."""
-        heads, at = np.unique(lo, return_inverse=True)
-        ends = np.empty(len(heads), np.int64)
-        ends[at] = hi
-        cuts = np.empty(2 * len(heads), np.int64)
-        cuts[0::2], cuts[1::2] = heads, ends
-        owner = np.concatenate((self.owner, [np.iinfo(np.int64).max]))
-        return np.minimum.reduceat(owner, cuts)[0::2][at]
-
-
-def phrases(text: bytes, starts: np.ndarray, ns: np.ndarray, triggers: np.ndarray, parts: np.ndarray) -> tuple:
-    data = np.frombuffer(text, np.uint8)
-    words = tu.word_hashes(data, *tu.words_of(data))
-    hashes = [tu.span_hashes(words[s : s + n + WINDOW - 1], WINDOW)[0] if p > 1 else None for s, n, p in zip(starts, ns, parts, strict=True)]
-    row, off, num, key = base.split_hot(triggers, parts, ns, hashes)
-    at = starts[row] + off
-    return key, at, num, [words[a : a + n + WINDOW - 1].tobytes() for a, n in zip(at, num, strict=True)]
+        """Of the suffixes lo..hi-1; no interval is empty."""
+        level = np.frexp((hi - lo).astype(np.float64))[1] - 1
+        out = np.empty(len(lo), np.int64)
+        for k in np.unique(level):
+            x = level == k
+            out[x] = np.minimum(self.smallest[k][lo[x]], self.smallest[k][hi[x] - (1 << int(k))])
+        return out
+
+    def matching(self, text: np.ndarray, ends: np.ndarray, room: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Matching statistics: how long the longest text[e-k:e] is, k at most room, that stands in a sequence of an owner smaller than its own.
+
+        Backward search from every end at once; a search stops when its interval
+        is empty or holds no smaller owner, as longer ones hold fewer suffixes.
+        """
+        length = np.zeros(len(ends), np.int64)
+        live = np.flatnonzero(room > 0)
+        lo, hi = np.zeros(len(live), np.int64), np.full(len(live), self.n, np.int64)
+        k = 0
+        while len(live):
+            k += 1
+            c = text[ends[live] - k]
+            lo, hi = self.before[c] + self.bwt.rank(c, lo), self.before[c] + self.bwt.rank(c, hi)
+            ok = np.flatnonzero(hi > lo)
+            ok = ok[self.smallest_owner(lo[ok], hi[ok]) < owner[live[ok]]]
+            live, lo, hi = live[ok], lo[ok], hi[ok]
+            length[live] = k
+            more = room[live] > k
+            live, lo, hi = live[more], lo[more], hi[more]
+        return length
 
 
 def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated windows (id, start, n) of the phrases of whole triggers."""
     for t in runs_by_key(batches, "key", SHARD_ROWS):
         pieces = t.column("data").to_pylist()
         lens = np.array([len(x) // 8 for x in pieces], np.int64)
@@ -121,19 +141,25 @@ def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = np.repeat(np.arange(len(pieces)), lens)
         place = np.arange(len(symbols)) + piece
         text[place] = symbols + 1
-        owner = np.repeat(t.column("id").to_numpy(), lens + 1)
-        index = FMIndex(text, owner, len(words) + 1, int(lens.max()))
-        offset = place - begin[piece]
-        head = offset + WINDOW <= lens[piece]
-        at, piece, offset = place[head], piece[head], offset[head]
-        lo, hi = index.search(text, at, WINDOW)
-        again = index.smallest_owner(lo, hi) < owner[at]
-        yield merge_windows(owner[at][again], (t.column("start").to_numpy()[piece] + offset)[again])
-
-
-def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(id, z, spans): packed text of every document and its windows that start in a smaller document."""
-    return base.with_ranges(*base.repeated_ranges(spark, docs, base.word_units, WINDOW, TRIGGER, True, phrases, shard))
+        ids = t.column("id").to_numpy()
+        index = FMIndex(text, np.repeat(ids, lens + 1), len(words) + 1, int(lens.max()))
+        room = place + 1 - begin[piece]
+        full = room >= WINDOW  # a window can end here
+        end, piece, room = place[full] + 1, piece[full], room[full]
+        length = index.matching(text, end, room, ids[piece])
+        hit = length >= WINDOW
+        # the windows inside a match, from its start on; nearly all matches end one after the other
+        n = length[hit] - WINDOW + 1
+        start = (t.column("start").to_numpy()[piece] + room - WINDOW)[hit]
+        back = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        who, at = np.repeat(ids[piece][hit], n), np.repeat(start, n) - back
+        if len(at):
+            new = np.unique(np.stack((who, at), 1), axis=0)
+            who, at = new[:, 0], new[:, 1]
+        yield base.merge_windows(who, at)
+
+
+METHOD = base.Method(base.word_units, base.word_sequence, np.asarray, WINDOW, TRIGGER, MODULUS, True, shard)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, digest: bool = False) -> DataFrame:
@@ -146,28 +172,30 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, digest: bool = False) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "z", 500_000):
             rows = []
-            for i, z, spans in zip(*(batch.column(c).to_pylist() for c in ("id", "z", "spans")), strict=True):
+            for i, z, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "z", "spans")), strict=True):
                 words = base.unpack(z).split()
                 total, gone = len(words), 0
                 if spans:
-                    s, n = (np.array([x[k] for x in spans], np.int64) for k in ("start", "n"))
-                    out = base.covered(s, n, WINDOW, total)
+                    out = base.covered(spans, WINDOW, total)
                     gone = int(out.sum())
                     words = [w for w, x in zip(words, out.tolist(), strict=True) if not x]
                 kept = b" ".join(words)
-                rows.append((i if i != NULL_ID else None, total, gone, hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
+                rows.append((i, total, gone, hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())],
                 names=["doc_id", "n_words", "n_removed", kind],
             )
 
-    return repeats(spark, docs).mapInArrow(run, f"doc_id long, n_words long, n_removed long, {kind} string")
+    return base.repeated_ranges(spark, docs, METHOD).mapInArrow(run, f"doc_id long, n_words long, n_removed long, {kind} string")
 
 
 def op8_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from papyr.llm.common import read
+    """doc_id, n_words, n_removed, kept_sha256 of every document.
 
+    A null text has no words and the digest of nothing; repeated rows give equal
+    rows; an empty table gives none.
+    """
     return remove_repeats(spark, read(spark, sf_dir, "documents"), digest=True)
 
 

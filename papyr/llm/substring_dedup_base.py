@@ -1,21 +1,29 @@
-"""Repeated windows of a corpus: the parse, dictionary and fetch steps that the
+"""Repeated windows of a corpus: the parse, fetch and settling steps that the
 byte-level and the word-level substring operators share.
 
-1. Each task parses its documents (textunits.parse) and settles what it can see:
-   a phrase that occurred earlier in the same batch is repeated, whatever the
-   rest of the corpus holds, so only the first of each phrase goes on.  A hot
-   phrase therefore sends one row per batch, not one per occurrence.
-2. Rows are dealt by trigger.  Of equal phrases all but the first in corpus
-   order are repeated; first ones whose trigger also heads other phrases form
-   the dictionary that has to be compared window by window.
-3. The dictionary's phrases are fetched from their documents and compared in
-   shards (the caller's suffix array or FM-index).
+1. Each task parses its documents into phrases (textunits.parse).  A row stands
+   for a phrase with what follows it up to a window's length: an entry of the
+   parse's suffix order, cut at the depth that can matter.  Of equal rows of a
+   batch only the first goes on, so a hot phrase sends one row per batch.
+2. Rows are dealt by trigger.  Of equal ones all but the first in corpus order
+   are repeated as a whole: their longest match with an earlier text is all of
+   them.  First ones whose trigger also ends other phrases have to be compared
+   window by window; the units they cover are fetched from their documents and
+   compared in shards of whole triggers (the caller's suffix arrays or FM-index).
+3. A trigger of very many different phrases would be one large shard.  Such
+   triggers are found in a sample of the documents and by their number of rows;
+   their windows are dealt by two 64-bit hashes instead, and the first document
+   of each window is found by an aggregation with map-side combine.  The sample
+   decides only how rows are dealt, never what is found.
 4. Ranges are gathered per document and handed to the caller with the text.
+
+Equal phrases are told by 128 bits of hashes, words by 64.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +36,43 @@ from papyr.llm.common import NULL_ID, Tables, id_of, slices, width
 
 #: Bytes of text that a task parses at once; bounds its arrays.
 BATCH_BYTES = 1_000_000
-#: Dictionary rows of one trigger above which they are split by window.
+#: Different phrases of one trigger above which their windows are dealt by hash.
 GROUP = 1_000
-_SIGN = np.uint64(1 << 63)
+#: Rows of the sample from which a trigger counts as frequent, and the most of them that are told to the tasks.
+FREQUENT, MOST_FREQUENT = 16, 10_000
+#: The sample holds every SPARSE-th document, but that many documents where there are.
+SPARSE, SAMPLE = 64, 4096
+
+
+@dataclass(frozen=True)
+class Method:
+    """What the two operators do differently."""
+
+    #: texts -> (hashes of units, document of each unit, index of each document's first unit)
+    units: Callable
+    #: text -> array of its units: bytes, or hashes of words
+    sequence: Callable
+    #: units -> their hashes
+    values: Callable
+    window: int
+    trigger: int
+    modulus: int
+    #: only windows in documents of smaller id count
+    across: bool
+    #: mapInArrow function over (key, id, start, off, data) of whole keys -> (id, start, n) of repeated windows
+    shard: Callable
 
 
 def byte_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(units, document of each unit, index of each document's first unit)."""
     lens = np.array([len(x) for x in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     return tu.BYTE_VALUES[data], np.repeat(np.arange(len(texts), dtype=np.int32), lens), np.cumsum(lens) - lens
 
 
+def byte_sequence(text: bytes) -> np.ndarray:
+    return np.frombuffer(text, np.uint8)
+
+
 def word_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lens = np.array([len(x) + 1 for x in texts], np.int64)
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
@@ -49,61 +82,110 @@ def word_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tu.word_hashes(data, starts, ends), doc_of, np.searchsorted(doc_of, np.arange(len(texts)))
 
 
-def occurrences(units: Callable, window: int, trigger: int, across: bool) -> Callable:
-    """mapInArrow function over (id, text): rows (known, trig, ctx, id, start, n).
+def word_sequence(text: bytes) -> np.ndarray:
+    data = np.frombuffer(text, np.uint8)
+    return tu.word_hashes(data, *tu.words_of(data))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(id, doc_id, text binary): id orders documents as doc_id does, nulls first.
+
+    id is doc_id itself unless rows of one doc_id have different texts.  Those
+    are different documents, ordered by a hash of the text; then all documents
+    are numbered anew.
+    """
+    plain = docs.select(id_of().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    h = F.xxhash64("text")
+    if plain.select("id", h.alias("h")).groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").isEmpty():
+        return plain
+    own = plain.select("id", h.alias("h")).distinct().orderBy("id", "h")
+    places = own.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("id long, h long, place long")
+    return plain.withColumn("h", h).join(places, ["id", "h"]).select(F.col("place").alias("id"), "doc_id", "text")
+
+
+def _phrases(m: Method, batch: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(phrases with doc and start, sorted; whether each is the first of its kind in the batch)."""
+    ids = batch.column("id").to_numpy()
+    u, doc_of, first_unit = m.units([x or b"" for x in batch.column("text").to_pylist()])
+    r = tu.parse(u, doc_of, m.window, m.trigger, m.modulus)
+    d = doc_of[r["first"]]
+    start, doc = r["first"] - first_unit[d], ids[d]
+    order = np.lexsort((start, doc, r["ctx"], r["trig"]))
+    p = {"trig": r["trig"], "ctx": r["ctx"], "doc": doc, "start": start, "n": r["n"], "off": r["off"]}
+    p = {k: v[order] for k, v in p.items()}
+    head = np.ones(len(order), bool)
+    head[1:] = (p["trig"][1:] != p["trig"][:-1]) | (p["ctx"][1:] != p["ctx"][:-1])
+    at = np.flatnonzero(head)[np.cumsum(head) - 1] if len(head) else order  # the first occurrence of the same phrase here
+    same = (p["doc"] == p["doc"][at]) & (m.across | (p["start"] == p["start"][at]))
+    return p, same
+
+
+def frequent_triggers(plain: DataFrame, m: Method) -> np.ndarray:
+    """Sorted triggers that end many different phrases of a sample."""
+    every = max(1, min(SPARSE, plain.count() // SAMPLE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", BATCH_BYTES):
+            p, first = _phrases(m, batch)
+            trig, n = np.unique(p["trig"][first], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(trig[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["trig", "n"])
+
+    sample = plain.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("id", "text")
+    counts = sample.mapInArrow(run, "trig long, n long").groupBy("trig").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    top = counts.orderBy(F.desc("n"), "trig").limit(MOST_FREQUENT).toArrow().column("trig").to_numpy()
+    return np.sort(top.view(np.uint64))
+
 
-    known: the windows start..start+n-1 are repeated for certain.  across: only
-    occurrences in documents of smaller id count.
+def occurrences(m: Method, frequent) -> Callable:
+    """mapInArrow function over (id, text): rows (known, often, deal, ctx, id, start, n, off).
+
+    known: the windows start..start+n-1 are repeated for certain.  often: the
+    trigger is frequent, and its rows are dealt by the whole phrase.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = frequent.value
         for batch in slices(batches, "text", BATCH_BYTES):
-            ids = batch.column("id").to_numpy()
-            u, doc_of, first_unit = units([x or b"" for x in batch.column("text").to_pylist()])
-            r = tu.parse(u, doc_of, window, trigger)
-            d = doc_of[r["first"]]
-            start, doc = r["first"] - first_unit[d], ids[d]
-            order = np.lexsort((start, doc, r["ctx"], r["trig"]))
-            trig, ctx, start, doc, n = (x[order] for x in (r["trig"], r["ctx"], start, doc, r["n"]))
-            if not len(trig):
+            p, first = _phrases(m, batch)
+            if not len(first):
                 continue
-            head = np.concatenate(([True], (trig[1:] != trig[:-1]) | (ctx[1:] != ctx[:-1])))
-            at = np.flatnonzero(head)[np.cumsum(head) - 1]  # the first occurrence of the same phrase here
-            known = (doc != doc[at]) if across else (doc != doc[at]) | (start != start[at])
             # repeated windows that follow on from each other become one row
-            o = np.flatnonzero(known)
-            o = o[np.lexsort((start[o], doc[o]))]
-            kd, ks, kn = doc[o], start[o], n[o]
+            o = np.flatnonzero(~first)
+            o = o[np.lexsort((p["start"][o], p["doc"][o]))]
+            kd, ks, kn = p["doc"][o], p["start"][o], p["n"][o]
             if len(o):
                 cut = np.flatnonzero(np.concatenate(([True], (kd[1:] != kd[:-1]) | (ks[1:] != ks[:-1] + kn[:-1]))))
                 kn = np.add.reduceat(kn, cut)
                 kd, ks = kd[cut], ks[cut]
-            m = len(kd)
+            k = len(kd)
             spread = tu.fold(kd.astype(np.uint64), ks.astype(np.uint64))  # deals them out evenly
-            f = ~known
+            trig, ctx = p["trig"][first], p["ctx"][first]
+            often = np.isin(trig, hot) if len(hot) else np.zeros(len(trig), bool)
+            deal = np.where(often, tu.fold(trig, ctx), trig)
+            none = np.zeros(k, bool)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.repeat([True, False], [m, int(f.sum())])),
-                    pa.array(np.concatenate((spread, trig[f])).view(np.int64)),
-                    pa.array(np.concatenate((np.zeros(m, np.uint64), ctx[f])).view(np.int64)),
-                    pa.array(np.concatenate((kd, doc[f]))),
-                    pa.array(np.concatenate((ks, start[f])).astype(np.int32)),
-                    pa.array(np.concatenate((kn, n[f])).astype(np.int32)),
+                    pa.array(np.concatenate((~none, np.zeros(len(trig), bool)))),
+                    pa.array(np.concatenate((none, often))),
+                    pa.array(np.concatenate((spread, deal)).view(np.int64)),
+                    pa.array(np.concatenate((np.zeros(k, np.uint64), ctx)).view(np.int64)),
+                    pa.array(np.concatenate((kd, p["doc"][first]))),
+                    *(pa.array(np.concatenate((a, b)).astype(np.int32)) for a, b in ((ks, p["start"][first]), (kn, p["n"][first]), (np.zeros(k, np.int64), p["off"][first]))),
                 ],
-                names=["known", "trig", "ctx", "id", "start", "n"],
+                names=["known", "often", "deal", "ctx", "id", "start", "n", "off"],
             )
 
     return run
 
 
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text binary) -> (id, z): texts compressed before they are dealt out."""
+    """(id, doc_id, text binary) -> (id, doc_id, z): texts compressed before they are dealt out."""
     import zstandard
 
     press = zstandard.ZstdCompressor(level=3)
     for batch in slices(batches, "text", 4_000_000):
         z = [None if x is None else press.compress(x) for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(z, pa.binary())], names=["id", "z"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc_id"), pa.array(z, pa.binary())], names=["id", "doc_id", "z"])
 
 
 def unpack(z: bytes | None) -> bytes:
@@ -112,100 +194,134 @@ def unpack(z: bytes | None) -> bytes:
     return b"" if z is None else zstandard.ZstdDecompressor().decompress(z)
 
 
-def repeated_ranges(
-    spark: SparkSession, docs: DataFrame, units: Callable, window: int, trigger: int, across: bool,
-    phrases: Callable, shard: Callable,
-) -> tuple[DataFrame, DataFrame]:
-    """(texts, ranges): (id, z) of every document and (id, start, n) of its repeated windows.
+def _asked(batches: Iterator[pa.RecordBatch], m: Method) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(id, sequence of units, asks as rows of key, start, n, off) of every document that is asked for phrases."""
+    for batch in slices(batches, "z", 400_000):
+        for i, z, asks in zip(*(batch.column(x).to_pylist() for x in ("id", "z", "asks")), strict=True):
+            yield i, m.sequence(unpack(z)), np.array([[a["deal"], a["start"], a["n"], a["off"]] for a in asks], np.int64)
+
+
+def _pieces(m: Method) -> Callable:
+    """mapInArrow function: the units that each phrase asked for covers with its windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+        for i, seq, asks in _asked(batches, m):
+            for key, s, n, off in asks.tolist():
+                data = seq[s : s + n + m.window - 1].tobytes()
+                size += len(data)
+                rows.append((key, i, s, off, data))
+            if size > 2_000_000:
+                yield _batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows)
+
+    return run
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    key, i, s, off, data = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, i, s, off)), pa.array(data, pa.binary())], names=["key", "id", "start", "off", "data"])
+
+
+def _windows(m: Method) -> Callable:
+    """mapInArrow function: each window asked for as (h1, h2, id, starts), once per document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, seq, asks in _asked(batches, m):
+            starts = np.unique(np.concatenate([np.arange(s, s + n) for _, s, n, _ in asks.tolist()]))
+            values = m.values(seq)
+            h1, h2 = (tu.span_hashes(v, m.window)[0][starts] for v in (values, tu.mix(values)))
+            for at in range(0, len(starts), 100_000):  # one after the other, so that a long text stays in bounds
+                part = slice(at, at + 100_000)
+                o = np.lexsort((starts[part], h2[part], h1[part]))
+                a, b, s = h1[part][o], h2[part][o], starts[part][o]
+                if not m.across:
+                    head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+                    a, b, s, lens = a[head], b[head], s[head], np.ones(len(head), np.int64)
+                else:
+                    head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+                    lens = np.diff(np.concatenate((head, [len(s)])))
+                    a, b = a[head], b[head]
+                ends = np.concatenate(([0], np.cumsum(lens))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), i)), lists], names=["h1", "h2", "id", "starts"])
+
+    return run
+
+
+def repeated_ranges(spark: SparkSession, docs: DataFrame, m: Method) -> DataFrame:
+    """(id, doc_id, z, spans): every document's packed text and its repeated windows.
 
-    phrases(text, starts, ns, triggers, parts) gives the pieces asked of a
-    document as (keys, starts, ns, stored forms); shard gets the pieces of whole
-    keys and gives (id, start, n) of repeated windows.
+    spans are structs (start, n, first): windows that are repeated, but for
+    those of spans with `first`; null where nothing repeats.
     """
     tables = Tables(spark)
-    plain = docs.select(id_of().alias("id"), F.col("text").cast("binary").alias("text"))
-    found = plain.mapInArrow(
-        occurrences(units, window, trigger, across), "known boolean, trig long, ctx long, id long, start int, n int"
-    )
-    by_ctx = W.partitionBy("trig", "ctx")
-    order = by_ctx.orderBy("id") if across else by_ctx.orderBy("id", "start")
-    by_trig = W.partitionBy("trig")
+    plain = numbered(docs)
+    parsed = plain.select("id", "text")
+    frequent = spark.sparkContext.broadcast(frequent_triggers(parsed, m))
+    found = parsed.mapInArrow(occurrences(m, frequent), "known boolean, often boolean, deal long, ctx long, id long, start int, n int, off int")
+    same = W.partitionBy("deal", "ctx")
+    by_deal = W.partitionBy("deal")
     rows = (
-        found.repartition(F.col("trig"))
-        .withColumn("place", F.rank().over(order))
-        .withColumn("lo", F.min("ctx").over(by_trig))
-        .withColumn("hi", F.max("ctx").over(by_trig))
-        .withColumn("size", F.count("*").over(by_trig))
+        found.repartition(F.col("deal"))
+        .withColumn("place", F.rank().over(same.orderBy("id") if m.across else same.orderBy("id", "start")))
+        .withColumn("lo", F.min("ctx").over(by_deal))
+        .withColumn("hi", F.max("ctx").over(by_deal))
+        .withColumn("size", F.count("*").over(by_deal))
     )
     sure = F.col("known") | (F.col("place") > 1)
-    rows = rows.where(sure | (F.col("lo") != F.col("hi"))).select(
-        sure.alias("sure"), F.when(~sure, F.col("trig")).alias("trig"), "id", "start", "n",
-        F.when(~sure & (F.col("size") > GROUP), F.ceil(F.col("size") * (window - trigger + 1) / GROUP)).otherwise(0).alias("parts"),
-    )
-    rows = tables.settle(rows)
-    texts = plain.mapInArrow(packed, "id long, z binary")
-
-    asked = (
-        rows.where("not sure")
-        .select("id", F.struct("start", "n", "trig", "parts").alias("ask"))
-        .groupBy("id").agg(F.collect_list("ask").alias("asks"))
-    )
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "z", 400_000):
-            got: list[list] = [[], [], [], []]
-            for i, z, asks in zip(*(batch.column(x).to_pylist() for x in ("id", "z", "asks")), strict=True):
-                s, n, t, p = (np.array([a[k] for a in asks], np.int64) for k in ("start", "n", "trig", "parts"))
-                key, s, n, data = phrases(unpack(z), s, n, t, p)
-                got[0].append(key), got[1].append(np.full(len(s), i)), got[2].append(s), got[3].extend(data)
-            if got[3]:
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.concatenate(x).astype(np.int64)) for x in got[:3]), pa.array(got[3], pa.binary())],
-                    names=["key", "id", "start", "data"],
-                )
-
-    dictionary = texts.join(asked, "id").mapInArrow(fetch, "key long, id long, start long, data binary")
-    n = width(spark)
-    compared = (
-        dictionary.repartition(n, "key").sortWithinPartitions("key").mapInArrow(shard, "id long, start int, n int")
-    )
-    return texts, rows.where("sure").select("id", "start", "n").union(compared)
-
+    kind = F.when(sure, "sure").when(F.col("often") | (F.col("size") > GROUP), "often").when(F.col("lo") != F.col("hi"), "some")
+    rows = tables.settle(rows.withColumn("kind", kind).where("kind is not null").select("kind", F.when(~sure, F.col("deal")).alias("deal"), "id", "start", "n", "off"))
+    texts = plain.mapInArrow(packed, "id long, doc_id long, z binary")
+    one = texts.select("id", "z")
+
+    def asks(kind: str) -> DataFrame:
+        own = rows.where(F.col("kind") == kind).select("id", F.struct("deal", "start", "n", "off").alias("ask"))
+        return one.join(own.groupBy("id").agg(F.collect_list("ask").alias("asks")), "id")
+
+    pieces = asks("some").mapInArrow(_pieces(m), "key long, id long, start long, off long, data binary")
+    compared = pieces.repartition(width(spark), "key").sortWithinPartitions("key").mapInArrow(m.shard, "id long, start int, n int")
+    spans = rows.where("kind = 'sure'").select("id", "start", "n").union(compared).withColumn("first", F.lit(False))
+    often = rows.where("kind = 'often'")
+    if not often.isEmpty():
+        windows = asks("often").mapInArrow(_windows(m), "h1 long, h2 long, id long, starts array<int>")
+        first = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "starts")).alias("w")).select("w.id", F.explode("w.starts").alias("start"))
+        spans = spans.union(often.select("id", "start", "n", F.lit(False))).union(first.select("id", "start", F.lit(1), F.lit(True)))
+    spans = spans.groupBy("id").agg(F.collect_list(F.struct("start", "n", "first")).alias("spans"))
+    return texts.join(spans, "id", "left")
 
-def split_hot(key: np.ndarray, parts: np.ndarray, counts: np.ndarray, hashes: list[np.ndarray]) -> tuple:
-    """For phrases of hot triggers: one piece per window, dealt by the window's own hash.
 
-    Returns (row of each piece, its offset, its windows, its key).
-    """
-    row, off, num, keys = [], [], [], []
-    for i, (k, p, c) in enumerate(zip(key, parts, counts, strict=True)):
-        if p <= 1:
-            row.append([i]), off.append([0]), num.append([c]), keys.append([k])
-        else:
-            h = hashes[i][:c]
-            salt = (h % np.uint64(p)).astype(np.uint64)
-            row.append(np.full(c, i)), off.append(np.arange(c)), num.append(np.ones(c, np.int64))
-            keys.append(tu.fold(np.full(c, k).astype(np.int64).view(np.uint64), salt + np.uint64(1)).view(np.int64))
-    if not row:
-        e = np.empty(0, np.int64)
-        return e, e, e, e
-    return tuple(np.concatenate(x).astype(np.int64) for x in (row, off, num, keys))
-
-
-def covered(starts: np.ndarray, ns: np.ndarray, window: int, total: int) -> np.ndarray:
-    """Boolean mask of the units covered by windows starts..starts+ns-1 of a document of `total` units."""
+def covered(spans: list[dict] | None, window: int, total: int) -> np.ndarray:
+    """Boolean mask of the units of a document of `total` units that its repeated windows cover."""
+    if not spans:
+        return np.zeros(total, bool)
+    s, n, first = (np.array([x[k] for x in spans], np.int64) for k in ("start", "n", "first"))
     step = np.zeros(total + 1, np.int64)
-    lo = np.clip(starts, 0, total)
-    hi = np.clip(starts + ns - 1 + window, 0, total)
-    np.add.at(step, lo, 1)
-    np.add.at(step, hi, -1)
+    at = np.zeros(total + 1, np.int64)
+    plus = first == 0
+    np.add.at(at, np.clip(s[plus], 0, total), 1)
+    np.add.at(at, np.clip(s[plus] + n[plus], 0, total), -1)
+    again = np.cumsum(at[:total]) > 0
+    again[s[~plus]] = False
+    begin = np.flatnonzero(again)
+    np.add.at(step, begin, 1)
+    np.add.at(step, np.minimum(begin + window, total), -1)
     return np.cumsum(step[:total]) > 0
 
 
-def with_ranges(texts: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(id, z, spans) of every document; spans is null where nothing repeats."""
-    spans = ranges.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return texts.join(spans, "id", "left")
+def merge_windows(ids: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    """(id, start, n) of maximal runs of the windows given."""
+    o = np.lexsort((starts, ids))
+    ids, starts = ids[o], starts[o]
+    cut = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + 1)))) if len(ids) else np.empty(0, np.int64)
+    last = np.concatenate((cut[1:], [len(ids)])).astype(np.int64) - 1 if len(ids) else cut
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[cut]), pa.array(starts[cut].astype(np.int32)), pa.array((starts[last] - starts[cut] + 1).astype(np.int32))],
+        names=["id", "start", "n"],
+    )
 
 
-__all__ = ["NULL_ID", "byte_units", "covered", "repeated_ranges", "split_hot", "unpack", "with_ranges", "word_units"]
+__all__ = ["NULL_ID", "Method", "byte_sequence", "byte_units", "covered", "merge_windows", "repeated_ranges", "unpack", "word_sequence", "word_units"]

@@ -1,17 +1,24 @@
 """Suffix-array dedup of byte strings by prefix-free parsing.
 
-Rolling-hash triggers cut every document into overlapping phrases such that
-equal strings of WINDOW bytes are cut alike wherever they stand.  The
-dictionary keeps one copy of each distinct phrase, the parse is the list of
-(document, start, phrase) in corpus order.  Phrases that occur again are
-settled on the parse alone; what is left of the dictionary is sorted by a
-suffix array per shard (prefix doubling over whole bytes up to the window), and
-its runs of equal ranks, read in corpus order, give the remaining repeats.
+Rolling-hash triggers cut every document into phrases that end with a trigger,
+so that equal strings of WINDOW bytes are cut alike wherever they stand.  The
+dictionary keeps one copy of each distinct phrase, the parse is the sequence of
+phrases of every document.  A window begins in some suffix of a phrase, which
+holds the phrase's trigger and is a prefix of no other such suffix, and goes on
+in the phrases that follow.  So corpus order, down to WINDOW bytes, is the order
+of (rank of the phrase suffix in the suffix array of the dictionary, rank of what
+follows in the suffix array of the parse); neighbours in it whose common prefix
+has WINDOW bytes are equal windows, and all but the first in the corpus go.
+
+The order is made in shards of whole triggers (substring_dedup_base), since
+equal windows have one trigger.  Parse suffixes that are equal down to the depth
+that matters are one entry of the parse's array, settled while rows are dealt.
 Order beyond WINDOW bytes cannot change a result and is not computed.
 
 Defined results: a null text is empty; a text shorter than WINDOW has nothing
 removed; rows repeated under one doc_id are one document and get equal rows; a
-null doc_id sorts before all others.
+null doc_id sorts before all others; rows of one doc_id with different texts are
+different documents, ordered by a hash of the text.
 """
 
 from __future__ import annotations
@@ -22,95 +29,120 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from papyr.llm import substring_dedup_base as base
 from papyr.llm import textunits as tu
-from papyr.llm.common import NULL_ID, runs_by_key, slices
+from papyr.llm.common import read, runs_by_key, slices
 
 WINDOW = 100
-#: Length of a trigger; WINDOW - TRIGGER + 1 spans compete in each window.
-TRIGGER = 40
-#: Dictionary phrases that a shard sorts at once.
+#: Length of a trigger in bytes, and the divisor of its hash.
+TRIGGER, MODULUS = 32, 64
+#: Phrases whose order a shard makes at once.
 SHARD_ROWS = 6_000
 
 
-def suffix_ranks(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of data[i:i+depth] among all such strings, equal strings alike; -1 where fewer bytes are left before ends[i].
+def suffix_ranks(symbols: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """Rank of symbols[i:ends[i]], cut at `depth` symbols or more, among all such strings; equal strings have one rank.
 
-    Prefix doubling: ranks of 2n bytes come from sorting pairs of ranks of n.
+    Prefix doubling: ranks of 2n symbols come from sorting pairs of ranks of n;
+    a string that ends first comes first.
     """
-    room = ends - np.arange(len(data))
-    size = min(8, depth)
-    n = len(data)
-    value = np.zeros(n, np.uint64)
-    for k in range(min(size, n)):
-        value[: n - k] |= data[k:].astype(np.uint64) << np.uint64(8 * (7 - k))
-    live = np.flatnonzero(room >= size)
-    rank = np.full(n, -1, np.int64)
-    rank[live] = np.unique(value[live], return_inverse=True)[1]
-    while size < depth:
-        step = min(size, depth - size)
-        size += step
-        live = np.flatnonzero(room >= size)
-        pair = (rank[live] << np.int64(32)) | rank[live + step]
-        rank = np.full(n, -1, np.int64)
-        rank[live] = np.unique(pair, return_inverse=True)[1]
+    n = len(symbols)
+    room = ends - np.arange(n)
+    rank = symbols.astype(np.int64)
+    size = 1
+    if symbols.dtype == np.uint8:  # seven bytes fit a number, with the string's length behind them
+        rank = np.zeros(n, np.int64)
+        for k in range(min(7, n)):
+            rank[: n - k] |= np.where(room[: n - k] > k, symbols[k:], 0).astype(np.int64) << np.int64(8 * (6 - k) + 4)
+        rank = np.unique(rank | np.minimum(room, 7), return_inverse=True)[1]
+        size = 7
+    while size < min(depth, n):
+        follow = np.zeros(n, np.int64)
+        follow[: n - size] = np.where(room[: n - size] > size, rank[size:] + 1, 0)
+        rank = np.unique((rank << np.int64(32)) | follow, return_inverse=True)[1]
+        size *= 2
     return rank
 
 
-def merge_windows(ids: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-    """(id, start, n) of maximal runs of the windows given."""
-    o = np.lexsort((starts, ids))
-    ids, starts = ids[o], starts[o]
-    cut = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + 1)))) if len(ids) else np.empty(0, np.int64)
-    last = np.concatenate((cut[1:], [len(ids)])).astype(np.int64) - 1 if len(ids) else cut
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids[cut]), pa.array(starts[cut].astype(np.int32)), pa.array((starts[last] - starts[cut] + 1).astype(np.int32))],
-        names=["id", "start", "n"],
-    )
+def phrases_behind(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, end) of the phrases that follow on: data[begin:end] of each row is cut behind every trigger that begins inside begin-TRIGGER+1..end-TRIGGER."""
+    hashes = tu.span_hashes(tu.BYTE_VALUES[data], TRIGGER)[0]
+    at = np.flatnonzero(tu.is_trigger(hashes, MODULUS)) + TRIGGER
+    row = np.searchsorted(end, at, side="left")  # rows lie one after the other
+    ok = row < len(end)
+    at, row = at[ok], row[ok]
+    ok = (at > begin[row]) & (at < end[row])
+    full = np.flatnonzero(end > begin)
+    row, at = np.concatenate((row[ok], full)), np.concatenate((at[ok], end[full]))
+    o = np.lexsort((at, row))
+    return row[o], at[o]
 
 
-def phrases(text: bytes, starts: np.ndarray, ns: np.ndarray, triggers: np.ndarray, parts: np.ndarray) -> tuple:
-    hashes = []
-    if (parts > 1).any():
-        for s, n, p in zip(starts, ns, parts, strict=True):
-            hashes.append(tu.span_hashes(tu.BYTE_VALUES[np.frombuffer(text, np.uint8)[s : s + n + WINDOW - 1]], WINDOW)[0] if p > 1 else None)
-    row, off, num, key = base.split_hot(triggers, parts, ns, hashes)
-    at = starts[row] + off
-    return key, at, num, [text[a : a + n + WINDOW - 1] for a, n in zip(at, num, strict=True)]
+def equal_windows(data: np.ndarray, begin: np.ndarray, length: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset, group) of every window of the rows data[begin:begin+length], in which a trigger stands at `off`.
+
+    Windows of one group are equal, those of different groups are not.
+    """
+    end, join = begin + length, begin + off + TRIGGER
+    # the parse: a first phrase for each row, cut at the row's first window, then those that follow up to the row's end
+    row, stop = phrases_behind(data, join, end)
+    start = np.where(np.concatenate(([True], row[1:] != row[:-1])), join[row], np.concatenate(([0], stop[:-1]))) if len(row) else stop
+    ps, pe = np.concatenate((begin, start)), np.concatenate((join, stop))
+    # the dictionary: distinct phrases one after the other, and its suffix array
+    text = data.tobytes()
+    ids: dict[bytes, int] = {}
+    phrase = np.fromiter((ids.setdefault(text[a:b], len(ids)) for a, b in zip(ps.tolist(), pe.tolist(), strict=True)), np.int64, len(ps))
+    lens = np.fromiter(map(len, ids), np.int64, len(ids))
+    place = np.cumsum(lens) - lens
+    rank = suffix_ranks(np.frombuffer(b"".join(ids), np.uint8), np.repeat(place + lens, lens), WINDOW)
+    # the suffix array of the parse: what follows each row's first phrase, as ranks of phrases
+    m = len(begin)
+    count = np.bincount(row, minlength=m)
+    first = np.cumsum(count) - count
+    follow = suffix_ranks(rank[place[phrase[m:]]], np.repeat(first + count, count), int(count.max(initial=1)))
+    own = np.full(m, -1, np.int64)
+    own[count > 0] = follow[first[count > 0]]
+    order = np.argsort(own, kind="stable")
+    # common prefixes of neighbours in that order, in bytes
+    reach = max(1, int((end - join).max(initial=0)))
+    k = join[:, None] + np.arange(reach)[None, :]
+    after = np.where(k < end[:, None], data[np.minimum(k, len(data) - 1)].astype(np.int16), -1)[order]
+    differ = np.concatenate((np.ones((1, reach), bool), after[1:] != after[:-1]))
+    common = np.where(differ.any(1), differ.argmax(1), reach)
+    # for each number of bytes needed behind the trigger, the run of parse suffixes that share them
+    runs = np.empty((m, reach + 1), np.int64)
+    runs[order] = np.cumsum(common[:, None] < np.arange(reach + 1)[None, :], axis=0)
+    n = length - WINDOW + 1
+    r = np.repeat(np.arange(m), n)
+    j = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
+    need = WINDOW - (off[r] + TRIGGER - j)
+    group = np.unique((rank[place[phrase[r]] + j] << np.int64(32)) | runs[r, need], return_inverse=True)[1]
+    return r, j, group
 
 
 def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated windows (id, start, n) of the phrases of whole triggers."""
     for t in runs_by_key(batches, "key", SHARD_ROWS):
         pieces = t.column("data").to_pylist()
-        lens = np.array([len(x) for x in pieces], np.int64)
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        end = np.cumsum(lens)
-        rank = suffix_ranks(data, np.repeat(end, lens), WINDOW)
-        at = np.flatnonzero(rank >= 0)
-        piece = np.repeat(np.arange(len(pieces)), lens)[at]
-        ids = t.column("id").to_numpy()[piece]
-        starts = t.column("start").to_numpy()[piece] + at - (end - lens)[piece]
-        o = np.lexsort((starts, ids, rank[at]))
-        r, i, s = rank[at][o], ids[o], starts[o]
-        head = np.concatenate(([True], r[1:] != r[:-1]))
-        first = np.flatnonzero(head)[np.cumsum(head) - 1]
+        length = np.array([len(x) for x in pieces], np.int64)
+        ids, starts, off = (t.column(c).to_numpy() for c in ("id", "start", "off"))
+        row, j, group = equal_windows(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(length) - length, length, off)
+        i, s = ids[row], starts[row] + j
+        o = np.lexsort((s, i, group))
+        g, i, s = group[o], i[o], s[o]
+        head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        first = np.repeat(head, np.diff(np.concatenate((head, [len(g)]))))
         again = (i != i[first]) | (s != s[first])
-        yield merge_windows(i[again], s[again])
+        yield base.merge_windows(i[again], s[again])
 
 
-def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(id, z, spans): packed text of every document and the ranges of windows that start earlier too."""
-    return base.with_ranges(*base.repeated_ranges(spark, docs, base.byte_units, WINDOW, TRIGGER, False, phrases, shard))
+METHOD = base.Method(base.byte_units, base.byte_sequence, tu.byte_values, WINDOW, TRIGGER, MODULUS, False, shard)
 
 
 def _cut(text: bytes, spans: list | None) -> tuple[int, int, bytes]:
     """(bytes removed, maximal removed runs, bytes kept)."""
-    if not spans:
-        return 0, 0, text
-    s, n = (np.array([x[k] for x in spans], np.int64) for k in ("start", "n"))
-    gone = base.covered(s, n, WINDOW, len(text))
+    gone = base.covered(spans, WINDOW, len(text))
     edges = np.diff(np.concatenate(([False], gone)).astype(np.int8))
     return int(gone.sum()), int((edges == 1).sum()), np.frombuffer(text, np.uint8)[~gone].tobytes()
 
@@ -126,22 +158,25 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, digest: bool = False) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "z", 500_000):
             rows = []
-            for i, z, spans in zip(*(batch.column(c).to_pylist() for c in ("id", "z", "spans")), strict=True):
+            for i, z, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "z", "spans")), strict=True):
                 text = base.unpack(z)
                 gone, runs, kept = _cut(text, spans)
-                rows.append((i if i != NULL_ID else None, len(text), gone, runs, hashlib.sha256(kept).hexdigest() if digest else kept))
+                rows.append((i, len(text), gone, runs, hashlib.sha256(kept).hexdigest() if digest else kept))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string() if digest else pa.binary())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", kind.split()[0]],
             )
 
-    return repeats(spark, docs).mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {kind}")
+    return base.repeated_ranges(spark, docs, METHOD).mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {kind}")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from papyr.llm.common import read
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
 
+    A null text has 0 bytes and the digest of nothing; repeated rows give equal
+    rows; an empty table gives none.
+    """
     return remove_repeats(spark, read(spark, sf_dir, "documents"), digest=True)
 
 

@@ -1,4 +1,4 @@
-"""Vectorised hashing and local-minimum parsing of byte and word sequences.
+"""Vectorised hashing and prefix-free parsing of byte and word sequences.
 
 A batch of documents is laid out as one flat array of 64-bit unit values (one
 per byte or per word).  Every function here is a pure numpy function of that
@@ -32,6 +32,12 @@ def fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 BYTE_VALUES = mix(np.arange(256, dtype=np.uint64))
+
+
+def byte_values(data: np.ndarray) -> np.ndarray:
+    return BYTE_VALUES[data]
+
+
 _POSITION = mix(np.arange(1 << 12, dtype=np.uint64) + U(1 << 20)) | U(1)
 
 
@@ -97,29 +103,38 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(sums + length.astype(np.uint64) * _M3)
 
 
-def parse(units: np.ndarray, doc_of: np.ndarray, window: int, trigger: int) -> dict[str, np.ndarray]:
-    """Prefix-free parse of a flat batch into trigger occurrences with the windows they own.
+def parse(units: np.ndarray, doc_of: np.ndarray, window: int, trigger: int, modulus: int) -> dict[str, np.ndarray]:
+    """Prefix-free parse of a flat batch into phrases that end with a trigger.
 
-    Every window of `window` units holds window-trigger+1 trigger-length spans;
-    the leftmost span with the smallest rolling hash owns it.  The owner depends
-    on the window's units alone, so equal windows have equal owners at equal
-    offsets, anywhere in the corpus.  Windows with one owner are consecutive and
-    form one row: trig and ctx (64-bit hashes of the trigger and of the whole
-    phrase, that is the union of its windows), first and n (flat index of the
-    first window, number of windows).  No window crosses a document.
+    A trigger is a span of `trigger` units whose rolling hash is divisible by
+    `modulus`.  A window of `window` units belongs to the first trigger inside
+    it, or to its leftmost smallest rolling hash where it holds none.  That
+    depends on the window's units alone, so equal windows belong to equal
+    triggers at equal offsets, anywhere in the corpus.  Windows of one trigger
+    are consecutive and form a row: trig and ctx (64-bit hashes of the trigger
+    and of the union of the windows, that is the phrase and what follows it up
+    to a window's length), first and n (flat index of the first window, number
+    of windows), off (from the first window to the trigger).  No window crosses
+    a document.
     """
     n = len(units) - window + 1
     if n <= 0:
         z = np.empty(0, np.int64)
-        return {"trig": z.view(np.uint64), "ctx": z.view(np.uint64), "first": z, "n": z, "whole": z.view(np.uint64)}
+        return {"trig": z.view(np.uint64), "ctx": z.view(np.uint64), "first": z, "n": z, "off": z}
     short, whole = span_hashes(units, trigger, window)
-    own = leftmost_minimum(mix(short), window - trigger + 1)[:n]
+    value = mix(short)
+    value[value % U(modulus) == 0] = 0
+    own = leftmost_minimum(value, window - trigger + 1)[:n]
     inside = doc_of[:n] == doc_of[window - 1 :]
     key = np.where(inside, own, -1)
     cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc_of[1:n] != doc_of[: n - 1]))))
     size = np.diff(np.concatenate((cut, [n])))
     ok = key[cut] >= 0
     first, size = cut[ok], size[ok]
-    last = first + size - 1
-    ctx = fold(fold(whole[first], whole[last]), size.astype(np.uint64))
-    return {"trig": short[own[first]], "ctx": ctx, "first": first, "n": size, "whole": whole}
+    ctx = fold(fold(whole[first], whole[first + size - 1]), size.astype(np.uint64))
+    return {"trig": short[own[first]], "ctx": ctx, "first": first, "n": size, "off": own[first] - first}
+
+
+def is_trigger(hashes: np.ndarray, modulus: int) -> np.ndarray:
+    """Which rolling hashes of spans, as span_hashes gives them, are triggers."""
+    return mix(hashes) % U(modulus) == 0
