@@ -22,10 +22,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where nothing is set."""
+    """The folder of spark.checkpoint.dir; a temporary one where nothing is set and the session is local, else an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="papyr-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir()
@@ -125,6 +127,20 @@ def runs_by_key(
         yield pa.Table.from_batches(held)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], size: str, total: int, most: int = 10_000, least: int = 1_000) -> DataFrame:
+    """Inner join of `rows` with `table`, which has a row for each key and the key's number of rows as `size`.
+
+    Keys of more than total / most rows, at most `most` of them for `total` rows
+    in all, are broadcast, so that the rows of a hot key need not meet in one
+    task; the others are shuffled.  `rows` is read twice.
+    """
+    keys = [key] if isinstance(key, str) else key
+    hot = F.col(size) > max(least, total // most)
+    marked = rows.join(F.broadcast(table.where(hot).withColumn("_hot", F.lit(True))), keys, "left")
+    rest = marked.where("_hot is null").select(*rows.columns).join(table.where(~hot), keys)
+    return marked.where("_hot").drop("_hot").unionByName(rest)
+
+
 def dealt_in_blocks(rows: DataFrame, key: str, member: str, size: int, bounded: bool = False) -> DataFrame:
     """`rows` with (block, x, y, cell): members of a group of over `size` go to all block pairs they take part in.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyr.llm.common import Tables
+from papyr.llm.common import Tables, join_hot
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,9 +57,10 @@ def connected_components(links: DataFrame, tables: Tables) -> DataFrame:
     """(node, component) for every node of `links`(a long, b long); component is the smallest node.
 
     Alternates large-star and small-star steps, each an aggregation with
-    map-side combine and a join that adaptive execution can split, until the
-    links are stars.  Links of a node with itself are ignored; no links give
-    no rows.  Every round is written to the shared folder.
+    map-side combine and a join, until the links are stars.  A hub, however
+    many links it has, is joined where its links lie (join_hot).  Links of a
+    node with itself are ignored; no links give no rows.  Every step is written
+    to the shared folder.
     """
     edges, path = tables.write(links.select("a", "b").where("a <> b").mapInArrow(_local_forests, "a long, b long"))
     before = None
@@ -69,17 +70,19 @@ def connected_components(links: DataFrame, tables: Tables) -> DataFrame:
             break
         before = now
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("links"))
+        large = join_hot(both.where("b > a"), low, "a", "links", 2 * now[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large, large_path = tables.write(large)
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("links"))
         small = (
-            large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            join_hot(large, least, "a", "links", 2 * now[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(least.select("a", F.col("m").alias("b")))
             .distinct()
         )
         # (b, m) with b < m cannot occur: m is the smallest neighbour
         new, new_path = tables.write(small)
         tables.drop(path)
+        tables.drop(large_path)
         edges, path = new, new_path
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
