@@ -7,7 +7,9 @@ pair can be merged.  Words repeat, so results are kept by word in a bounded
 table of each worker.
 
 The vocabulary is read from a tokenizer file by the driver and broadcast; its
-size is that of the file.  Supported: BPE models with NFC, whitespace and
+size is that of the file.  With it go the letters, numbers and capitals of the
+tokenizers library's own Unicode tables, which are of another version than
+Python's.  Supported: BPE models with NFC, whitespace and
 lower-case normalisers, a removing or isolating split by a pattern, byte-level
 symbols, an end-of-word suffix and added special tokens.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -29,8 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from papyr.llm.common import process_state, read, slices
 
 _NONE = 1 << 62
-#: Words that a worker keeps with their ids.
-CACHE_WORDS = 300_000
+#: Where read_spec puts the library's tables.
+_TABLES = "_library_tables"
+#: Bytes of the words, and of their ids, that a worker keeps, and what each costs beside.
+CACHE_BYTES, CACHE_ROW = 48_000_000, 200
 
 
 def byte_symbols() -> list[str]:
@@ -100,25 +105,53 @@ def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
 class Words(dict):
     """Ids by word, computed when first asked for.
 
-    Holds two generations of at most `most` words: when the young one is full
-    the old one goes, so frequent words stay and memory is bounded.
+    Holds two generations of at most `most` bytes each: when the young one is
+    full the old one goes, so frequent words stay and memory is bounded.  A word
+    that alone takes more than a tenth of that is not kept.
     """
 
     def __init__(self, compute, most: int):
         super().__init__()
-        self.compute, self.most, self.old = compute, most, {}
+        self.compute, self.most, self.old, self.size = compute, most, {}, 0
 
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
             found = self.compute(word)
-        if len(self) >= self.most:
-            self.old = dict(self)
+        size = len(word) + len(found) + CACHE_ROW
+        if 10 * size > self.most:
+            return found
+        if self.size + size > self.most:
+            self.old, self.size = dict(self), 0
             self.clear()
+        self.size += size
         self[word] = found
         return found
 
 
+def library_tables() -> dict[str, list]:
+    """Letters and numbers that Python's patterns know and the tokenizers library does not, as ranges, and capitals that only the library lowers.
+
+    All are code points that are unassigned in one of the Unicode versions.
+    """
+    import regex
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out: dict[str, list] = {}
+    for kind in ("L", "N"):
+        ours = regex.findall(rf"\p{{{kind}}}", every)
+        theirs = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}"), "removed", invert=True).pre_tokenize_str("".join(ours))
+        odd = sorted(map(ord, {*ours} - {c for c, _ in theirs}))
+        heads = [c for i, c in enumerate(odd) if not i or odd[i - 1] != c - 1]
+        ends = [c for i, c in enumerate(odd) if i + 1 == len(odd) or odd[i + 1] != c + 1]
+        out[kind] = list(zip(heads, ends, strict=True))
+        if kind == "L":
+            low = normalizers.Lowercase().normalize_str
+            out["lower"] = [(ord(c), ord(low(c))) for c in ours if unicodedata.category(c) == "Cn" and low(c) != c]
+    return out
+
+
 class Codec:
     """Encodes and decodes as the tokenizer file says."""
 
@@ -141,12 +174,26 @@ class Codec:
         split = next(p for p in pre.get("pretokenizers", [pre]) if p["type"] == "Split")
         # white space is the Unicode property, which leaves out the separators U+001C to U+001F
         white = r"\t-\r\x20\x85\xa0  -     　"
-        self.words = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", f"[^{white}")).findall
+        pattern = split["pattern"]["Regex"].replace(r"[^\s", f"[^{white}")
+        self.words = regex.compile(pattern).findall
+        # texts with code points whose class differs take the same pattern with the library's classes, which is slower
+        tables = spec.get(_TABLES) or {"L": [], "N": [], "lower": []}
+        every = [*tables["L"], *tables["N"], *((a, a) for a, _ in tables["lower"])]
+        ranges = lambda rows: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in rows)
+        least = min((a for a, _ in every), default=0x10FFFF)
+        self.high = re.compile(f"[\\U{least:08x}-\\U0010ffff]").search
+        self.odd = regex.compile(f"[{ranges(every)}]").search if every else lambda _: None
+        own = pattern
+        for k in ("L", "N"):
+            if tables[k]:
+                own = own.replace(rf"[\p{{{k}}}]", rf"[\p{{{k}}}--[{ranges(tables[k])}]]").replace(rf"[^{white}\p{{L}}\p{{N}}]", rf"(?:[^{white}\p{{L}}\p{{N}}]|[{ranges([*tables['L'], *tables['N']])}])")
+        self.odd_words = regex.compile(own, regex.V1).findall
+        self.capitals = dict(tables["lower"])
         top = max([*self.vocab.values(), *self.special.values()]) + 1
         self.tokens = [""] * top
         for t, i in [*self.vocab.items(), *self.special.items()]:
             self.tokens[i] = t
-        self.cache = Words(self.encode_word, CACHE_WORDS // 2)
+        self.cache = Words(self.encode_word, CACHE_BYTES // 2)
 
     def encode_word(self, word: str) -> bytes:
         """Ids of one word as little-endian unsigned 32-bit integers."""
@@ -165,7 +212,10 @@ class Codec:
 
     def _plain(self, text: str) -> bytes:
         cache = self.cache
-        return b"".join([cache[w] for w in self.words(self.normal(text))])
+        text, words = self.normal(text), self.words
+        if self.high(text) and self.odd(text):
+            text, words = text.translate(self.capitals) if self.lower else text, self.odd_words
+        return b"".join([cache[w] for w in words(text)])
 
     def encode(self, text: str) -> bytes:
         if self.split_special is None or not self.split_special.search(text):
@@ -183,8 +233,9 @@ class Codec:
 
 
 def read_spec(path: str) -> str:
+    """The tokenizer file with the library's tables beside it."""
     with open(path, encoding="utf-8") as f:
-        return f.read()
+        return json.dumps(json.load(f) | {_TABLES: library_tables()}, ensure_ascii=False)
 
 
 def codec(spec) -> Codec:
@@ -249,4 +300,9 @@ def public_spec(spark: SparkSession, name: str = "word_bpe_49k.json"):
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text.
+
+    A null or empty text has no tokens and the digests of nothing; a null doc_id
+    stays null; repeated rows give repeated results; an empty table gives none.
+    """
     return digests(read(spark, sf_dir, "documents"), public_spec(spark))
