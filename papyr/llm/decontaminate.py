@@ -5,11 +5,13 @@ others, so a seed survives substitutions at ignored positions.  Seeds of the
 benchmark and of every position of every document are joined by hash; each hit
 is then verified on the tokens: of REACH aligned tokens around it at least
 MATCHES must be equal.  Both sides of a hit are compared at one offset, so
-tokens may be substituted, not inserted.
+tokens may be substituted, not inserted.  An item shorter than SPAN tokens has
+one seed, all of its tokens, and is found where all of them stand unchanged.
 
-Defined results: null or short texts (fewer than SPAN tokens) and items hit
-nothing; an item shorter than SPAN tokens cannot be told from common phrases
-and is left out; repeated rows give one result.
+Defined results: null texts, texts and items without tokens hit nothing; a null
+doc_id or item_id is a value of its own and stays null; repeated rows, of
+documents or of items, count once; rows of one doc_id are one document; a text
+shorter than SPAN tokens can only hold short items.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyr.llm.common import id_of, read
+from papyr.llm.common import NULL_ID, id_of, read
 
 #: Selected positions (1) of 13 tokens; weight 7.
 MASKS = ("1101001100011", "1010110010101", "1110000110101")
@@ -37,8 +39,8 @@ def tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.hash(w))
 
 
-def _pieces(df: DataFrame, key: str) -> DataFrame:
-    """(key, s, skip, w): PIECE positions each, w their tokens with the margins; s is the first position and w[skip] its token.
+def _pieces(df: DataFrame, key: str, span: int = SPAN, margin: int = MARGIN) -> DataFrame:
+    """(key, s, skip, m, w): m positions each, w their tokens with the margins; s is the first position and w[skip] its token.
 
     Rows that follow carry w, a bounded array, and not the tokens of a whole
     text: the work stays in proportion to the text however long it is.  The
@@ -47,35 +49,49 @@ def _pieces(df: DataFrame, key: str) -> DataFrame:
     """
     tok = df.select(key, F.explode(F.array(tokens(F.col("text")))).alias("tok"))
     n = F.size("tok")
-    skip = lambda s: F.least(s, F.lit(MARGIN))
+    skip = lambda s: F.least(s, F.lit(margin))
     cut = F.transform(
-        F.sequence(F.lit(0), n - SPAN, F.lit(PIECE)),
+        F.sequence(F.lit(0), n - span, F.lit(PIECE)),
         lambda s: F.struct(
-            s.alias("s"), skip(s).alias("skip"), F.least(F.lit(PIECE), n - SPAN + 1 - s).alias("m"),
-            F.slice("tok", s - skip(s) + 1, skip(s) + PIECE + SPAN - 1 + MARGIN).alias("w"),
+            s.alias("s"), skip(s).alias("skip"), F.least(F.lit(PIECE), n - span + 1 - s).alias("m"),
+            F.slice("tok", s - skip(s) + 1, skip(s) + PIECE + span - 1 + margin).alias("w"),
         ),
     )
-    return tok.select(key, F.inline(F.when(n >= SPAN, cut)))
+    return tok.select(key, F.inline(F.when(n >= span, cut)))
 
 
-def _seeds(df: DataFrame) -> DataFrame:
-    """A row for each position and mask of the pieces: the seed, its position `at` and its place `j` in w."""
-    at = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+def _seeds(pieces: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
+    """A row for each position and mask of the pieces: the mask's number, the seed, its position `at` and its place `j` in w."""
+    at = pieces.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     at = at.select("*", (F.col("skip") + F.col("k")).alias("j"))
     seeds = F.array(
         *(
             F.xxhash64(F.lit(m), *(F.get("w", F.col("j") + k) for k, bit in enumerate(mask) if bit == "1"))
-            for m, mask in enumerate(MASKS)
+            for m, mask in enumerate(masks)
         )
     )
-    return at.withColumn("seed", F.explode(seeds)).withColumn("at", F.col("s") + F.col("k"))
+    return at.select("*", F.posexplode(seeds).alias("mask", "seed")).withColumn("at", F.col("s") + F.col("k"))
+
+
+def _short_hits(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
+    """(doc_id, item_id, at, item_at, mask, matched) of items of `length` tokens, fewer than SPAN, that stand in documents as a whole."""
+    whole = ("1" * length,)
+    own = _seeds(_pieces(docs, "doc_id", length, 0), whole).select("doc_id", "at", "seed", F.slice("w", F.col("j") + 1, length).alias("tok"))
+    test = items.select("item_id", tokens(F.col("text")).alias("item")).where(F.size("item") == length).distinct()
+    test = test.withColumn("seed", F.xxhash64(F.lit(0), *(F.get("item", F.lit(k)) for k in range(length))))
+    # an item of bounded size gives one row, so the table is about as large as the benchmark; it decides how the join is made
+    bounded = test.count() <= BROADCAST_SEEDS
+    hits = own.join(F.broadcast(test) if bounded else test.hint("merge"), "seed").where("tok = item")
+    return hits.select("doc_id", "item_id", "at", F.lit(0).alias("item_at"), F.lit(0).alias("mask"), F.lit(length).alias("matched"))
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_hits, n_matched, first_token) of documents that hold most of a passage of an item."""
-    own = _seeds(_pieces(docs.select(id_of().alias("doc_id"), "text"), "doc_id"))
-    test = _seeds(_pieces(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id"))
-    test = test.select("seed", "item_id", F.col("at").alias("item_at"), F.col("w").alias("item"), F.col("j").alias("i"))
+    docs = docs.select(id_of().alias("doc_id"), "text")
+    items = items.select(id_of("item_id").alias("item_id"), "text")
+    own = _seeds(_pieces(docs, "doc_id"))
+    test = _seeds(_pieces(items, "item_id"))
+    test = test.select("seed", "item_id", "mask", F.col("at").alias("item_at"), F.col("w").alias("item"), F.col("j").alias("i"))
     # the number of seeds, of bounded size each, decides how the join is made
     bounded = test.count() <= BROADCAST_SEEDS
     hits = own.select("doc_id", "at", "j", "w", "seed").join(F.broadcast(test) if bounded else test.hint("merge"), "seed")
@@ -86,21 +102,30 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
             lambda k: F.coalesce(F.get("w", F.col("j") + k) == F.get("item", F.col("i") + k), F.lit(False)),
         )
     )
+    hits = hits.select("doc_id", "item_id", "at", "item_at", "mask", same.alias("matched")).where(F.col("matched") >= MATCHES)
+    # at most SPAN - 1 lengths; most benchmarks have none of them
+    n = F.size(tokens(F.col("text")))
+    for row in items.select(n.alias("n")).where((n > 0) & (n < SPAN)).distinct().orderBy("n").collect():
+        hits = hits.union(_short_hits(docs, items, row["n"]))
+    shown = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
     return (
-        hits.select("doc_id", "item_id", "at", same.alias("matched"))
-        .where(F.col("matched") >= MATCHES)
-        .groupBy("doc_id", "item_id")
-        .agg(F.count("*").alias("n_hits"), F.max("matched").cast("long").alias("n_matched"), F.min("at").cast("long").alias("first_token"))
+        hits.groupBy("doc_id", "item_id")
+        .agg(F.count_distinct("at", "item_at", "mask").alias("n_hits"), F.max("matched").cast("long").alias("n_matched"), F.min("at").cast("long").alias("first_token"))
+        .select(shown("doc_id").alias("doc_id"), shown("item_id").alias("item_id"), "n_hits", "n_matched", "first_token")
     )
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, n_hits (seeds that agree), n_matched (most equal tokens of a hit), first_token of each document and item that share a passage.
+
+    Nothing shared gives no row; an empty table on either side gives none.
+    """
     return contaminated_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no benchmark passage."""
-    found = contaminated_pairs(docs, items).select(F.col("doc_id").alias("_papyr_hit")).distinct()
+    found = contaminated_pairs(docs, items).select(id_of().alias("_papyr_hit")).distinct()
     return docs.join(found, id_of() == F.col("_papyr_hit"), "left_anti")
 
 
@@ -117,14 +142,17 @@ def _sql() -> str:
     )
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS tok FROM documents),
-b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS item FROM benchmark),
+b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS item FROM benchmark),
 p AS (SELECT doc_id, tok, pos, unnest([{seeds("tok", "pos")}]) AS seed
       FROM d, unnest(generate_series(1, len(tok) - {SPAN - 1})) AS g(pos)),
 q AS (SELECT item_id, item, pos AS item_pos, unnest([{seeds("item", "pos")}]) AS seed
       FROM b, unnest(generate_series(1, len(item) - {SPAN - 1})) AS g(pos)),
-h AS (SELECT doc_id, item_id, pos, {same} AS matched FROM p JOIN q USING (seed))
-SELECT doc_id, item_id, count(*)::BIGINT AS n_hits, max(matched)::BIGINT AS n_matched, (min(pos) - 1)::BIGINT AS first_token
-FROM h WHERE matched >= {MATCHES} GROUP BY doc_id, item_id
+h AS (SELECT doc_id, item_id, pos, item_pos, seed[1] AS mask, {same} AS matched FROM p JOIN q USING (seed)),
+s AS (SELECT d.doc_id, item_id, pos, 1 AS item_pos, '0' AS mask, len(item) AS matched
+      FROM b, d, unnest(generate_series(1, len(tok) - len(item) + 1)) AS g(pos)
+      WHERE len(item) BETWEEN 1 AND {SPAN - 1} AND tok[pos:pos + len(item) - 1] = item)
+SELECT doc_id, item_id, count(DISTINCT (pos, item_pos, mask))::BIGINT AS n_hits, max(matched)::BIGINT AS n_matched, (min(pos) - 1)::BIGINT AS first_token
+FROM (SELECT * FROM h WHERE matched >= {MATCHES} UNION ALL SELECT * FROM s) GROUP BY doc_id, item_id
 """
 
 

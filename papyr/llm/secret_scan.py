@@ -62,7 +62,8 @@ def linked_spans(text: bytes, found: dict[str, list[tuple[int, int]]], scope: in
     access = found["access"]
     secrets: list[tuple[int, int]] = []
     if access:
-        secrets = [s for s in (m.span() for m in _WEAK.finditer(text)) if s not in set(access) and in_scope(text, s, access, scope)]
+        taken = set(access)
+        secrets = [s for s in (m.span() for m in _WEAK.finditer(text)) if s not in taken and in_scope(text, s, access, scope)]
     parts = sorted({*access, *secrets, *found["assign"], *found["hex"]})
     ends = [s for s in (m.span() for m in _ENDPOINT.finditer(text)) if in_scope(text, s, parts, scope)] if parts else []
     return {"secret": secrets, "endpoint": ends}
@@ -136,4 +137,9 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every whole text.
+
+    A null or empty text has no spans; a null doc_id stays null; repeated rows
+    give repeated results; an empty table gives none.
+    """
     return find_secrets(read(spark, sf_dir, "documents"))
