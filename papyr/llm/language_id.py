@@ -3,15 +3,17 @@
 A linear support vector machine for each language family (one against the rest)
 chooses the family; inside it, one-versus-one linear machines vote between the
 closely related languages.  Features are hashed byte n-grams of the lower-cased
-whole text (runs of anything but letters become one space).
+whole text (runs of ASCII characters but letters become one space).
 
 Models are fitted on a bounded sample of labelled rows: PER_LANGUAGE documents
-of each language (parameter), those with the smallest hashes in each of SALTS
-strata, so the sample is the same on any cluster and is taken by partial
-top-k's rather than by one sort.  Predictions cover every row.
+of each language, fewer where all languages together would exceed MOST_ROWS
+(parameters); those with the smallest hashes, so the sample is the same on any
+cluster.  Rows whose hash cannot be among them are left where they are, so what
+is shuffled does not grow with the table.  Predictions cover every row.
 
 Defined results: `und` with score 0 for a text that is null or has no letter,
-or when no labelled row exists; one learnt language gives that language.
+or when no labelled row exists; one learnt language gives that language; of
+languages with equal votes the first in alphabetical order is taken.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from papyr.llm.common import read, slices
 BUCKETS = 1 << 13
 GRAMS = (1, 2, 3, 4)
 PER_LANGUAGE = 256
-SALTS = 16
+#: Rows of the sample in all; bounds what the driver fits on (33 KB a row, and their Gram matrix).
+MOST_ROWS = 4096
 UNDETERMINED = "und"
 
 #: ISO 639-1 codes by family; a code that is not listed is a family of its own.
@@ -162,16 +165,18 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
 
 
 def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """At most per_language rows (text, lang) of each language: in every stratum those with the smallest hashes."""
-    h = F.xxhash64("doc_id", "text")
-    w = W.partitionBy("lang", "salt").orderBy("h", "doc_id")
-    return (
-        labelled.withColumn("h", h).withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)))
-        .withColumn("h", F.shiftright("h", 8))
-        .withColumn("place", F.row_number().over(w))
-        .where(F.col("place") <= -(-per_language // SALTS))
-        .select("text", "lang")
-    )
+    """At most per_language rows (text, lang) of each language, and about MOST_ROWS in all: those with the smallest hashes."""
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    each = max(1, min(per_language, MOST_ROWS // max(1, languages)))
+    # the smallest `each` of n hashes lie below this share of all with near certainty: its mean and ten deviations more
+    share = (each + 10 * each**0.5) / F.col("n")
+    span = float(1 << 62)
+    limit = counts.select("lang", F.least(F.lit(span), share * span).alias("limit"))
+    # a row for each language; as many as the models have
+    near = labelled.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)).join(F.broadcast(limit) if languages <= MOST_ROWS else limit, "lang").where("h <= limit")
+    w = W.partitionBy("lang").orderBy("h", "doc_id")
+    return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= each).select("text", "lang")
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
@@ -194,27 +199,29 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None
     return fit(x, [v for v, _ in rows])
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of `docs`, then lang_pred and score; uses nothing but the text."""
+def predict(docs: DataFrame, model: Model | None, lang: str = "lang_pred", sure: str = "score") -> DataFrame:
+    """All columns of `docs`, then the language and the score under the names given; uses nothing but the text.
+
+    Columns of `docs` that have those names are replaced: name others to keep them.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*kept)
+    docs = docs.select(*(c for c in docs.columns if c not in (lang, sure)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in slices(batches, "text", 2_000_000):
             texts = batch.column("text").to_pylist()
-            lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            found, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             own = [i for i, t in enumerate(texts) if has_letter(t)] if m else []
-            for at in range(0, len(own), 512):
-                part = own[at : at + 512]
-                best, sure = m.predict(features([texts[i] for i in part]))
-                for i, b, s in zip(part, best, sure, strict=True):
-                    lang[i], score[i] = m.languages[b], s
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
-
-    out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+            for at in range(0, len(own), 256):
+                part = own[at : at + 256]
+                best, p = m.predict(features([texts[i] for i in part]))
+                for i, b, s in zip(part, best, p, strict=True):
+                    found[i], score[i] = m.languages[b], s
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, lang, sure])
+
+    out = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(sure, T.DoubleType())])
     return docs.mapInArrow(run, out)
 
 
@@ -227,4 +234,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every whole text.
+
+    A null or letterless text is `und` with score 0; a null doc_id is not held
+    out and stays null; repeated rows give repeated results; an empty table
+    gives none.
+    """
     return identify(read(spark, sf_dir, "documents"))

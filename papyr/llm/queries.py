@@ -19,6 +19,7 @@ QUERIES = {
         embed_dedup.op1_embedding_dedup,
         language_id.op2_language_id,
         tool_chat.op3_tool_chat,
+        tool_chat.tool_links_made,
         bpe.op4_bpe,
         decontaminate.op5_decontamination,
         suffix_dedup.op6_suffix_dedup,
@@ -30,6 +31,7 @@ QUERIES = {
 }
 SQL = {
     "op1_embedding_dedup": embed_dedup.SQL,
+    "tool_links_made": tool_chat.MADE_SQL,
     "op5_decontamination": decontaminate.SQL,
     "op6_suffix_dedup": suffix_dedup.SQL,
     "op8_fm_dedup": fm_dedup.SQL,

@@ -394,4 +394,5 @@ def keep_representatives(spark: SparkSession, docs: DataFrame, shingle: int = 5)
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document; see the module for nulls, empty texts and repeated rows."""
     return near_duplicates(spark, read(spark, sf_dir, "documents"))

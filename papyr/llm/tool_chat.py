@@ -43,8 +43,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyr.llm.common import NULL_ID, Tables, id_of, read
+from papyr.llm.common import NULL_ID, Tables, id_of, read, runs_by_key, width
+from papyr.llm.components import connected_components
 
+#: Citations of one component that a task orders in memory.
+COMPONENT = 1_000_000
 _BLOCK = re.compile(r"<tool_(call|response)>(.*?)</tool_\1>", re.S)
 _TYPES = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None),
@@ -397,49 +400,104 @@ def _serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _placed(rows: list[tuple]) -> list[tuple]:
+    """(conv, id, t, p, depth, cyclic) of citing calls, by Kahn's algorithm; rows: (conv, id, turn, part, cite, ct, cp, at, ap).
+
+    A call stands where it was made or, if that is later, behind all that it
+    cites: the cited call's result, or the call itself where it was moved to.
+    """
+    own: dict[tuple, tuple] = {}
+    cites: dict[tuple, list] = {}
+    cited_by: dict[tuple, list] = {}
+    for conv, i, turn, part, cite, ct, cp, at, ap in rows:
+        own[conv, i] = (turn, part)
+        cites.setdefault((conv, i), []).append(((conv, cite), (ct, cp), None if at is None else (at, ap)))
+        cited_by.setdefault((conv, cite), []).append((conv, i))
+    left = {k: sum(c in own for c, *_ in v) for k, v in cites.items()}
+    ready = [k for k, n in left.items() if not n]
+    place: dict[tuple, tuple] = {}
+    while ready:
+        k = ready.pop()
+        best = (*own[k], 0)
+        for c, at, answer in cites[k]:
+            t, p, depth = place.get(c, (*at, 0))
+            best = max(best, (*max((t, p), answer or (t, p)), depth + 2))
+        place[k] = best
+        for x in cited_by.get(k, ()):
+            left[x] -= 1
+            if not left[x]:
+                ready.append(x)
+    return [(*k, *(place[k] if k in place else (*v, 0)), k not in place) for k, v in own.items()]
+
+
+_PLACES = "conv long, id string, t long, p int, depth int, cyclic boolean"
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("conv", "id", "turn", "part", "cite", "ct", "cp", "at", "ap")
+    types = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+    for t in runs_by_key(batches, "component", 20_000):
+        out = _placed(list(zip(*(t.column(c).to_pylist() for c in names), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=["conv", "id", "t", "p", "depth", "cyclic"])
+
+
 def _depths(calls: DataFrame, tables: Tables) -> DataFrame:
     """(conv, id, t, p, depth, cyclic) for calls that cite others: their place, which is after all that they cite.
 
-    Kahn's algorithm on the citing calls alone: in each round the calls whose
-    cited calls are all placed get their place; when a round places none, the
-    rest wait for each other.
+    Calls that cite each other, directly or by others, form a component, which
+    is found by a distributed search and ordered in one task.  A component of
+    over COMPONENT citations is ordered by rounds over the whole cluster.
     """
     spark = calls.sparkSession
     edges = tables.settle(
         calls.select("conv", "id", "turn", "part", F.explode("cites").alias("cite"))
         .join(calls.select("conv", F.col("id").alias("cite"), F.col("turn").alias("ct"), F.col("part").alias("cp"), F.col("first").alias("answer")),
               ["conv", "cite"])
+        .withColumns({"a": F.xxhash64("conv", "id"), "b": F.xxhash64("conv", "cite")})
     )
-    schema = "conv long, id string, t long, p int, depth int, cyclic boolean"
-    done = spark.createDataFrame([], schema)
-    left = edges.select("conv", "id").distinct()
-    while not left.isEmpty():
-        known = edges.join(left, ["conv", "id"], "left_semi").join(
-            done.select("conv", F.col("id").alias("cite"), "t", "p", "depth"), ["conv", "cite"], "left"
-        )
-        # a cited call that itself cites nothing that exists stands at its own place
-        placed = F.col("t").isNotNull() | ~F.col("has_edges")
-        heads = edges.select("conv", F.col("id").alias("cite")).distinct().withColumn("has_edges", F.lit(True))
-        known = known.join(heads, ["conv", "cite"], "left").withColumn("has_edges", F.coalesce("has_edges", F.lit(False)))
+    if edges.isEmpty():
+        return spark.createDataFrame([], _PLACES)
+    # equal hashes of different calls would only join their components
+    components = connected_components(edges.select("a", "b"), tables).withColumnRenamed("node", "a")
+    edges = tables.settle(edges.join(components, "a", "left").withColumn("component", F.coalesce("component", "a")))
+    large = tables.settle(edges.groupBy("component").count().where(F.col("count") > COMPONENT).select("component"))
+    some = edges.join(large, "component", "left_anti").select("*", F.col("answer.t").alias("at"), F.col("answer.p").alias("ap"))
+    placed = some.repartition(width(spark), "component").sortWithinPartitions("component").mapInArrow(_places, _PLACES)
+    return placed if large.isEmpty() else placed.union(_by_rounds(edges.join(large, "component", "left_semi"), tables))
+
+
+def _by_rounds(edges: DataFrame, tables: Tables) -> DataFrame:
+    """The same by rounds: in each the calls whose cited calls are all placed get their place; when a round places none, the rest wait for each other."""
+    spark = edges.sparkSession
+    heads = edges.select("conv", F.col("id").alias("cite")).distinct().withColumn("waits", F.lit(True))
+    every = spark.createDataFrame([], _PLACES)
+    # what is known of each citation: the cited call's place, once it has one; a call that cites nothing stands where it is
+    known = edges.join(heads, ["conv", "cite"], "left").select(
+        "conv", "id", "turn", "part", "cite", "ct", "cp", "answer", F.col("waits").isNull().alias("placed"),
+        F.lit(None).cast("long").alias("t"), F.lit(None).cast("int").alias("p"), F.lit(None).cast("int").alias("depth"),
+    )
+    while True:
+        known = tables.settle(known)
         # the cited call's result stands behind its call, where it was or where the call was moved
-        call = F.struct(F.coalesce("t", "ct").alias("t"), F.coalesce("p", "cp").alias("p"))
-        known = known.withColumn("after", F.greatest(call, "answer"))
+        after = F.greatest(F.struct(F.coalesce("t", "ct").alias("t"), F.coalesce("p", "cp").alias("p")), "answer")
+        behind = F.struct(after["t"].alias("t"), after["p"].alias("p"), (F.coalesce("depth", F.lit(0)) + 2).alias("depth"))
         ready = tables.settle(
             known.groupBy("conv", "id").agg(
-                F.min(placed).alias("all"),
-                F.greatest(
-                    F.struct(F.min("turn").alias("t"), F.min("part").alias("p"), F.lit(0).alias("depth")),
-                    F.max(F.struct("after.t", "after.p", (F.coalesce("depth", F.lit(0)) + 2).alias("depth"))),
-                ).alias("at"),
+                F.min("placed").alias("all"),
+                F.greatest(F.struct(F.min("turn").alias("t"), F.min("part").alias("p"), F.lit(0).alias("depth")), F.max(behind)).alias("at"),
             )
             .where("all").select("conv", "id", "at.t", "at.p", "at.depth", F.lit(False).alias("cyclic"))
         )
         if ready.isEmpty():
-            rest = edges.join(left, ["conv", "id"], "left_semi").groupBy("conv", "id").agg(F.min("turn").alias("t"), F.min("part").alias("p"))
-            return done.union(rest.select("conv", "id", "t", "p", F.lit(0).alias("depth"), F.lit(True).alias("cyclic")))
-        done = tables.settle(done.union(ready))
-        left = tables.settle(left.join(ready, ["conv", "id"], "left_anti"))
-    return done
+            rest = known.groupBy("conv", "id").agg(F.min("turn").alias("t"), F.min("part").alias("p"))
+            return every.union(rest.select("conv", "id", "t", "p", F.lit(0), F.lit(True)))
+        every = every.union(ready)
+        left = known.join(ready.select("conv", "id"), ["conv", "id"], "left_anti")
+        new = ready.select("conv", F.col("id").alias("cite"), F.col("t").alias("t1"), F.col("p").alias("p1"), F.col("depth").alias("d1"))
+        known = left.join(new, ["conv", "cite"], "left").select(
+            "conv", "id", "turn", "part", "cite", "ct", "cp", "answer", (F.col("placed") | F.col("t1").isNotNull()).alias("placed"),
+            F.coalesce("t", "t1").alias("t"), F.coalesce("p", "p1").alias("p"), F.coalesce("depth", "d1").alias("depth"),
+        )
 
 
 def link_tool_calls(spark: SparkSession, conversations: DataFrame) -> DataFrame:
@@ -522,4 +580,46 @@ def _with_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op3_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each event of the conversations table; see the module for the columns' defined results."""
     return link_tool_calls(spark, read(spark, sf_dir, "conversations"))
+
+
+#: Conversations of calls and results made from orders: calls that cite the customer's next order, unanswered ones, results without a call, unknown tools and bad arguments.
+MADE = """
+WITH o AS (SELECT CAST(o_custkey AS BIGINT) AS conv, CAST(o_orderkey AS BIGINT) AS k, o_orderstatus AS s,
+    lead(CAST(o_orderkey AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt FROM {orders}),
+c AS (SELECT *, CASE WHEN k % 5 = 0 THEN 'audit' ELSE 'ship' END AS name,
+    concat('{{', CASE WHEN k % 3 = 0 AND nxt IS NOT NULL THEN concat('"after":"$c', CAST(nxt AS VARCHAR(12)), '",') ELSE '' END, '"n":', CAST(k % 10 AS VARCHAR(12)), '}}') AS args FROM o)
+"""
+_PARAMETERS = '{"properties":{"n":{"minimum":3,"type":"integer"}},"required":["n"],"type":"object"}'
+
+
+def tool_links_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on calls and results made from the whole orders table, in which all but cycles occurs."""
+    made = spark.sql(
+        MADE.replace("VARCHAR(12)", "STRING")
+        + """SELECT conv AS conv_id, -1L AS turn, 'system' AS role, t AS text FROM (SELECT DISTINCT conv FROM c), {tools}
+        UNION ALL SELECT conv, 2 * k, 'assistant', concat('{{"tool_calls":[{{"id":"c', k, '","function":{{"name":"', name, '","arguments":', args, '}}}}]}}') FROM c
+        UNION ALL SELECT conv, 2 * k + 1, 'tool', concat('{{"tool_call_id":"', if(k % 7 = 0, 'z', 'c'), k, '","content":"', s, '"}}') FROM c WHERE s <> 'P'""",
+        orders=read(spark, sf_dir, "orders"), tools=spark.range(1).select(F.lit('{"tools":[{"name":"ship","parameters":' + _PARAMETERS + "}]}").alias("t")),
+    )
+    return link_tool_calls(spark, made).drop("error")
+
+
+MADE_SQL = (
+    "WITH RECURSIVE" + MADE.replace("{orders}", "orders").replace("{{", "{").replace("}}", "}").strip().removeprefix("WITH")
+    + """,
+a AS (SELECT *, 2 * k AS turn, CASE WHEN k % 3 = 0 THEN nxt END AS cite, s <> 'P' AND k % 7 <> 0 AS answered FROM c),
+m AS (SELECT conv, k, turn AS t, 0 AS depth FROM a WHERE cite IS NULL
+      UNION ALL SELECT a.conv, a.k, greatest(m.t, CASE WHEN y.answered THEN y.turn + 1 END), m.depth + 2 FROM m JOIN a ON a.conv = m.conv AND a.cite = m.k JOIN a y ON y.conv = m.conv AND y.k = m.k),
+e AS (SELECT a.*, m.t, m.depth, CASE WHEN name = 'audit' THEN 'unknown_tool' WHEN k % 10 < 3 THEN 'invalid_arguments' WHEN answered THEN 'ok' ELSE 'unanswered' END AS status FROM a JOIN m USING (conv, k))
+SELECT conv AS conv_id, turn, 0 AS part, t AS order_turn, 0 AS order_part, depth, 'call' AS kind, 'c' || k AS call_id, name, status,
+  '{"arguments":' || args || ',"id":"c' || k || '","kind":"call","name":"' || name || '","role":"assistant","status":"' || status || '"}' AS json FROM e
+UNION ALL SELECT conv, turn + 1, 0, greatest(turn + 1, t), 0, depth + 1, 'result', 'c' || k, name, 'ok',
+  '{"content":"' || s || '","id":"c' || k || '","kind":"result","name":"' || name || '","role":"tool","status":"ok"}' FROM e WHERE answered
+UNION ALL SELECT conv, turn + 1, 0, turn + 1, 0, 0, 'result', 'z' || k, NULL, 'orphan_result',
+  '{"content":"' || s || '","id":"z' || k || '","kind":"result","name":null,"role":"tool","status":"orphan_result"}' FROM e WHERE s <> 'P' AND k % 7 = 0
+UNION ALL SELECT DISTINCT conv, -1, 0, -1, 0, 0, 'tool', NULL, 'ship', 'ok', '{"id":null,"kind":"tool","name":"ship","parameters":"""
+    + _PARAMETERS
+    + ""","role":"system","status":"ok"}' FROM e"""
+)

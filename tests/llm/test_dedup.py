@@ -8,11 +8,12 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from papyr.llm import embed_dedup, fm_dedup, simhash, suffix_dedup
 from papyr.llm import substring_dedup_base as base
 from papyr.llm import textunits as tu
-from papyr.llm.common import Tables
+from papyr.llm.common import Tables, join_hot
 from papyr.llm.components import connected_components, forest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, z string, fp long, trig string"
@@ -86,29 +87,56 @@ def test_fm_dedup(spark, group, monkeypatch):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(1, 3), min_size=3, max_size=12), min_size=1, max_size=8), st.integers(1, 3))
-def test_fm_index_counts(seqs, length):
+@given(st.lists(st.lists(st.integers(1, 3), min_size=3, max_size=12), min_size=1, max_size=8))
+def test_matching_statistics(seqs):
     text = np.concatenate([np.array([*s, 0]) for s in seqs]).astype(np.int64)
     owner = np.repeat(np.arange(len(seqs)), [len(s) + 1 for s in seqs])
     index = fm_dedup.FMIndex(text, owner, 4, max(map(len, seqs)))
-    starts = np.array([i for i in range(len(text) - length + 1) if 0 not in text[i : i + length]])
-    lo, hi = index.search(text, starts, length)
-    small = index.smallest_owner(lo, hi)
-    for s, a, b, m in zip(starts, lo, hi, small, strict=True):
-        same = [x for x in starts if (text[x : x + length] == text[s : s + length]).all()]
-        assert b - a == len(same) and m == min(owner[x] for x in same)
+    ends, room = zip(*[(sum(len(x) + 1 for x in seqs[:i]) + k, k) for i, s in enumerate(seqs) for k in range(1, len(s) + 1)], strict=True)
+    got = index.matching(text, np.array(ends), np.array(room), owner[np.array(ends) - 1])
+    joined = ["," + ",".join(map(str, s)) + "," for s in seqs]
+    for (i, k), n in zip([(i, k) for i, s in enumerate(seqs) for k in range(1, len(s) + 1)], got.tolist(), strict=True):
+        stands = lambda m: any("," + ",".join(map(str, seqs[i][k - m : k])) + "," in x for x in joined[:i])  # noqa: B023, E731
+        assert n == max([m for m in range(1, k + 1) if stands(m)], default=0)
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.binary(max_size=120), st.integers(1, 20))
-def test_suffix_ranks(data, depth):
-    rank = suffix_dedup.suffix_ranks(np.frombuffer(data, np.uint8), np.full(len(data), len(data)), depth)
+@given(st.lists(st.binary(max_size=30), min_size=1, max_size=6), st.integers(1, 20))
+def test_suffix_ranks(texts, depth):
+    data, lens = b"".join(texts), [len(x) for x in texts]
+    ends = np.repeat(np.cumsum(lens), lens)
+    rank = suffix_dedup.suffix_ranks(np.frombuffer(data, np.uint8), ends, depth)
+    same = suffix_dedup.suffix_ranks(np.frombuffer(data, np.uint8).astype(np.int64), ends, 64)
     for i in range(len(data)):
-        assert (rank[i] >= 0) == (i + depth <= len(data))
         for j in range(i):
-            if rank[i] >= 0 and rank[j] >= 0:
-                x, y = data[i : i + depth], data[j : j + depth]
-                assert (rank[i] < rank[j], rank[i] == rank[j]) == (x < y, x == y)
+            x, y = data[i : ends[i]], data[j : ends[j]]
+            assert (same[i] < same[j], same[i] == same[j]) == (x < y, x == y)
+            assert rank[i] != rank[j] or x[:depth] == y[:depth]
+            assert x[:depth] >= y[:depth] or rank[i] < rank[j]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.data())
+def test_dictionary_and_parse_give_corpus_order(data):
+    """Rows around one trigger, with context from a small alphabet, against all pairs of windows."""
+    w, t = suffix_dedup.WINDOW, suffix_dedup.TRIGGER
+    part = lambda n: b"".join(data.draw(st.lists(st.sampled_from([b"a", b"bcd", b"x" * 9, bytes(range(40, 90))]), min_size=n, max_size=n)))[:n]
+    trig = bytes(range(100, 100 + t))
+    rows = []
+    for _ in range(data.draw(st.integers(1, 6))):
+        off = data.draw(st.integers(0, w - t))
+        n = data.draw(st.integers(1, off + 1))
+        rows.append((part(off) + trig + part(w))[: n + w - 1])
+        rows[-1] = (rows[-1], off)
+    length = np.array([len(x) for x, _ in rows], np.int64)
+    flat = b"".join(x for x, _ in rows)
+    begin = np.cumsum(length) - length
+    r, j, g = suffix_dedup.equal_windows(np.frombuffer(flat, np.uint8), begin, length, np.array([o for _, o in rows]))
+    seen = {}
+    for a, b, k in zip(r.tolist(), j.tolist(), g.tolist(), strict=True):
+        assert seen.setdefault(k, rows[a][0][b : b + w]) == rows[a][0][b : b + w]
+    assert len(set(seen.values())) == len(seen)
+    assert len(r) == sum(len(x) - w + 1 for x, _ in rows)
 
 
 @settings(max_examples=60, deadline=None)
@@ -214,6 +242,19 @@ def test_embeddings(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def test_vectors_of_several_lengths_and_equal_ones(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(c) for c in rng.normal(size=48)]) for i in range(40)]
+    rows += [(100, [1.0, 0.5]), (101, [1.0, 0.5]), (102, [2.0, 1.0]), (103, [-1.0, 0.5]), (200, [0.5] * 300), (201, [0.25] * 300)]
+    rows += [(300 + i, rows[0][1]) for i in range(20)]
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    unit = {i: np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for i, v in rows}
+    for i, v in rows:
+        links = [j for j, w in rows if j != i and len(v) == len(w) and unit[i] @ unit[j] >= 0.9 - 1e-12]
+        assert got[i].n_links == len(links), i
+    assert got[102].component_id == 100 and got[201].component_id == 200 and got[319].component_id == min(i for i, v in rows if len(v) == 48 and unit[i] @ unit[0] >= 0.9)
+
+
 def test_large_buckets_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BUCKET", 20)
     rng = np.random.default_rng(4)
@@ -230,6 +271,42 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000}
 
 
+def test_a_hub_of_the_largest_node(spark):
+    links = spark.createDataFrame([(9000, i) for i in range(3000)] + [(i, 20000 + i) for i in range(0, 3000, 7)], "a long, b long").repartition(9)
+    got = {r.node: r.component for r in connected_components(links, Tables(spark)).collect()}
+    assert len(got) == 3001 + len(range(0, 3000, 7)) and set(got.values()) == {0}
+
+
+def test_join_hot(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(50)] + [(k, 0) for k in range(2, 9)], "k long, v long")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"))
+    got = join_hot(rows, table, "k", "n", 57, most=5, least=1).orderBy("k", "v").collect()
+    assert [(r.k, r.v, r.n) for r in got] == [(1, i, 50) for i in range(50)] + [(k, 0, 1) for k in range(2, 9)]
+
+
+def test_texts_of_one_doc_id(spark):
+    """Rows of one doc_id with different texts are documents of their own."""
+    passage = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, passage + " one"), (1, "two " + passage), (2, passage), (2, passage)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fm_dedup.remove_repeats(spark, frame).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 40), (2, 40), (2, 40)]
+    got = suffix_dedup.remove_repeats(spark, frame).collect()
+    assert sorted((r.doc_id, r.n_removed > 0) for r in got) == [(1, False), (1, True), (2, True), (2, True)]
+
+
+def test_a_frequent_trigger(spark, monkeypatch):
+    """Phrases of a trigger that the sample finds are dealt by their windows."""
+    monkeypatch.setattr(base, "FREQUENT", 2)
+    rng = random.Random(1)
+    line = " ".join(f"common{i}" for i in range(15))
+    rows = [(i, " ".join([str(rng.random()) for _ in range(9)] + [line] + [str(rng.random()) for _ in range(9)])) for i in range(60)]
+    for op, units, window, across in ((suffix_dedup, lambda t: t.encode(), 100, False), (fm_dedup, lambda t: t.split(), 13, True)):
+        gone = brute_windows([(i, units(t)) for i, t in rows], window, across)
+        got = op.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+        assert {r.doc_id: r.n_removed for r in got} == {i: len(x) for i, x in gone.items()}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     assert suffix_dedup.remove_repeats(spark, docs).count() == 0
