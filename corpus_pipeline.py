@@ -26,8 +26,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     sample of them); a text that is null or has no letter is rejected.
     """
     labelled = docs.where("lang is not null and text is not null")
-    found = language_id.predict(docs, language_id.train(labelled))
-    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    # names that no column of docs has, whatever columns it brings
+    taken = {c.lower() for c in docs.columns}
+    lang, score = (next(n for n in (f"_{k}{i or ''}" for i in range(len(taken) + 1)) if n not in taken) for k in ("lang_pred", "score"))
+    found = language_id.predict(docs, language_id.train(labelled), lang, score)
+    return found.where(F.col(lang) != language_id.UNDETERMINED).withColumn("lang", F.col(lang)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
