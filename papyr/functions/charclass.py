@@ -6,6 +6,11 @@ WS = r"\t\n\x{0b}\f\r\x{1c}\x{1d}\x{1e}\x{1f}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-
 HANGUL = r"\x{AC00}-\x{D7A3}"
 JAMO = r"\x{3130}-\x{318F}"
 KOREAN = HANGUL + JAMO
+LETTERS = r"\x{1100}-\x{11FF}"
+SERVED = (
+    r"\x{0020}-\x{007E}\x{00A0}-\x{00FF}\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{3040}-\x{309F}\x{30A0}-\x{30FF}"
+    r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}"
+)
 NOISE = (
     r"\x{4000}-\x{4FFF}\x{8000}-\x{803F}\x{8800}-\x{883F}\x{8900}-\x{893F}\x{0400}-\x{04FF}\x{0100}-\x{017F}\x{0180}-\x{024F}"
     r"\x{0840}-\x{085F}\x{0900}-\x{097F}\x{E000}-\x{F8FF}\x{0000}-\x{001F}\x{007F}-\x{009F}\x{FFF0}-\x{FFFF}"

@@ -52,9 +52,30 @@ def keep_allowed(c: Column) -> Column:
     return F.regexp_replace(spaced, f"[^{cc.ALLOWED}{cc.ALLOWED_SPACES}]", "")
 
 
-def korean_ratio(c: Column) -> Column:
-    """Korean characters of all that are not white space; 0 if there are none."""
-    return F.coalesce(_chars(c, f"[{cc.KOREAN}]") / F.nullif(_chars(c, f"[^{cc.WS}]"), F.lit(0)), F.lit(0.0))
+def korean_ratio(c: Column, wide: bool = False) -> Column:
+    """Korean characters, with `wide` also single leading and trailing letters, of all that are not white space; 0 if there are none."""
+    korean = cc.KOREAN + cc.LETTERS if wide else cc.KOREAN
+    return F.coalesce(_chars(c, f"[{korean}]") / F.nullif(_chars(c, f"[^{cc.WS}]"), F.lit(0)), F.lit(0.0))
+
+
+def smart_filter(c: Column) -> Column:
+    """Characters of the languages served; other white space becomes a space, the rest goes."""
+    spaced = F.regexp_replace(c, f"[{cc.WS}&&[^{cc.SERVED}{cc.ALLOWED_SPACES}]]", " ")
+    return F.regexp_replace(spaced, f"[^{cc.SERVED}{cc.ALLOWED_SPACES}]+", "")
+
+
+def usable(c: Column) -> Column:
+    """Whether a page's text is more than placeholder squares."""
+    return ~F.trim(c).rlike("^[■□]*$")
+
+
+def first_usable(*texts: Column) -> Column:
+    """The first text that is more than placeholder squares, else the last one.
+
+    A text that holds such squares has no form in a single-byte encoding, so
+    decoding it anew can change nothing and is left out.
+    """
+    return F.coalesce(*(F.when(usable(c), c) for c in texts[:-1]), texts[-1])
 
 
 def meaningful(token: Column) -> Column:
@@ -170,8 +191,12 @@ def list_level(c: Column) -> Column:
 
 
 def sentence_count(c: Column) -> Column:
-    """Runs between sentence ends that are not blank."""
-    return _count(c, f"[{cc.WS}]*[^{cc.WS}.!?][^.!?]*")
+    """Runs between sentence ends that are not blank.
+
+    Each has a first character that is neither blank nor an end, with nothing
+    but blanks between it and the end before it: the blanks are deleted first.
+    """
+    return _count(F.regexp_replace(c, f"[{cc.WS}]+", ""), "[^.!?]+")
 
 
 def text_statistics(c: Column) -> dict[str, Column]:

@@ -75,6 +75,43 @@ def validation(name: Column, content: Column, media: Column) -> Column:
     )
 
 
+# Entries of which a zip container must have one.
+MEMBERS = ("version.xml", "Contents/content.hpf")
+
+
+def structure_ok(ext: Column, head: Column, members: Column) -> Column:
+    """Whether the first bytes, in hexadecimal digits, and the names in a zip fit the suffix; other suffixes fit."""
+    inside = F.coalesce(F.arrays_overlap(members, F.array(*map(F.lit, MEMBERS))), F.lit(False))
+    return (
+        F.when(ext == ".hwp", head.startswith(MAGIC[".hwp"])).when(ext == ".hwpx", head.startswith(MAGIC[".hwpx"]) & inside)
+        .when(ext == ".pdf", head.startswith(MAGIC[".pdf"])).otherwise(True)
+    )
+
+
+def scan_report(content: Column) -> Column:
+    """Struct (status, threats); a threat has a type, a name and a severity.  Missing content is an error."""
+    status, digest = scan_verdict(content), F.sha2(content, 256)
+    threat = lambda kind, name, severity: F.struct(F.lit(kind).alias("type"), name.alias("name"), F.lit(severity).alias("severity"))
+    hashes = F.array_compact(F.array(F.when(digest.isin(*MALICIOUS), threat("hash", digest, "high"))))
+    patterns = F.transform(found(F.substring(content, 1, SCANNED), SUSPICIOUS), lambda p: threat("pattern", p, "medium"))
+    return F.struct(F.when(content.isNull(), "error").otherwise(status).alias("status"), F.coalesce(F.concat(hashes, patterns), F.expr("array()")).alias("threats"))
+
+
+def full_verdict(name: Column, content: Column, media: Column, head: Column, members: Column) -> Column:
+    """Struct (error, valid, warnings, hash, size): the first failing check in order; what only warns does not fail a file."""
+    ext, n, scan = extension(name), F.octet_length(content), scan_verdict(content)
+    early = (
+        F.when(~ext.isin(*EXTENSIONS), "extension").when(n > limit_of(ext), "size").when(n == 0, "empty").when(~media_ok(ext, media), "media")
+        .when(~structure_ok(ext, head, members), "structure")
+    )
+    error = F.coalesce(early, F.when(scan == "infected", "virus"))
+    warnings = F.array_compact(F.array(F.when(F.size(found(content, DANGEROUS)) > 0, "threat"), F.when(scan == "suspicious", "suspicious")))
+    return F.struct(
+        error.alias("error"), error.isNull().alias("valid"), F.when(early.isNull(), warnings).otherwise(F.expr("array()").cast("array<string>")).alias("warnings"),
+        F.when(error.isNull(), F.sha2(content, 256)).alias("hash"), F.when(error.isNull(), n.cast("long")).alias("size"),
+    )
+
+
 #: Status of an error by its kind.
 STATUS = {"validation": 400, "authentication": 401, "authorization": 403, "size": 413, "rate_limit": 429, "parsing": 500, "timeout": 504}
 

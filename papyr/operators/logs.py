@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -128,3 +128,31 @@ def size_class(n: Column) -> Column:
 
 def memory_status(mb: Column) -> Column:
     return F.when(mb > 400, "critical").when(mb > 300, "warning").otherwise("ok")
+
+
+def composite_key(kind: str, options: dict[str, str], content: Column) -> Column:
+    """The cache key of an extraction whose options are part of its kind."""
+    return cache_key(F.lit("_".join([kind, *(f"{k}:{v}" for k, v in options.items())])), content)
+
+
+def read_through(inputs: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataFrame], key: str = "key") -> DataFrame:
+    """Inputs with `result` and `hit`: from the cache (key, result), a row for each key, where it holds the key, else computed.
+
+    Only inputs that the cache does not hold are computed.
+    """
+    hits = inputs.join(cache, key).withColumn("hit", F.lit(True))
+    return hits.unionByName(compute(inputs.join(cache, key, "left_anti")).withColumn("hit", F.lit(False)))
+
+
+def gated(requests: DataFrame, most: int, duration: int, order: str = "event_id") -> DataFrame:
+    """Adds active (earlier requests of the client still under way, each taking `duration` seconds) and rejected (`most` or more are) to (client, t, ...).
+
+    Equal times count in order: a running number less that of the last request
+    that had ended, both windows over the client's requests in order.
+    """
+    by_client = W.partitionBy("client")
+    place = requests.withColumn("_n", F.row_number().over(by_client.orderBy("t", order)))
+    # those that began at or before t - duration have ended
+    ended = F.coalesce(F.max("_n").over(by_client.orderBy("t").rangeBetween(W.unboundedPreceding, -duration)), F.lit(0))
+    out = place.withColumn("active", (F.col("_n") - 1 - ended).cast("long"))
+    return out.withColumn("rejected", F.col("active") >= most).drop("_n")

@@ -1,11 +1,14 @@
 """Operators on paragraphs in order: splitting, heading trees, lists, chunks.
 
-All windows are partitioned by document and need one pass in order; no
-document's rows are gathered into an array.
+All windows are partitioned by document and need one pass in order.  Only where
+a result is one text (the items of a list, the lines of a paragraph) are its
+rows gathered into an array, never those of a whole document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -88,9 +91,14 @@ def list_groups(paras: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def drop_repeated_sections(sections: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The first of equal section texts of each document, compared by a hash of the stripped text."""
-    w = W.partitionBy(key, F.sha2(t.strip(F.col("text")), 256)).orderBy("section")
-    return sections.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first of equal section texts of each document, compared by a hash of the stripped text.
+
+    An aggregation with map-side combine, so a text that most sections have is
+    one row of each task.
+    """
+    rest = [c for c in sections.columns if c not in (key, "section")]
+    first = F.min_by(F.struct(*rest), "section").alias("_first")
+    return sections.groupBy(key, F.sha2(t.strip(F.col("text")), 256).alias("_hash")).agg(F.min("section").alias("section"), first).select(key, "section", "_first.*")
 
 
 def chunks(df: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,6 +113,14 @@ def chunks(df: DataFrame, size: int, key: str = "doc_id", text: str = "text") ->
     )
 
 
+def byte_chunks(df: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, chunk, content binary, progress): pieces of `size` bytes of the UTF-8 form, which may cut a character."""
+    n = F.octet_length(text)
+    out = df.select(key, F.col(text).cast("binary").alias("_raw"), n.alias("_n"), F.explode(F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / size)))).alias("chunk"))
+    end = F.least((F.col("chunk") + 1) * size, F.col("_n"))
+    return out.select(key, "chunk", F.substring("_raw", (F.col("chunk") * size + 1).cast("int"), F.lit(size)).alias("content"), F.round(end / F.col("_n") * 100, 4).alias("progress"))
+
+
 def boundary_chunks(text: str, size: int) -> list[str]:
     """Pieces of at most `size` characters that end after the last line end in reach, else after the last '. '.
 
@@ -118,17 +134,6 @@ def boundary_chunks(text: str, size: int) -> list[str]:
     return [*out, text] if text else out
 
 
-def buffered(pieces: list[str], size: int) -> list[str]:
-    """Pieces joined until they hold `size` characters or more; the rest at the end."""
-    out, held = [], ""
-    for p in pieces:
-        held += p
-        if len(held) >= size:
-            out.append(held)
-            held = ""
-    return [*out, held] if held else out
-
-
 def table_rows(c: Column) -> Column:
     """Array of rows of cells of a text with <cell> marks: of each line with < and >, what stands between them."""
     lines = F.filter(F.split(c, "\n"), lambda x: x.contains("<") & x.contains(">"))
@@ -156,10 +161,42 @@ def markdown_table(rows: Column) -> Column:
     """| a | b | lines; the first row is the header, nothing is padded."""
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
     rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(F.get(rows, F.lit(0)))))
-    return F.array_join(F.concat(F.array(line(F.get(rows, F.lit(0)))), F.array(rule), F.transform(F.slice(rows, 2, 1_000_000), line)), "\n")
+    return F.array_join(F.concat(F.array(line(F.get(rows, F.lit(0)))), F.array(rule), F.transform(F.slice(rows, F.lit(2), F.size(rows)), line)), "\n")
 
 
 def best_strategy(candidates: DataFrame, least: int = 100, key: str = "doc_id") -> DataFrame:
     """Of the candidates (key, priority, method, text) of a document the first whose text is long enough."""
     w = W.partitionBy(key).orderBy("priority")
     return candidates.where(F.length("text") >= least).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def padded_table(rows: Column) -> Column:
+    """The same with cells padded to the width of their column, at least 3."""
+    n = F.array_max(F.transform(rows, lambda r: F.size(r)))
+    cell = lambda r, i: F.coalesce(F.get(r, i), F.lit(""))
+    widths = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.greatest(F.lit(3), F.array_max(F.transform(rows, lambda r: F.length(cell(r, i))))))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(widths, lambda w, i: F.rpad(cell(r, i), w, " ")), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("| "), F.array_join(F.transform(widths, lambda w: F.repeat(F.lit("-"), w)), " | "), F.lit(" |"))
+    return F.array_join(F.concat(F.array(line(F.get(rows, F.lit(0)))), F.array(rule), F.transform(F.slice(rows, F.lit(2), F.size(rows)), line)), "\n")
+
+
+# Characters a strategy must yield, what must be left when cleaned, and the same for the preview; the share of Korean below which the preview is tried.
+ENOUGH, LEFT, PREVIEW, PREVIEW_LEFT, KOREAN = 500, 100, 100, 50, 0.10
+
+
+def accepted(body: Column, preview: Column, clean: Callable[[Column], Column] = t.clean) -> Column:
+    """(method, text, korean_ratio) of a body text and a stored preview, or null where neither is accepted.
+
+    The body's text is taken if it is long enough before and after cleaning; one
+    with hardly any Korean gives way to a preview with more.
+    """
+    own, other = clean(body), clean(preview)
+    ratio, more = t.korean_ratio(own), t.korean_ratio(other)
+    usable = (F.length(preview) > PREVIEW) & (F.length(other) > PREVIEW_LEFT)
+    pick = lambda m, c, r: F.struct(F.lit(m).alias("method"), c.alias("text"), r.alias("korean_ratio"))
+    long = F.length(body) > ENOUGH
+    return (
+        F.when(long & (ratio < KOREAN) & usable & (more > ratio), pick("preview", other, more))
+        .when(long & (F.length(own) >= LEFT), pick("body", own, ratio))
+        .when((F.length(preview) > ENOUGH) & (F.length(other) >= LEFT), pick("preview", other, more))
+    )

@@ -89,14 +89,16 @@ def failing_files(spark, sf_dir):
 def buffered_rows(pieces: DataFrame, size: int, key: str, order: str, text: str = "text") -> DataFrame:
     """(key, flush, content): pieces of a key, in order, joined until they hold `size` characters; the rest last.
 
-    One pass over sorted partitions with one buffer in memory; a null piece is empty.
+    One pass over sorted partitions with one buffer in memory; a null piece is
+    empty, pieces of a null key are those of one key.
     """
 
     def run(frames):
-        now, held, n = None, "", 0
+        now, held, n = object(), "", 0
         for f in frames:
             out = []
-            for k, x in zip(f[key], f[text], strict=True):
+            keys = f[key].astype(object).where(f[key].notna(), None)
+            for k, x in zip(keys, f[text], strict=True):
                 if k != now:
                     if held:
                         out.append((now, n, held))
@@ -105,11 +107,14 @@ def buffered_rows(pieces: DataFrame, size: int, key: str, order: str, text: str
                 if len(held) >= size:
                     out.append((now, n, held))
                     held, n = "", n + 1
-            yield pd.DataFrame(out, columns=[key, "flush", "content"])
+            yield frame(out)
         if held:
-            yield pd.DataFrame([(now, n, held)], columns=[key, "flush", "content"])
+            yield frame([(now, n, held)])
 
-    sorted_rows = pieces.select(key, order, text).where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, order)
+    def frame(rows):
+        return pd.DataFrame(rows, columns=[key, "flush", "content"]).astype({key: "Int64"})
+
+    sorted_rows = pieces.select(key, order, text).repartition(key).sortWithinPartitions(key, order)
     return sorted_rows.mapInPandas(run, f"{key} long, flush long, content string")
 
 

@@ -121,15 +121,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY row_id) AS n F
 SELECT table_id, string_agg(CASE WHEN n = 1 THEN line || chr(10) || rule ELSE line END, chr(10) ORDER BY row_id) AS markdown FROM n GROUP BY table_id""")
 def markdown_table_padded(spark, sf_dir):
     """Cells padded to the width of their column, at least 3."""
-    rows = _whole(spark, sf_dir)
-    n = F.array_max(F.transform("rows", lambda r: F.size(r)))
-    cell = lambda r, i: F.coalesce(F.get(r, i), F.lit(""))
-    widths = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.greatest(F.lit(3), F.array_max(F.transform("rows", lambda r: F.length(cell(r, i))))))
-    rows = rows.withColumn("w", widths)
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform("w", lambda w, i: F.rpad(cell(r, i), w, " ")), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.transform("w", lambda w: F.repeat(F.lit("-"), w)), " | "), F.lit(" |"))
-    lines = F.concat(F.array(line(F.get("rows", F.lit(0)))), F.array(rule), F.transform(F.slice("rows", 2, 1_000_000), line))
-    return rows.select("table_id", F.array_join(lines, "\n").alias("markdown"))
+    return _whole(spark, sf_dir).select("table_id", s.padded_table(F.col("rows")).alias("markdown"))
 
 
 @query(f"SELECT table_id, row_id, map_extract(m, 'k')[1] AS last_value, len(map_keys(m))::BIGINT AS n_keys FROM (SELECT table_id, row_id, map {{'a': c[1], 'k': c[3]}} AS m FROM {_CELLS})")

@@ -32,16 +32,22 @@ MAX_SECTION = 50 * 1024 * 1024
 
 
 def inflate(data: bytes, most: int = MAX_SECTION) -> bytes:
-    """Raw deflate, else zlib, else the bytes as they are; never more than `most` bytes."""
+    """Raw deflate, else zlib, else the bytes as they are; more than `most` bytes are refused."""
     for bits in (-15, 15):
         try:
             unpacker = zlib.decompressobj(bits)
-            out = unpacker.decompress(data, most)
-            if out or unpacker.eof:
-                return out
+            out = unpacker.decompress(data, most + 1)
         except zlib.error:
             continue
-    return data[:most]
+        if out or unpacker.eof:
+            return _bounded(out, most)
+    return _bounded(data, most)
+
+
+def _bounded(data: bytes, most: int = MAX_SECTION) -> bytes:
+    if len(data) > most:
+        raise ValueError(f"section of over {most} bytes")
+    return data
 
 
 @dataclass(frozen=True)
@@ -82,6 +88,17 @@ def plain_text(payload: bytes) -> str:
     return "".join(c for c in text.replace("\t", " ") if c >= " " or c == "\n").strip()
 
 
+def broken_text(payload: bytes) -> str:
+    """Every code unit as text: tabs and line feeds stay, carriage returns become line feeds, other controls go."""
+    text = payload[: len(payload) & ~1].decode("utf-16-le", "ignore")
+    return "".join(c for c in text.replace("\r", "\n") if c >= " " or c in "\n\t")
+
+
+def preview_paragraphs(data: bytes) -> list[str]:
+    """Paragraphs of the stored preview, between empty lines; stripped, empty ones left out."""
+    return [x for p in preview_text(data).split("\n\n") if (x := p.strip())]
+
+
 def controlled_text(payload: bytes, wide: frozenset[int] = WIDE_CONTROLS) -> str:
     """Text that skips what follows inline controls; a zero ends it."""
     out, at = bytearray(), 0
@@ -108,7 +125,7 @@ def sections(data: bytes, ole_limit: int = MAX_FILE) -> list[tuple[str, bytes]]:
     packed = not header or len(header) < 37 or bool(header[36] & 1)
     names = [p for p in f.streams if p.count("/") == 1 and p.startswith("BodyText/")]
     number = lambda p: (int("".join(filter(str.isdigit, p.rpartition("/")[2])) or 0), p)
-    return [(p, inflate(raw) if packed else raw[:MAX_SECTION]) for p in sorted(names, key=number) if (raw := f.read(p)) is not None]
+    return [(p, inflate(raw) if packed else _bounded(raw)) for p in sorted(names, key=number) if (raw := f.read(p)) is not None]
 
 
 #: Encodings tried on bytes of unknown encoding, in order.

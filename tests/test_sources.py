@@ -64,3 +64,60 @@ def test_hwpx(spark):
     files = spark.createDataFrame([("a", hwpx.write([["x", "y"], ["z"]])), ("b", b"no zip")], "path string, content binary")
     got = {r.path: (r.text, r.error is not None) for r in hwpx.scan(files).collect()}
     assert got == {"a": ("x\ny\nz", False), "b": (None, True)}
+
+
+def _xml(body):
+    import io
+    import zipfile
+
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("Contents/section0.xml", f'<s xmlns:hp="{hwpx.NS_2011}">{body}</s>')
+    return b.getvalue()
+
+
+def test_nested_runs_and_texts():
+    run = lambda x, shape="": f"<hp:run>{shape}{x}</hp:run>"
+    deep = _xml(f"<hp:p><hp:ctrl>{run('<hp:box><hp:t>in</hp:t></hp:box>')}</hp:ctrl>{run('<hp:t> out</hp:t>')}{run('', '<hp:charPr bold=\"1\"/>')}</hp:p>")
+    # a run inside another element and a text inside a run count; an empty emphasised run does not
+    assert [(p["text"], p["emphasis"]) for p in hwpx.read(deep)["paragraphs"]] == [("in out", False)]
+
+
+def test_tables_of_odd_shapes():
+    cell = lambda x, at="", own="": f"<hp:tc{own}>{at}<hp:subList><hp:p><hp:run><hp:t>{x}</hp:t></hp:run></hp:p></hp:subList></hp:tc>"
+    body = (
+        f'<hp:tbl><hp:tr/><hp:tr>{cell("a", "<hp:cellAddr rowSpan=\"3\"/>", " colSpan=\"2\"")}{cell("b", "<hp:cellAddr colSpan=\"\"/>")}</hp:tr></hp:tbl>'
+        f'<hp:tbl><hp:tr/></hp:tbl><hp:tbl><hp:tr>{cell("c", own=" colSpan=\"x\"")}</hp:tr></hp:tbl>'
+    )
+    d = hwpx.read(_xml(body))
+    assert d["tables"] == [{"rows": [[{"text": "a", "colSpan": 2, "rowSpan": 3}, {"text": "b", "colSpan": 1, "rowSpan": 1}]], "row_count": 1, "col_count": 2}]
+    assert d["paragraphs"] == []
+
+
+def test_damaged_and_large_zips_are_error_rows(spark, monkeypatch):
+    whole = bytearray(hwpx.write([["text " * 2000]]))
+    at = whole.index(b"Contents/section0.xml") + 60
+    whole[at : at + 12] = b"\xff" * 12
+    monkeypatch.setattr(hwpx, "MAX_ENTRY", 1000)
+    for data in (bytes(whole), hwpx.write([["x" * 5000]])):
+        try:
+            hwpx.read(data)
+            raise AssertionError("read")
+        except (ValueError, zlib.error, EOFError, OSError) as e:
+            assert str(e)
+    monkeypatch.undo()
+    got = {r.path: r.error for r in hwpx.scan(spark.createDataFrame([("a", bytes(whole)), ("b", hwpx.write([["y"]]))], "path string, content binary")).collect()}
+    assert got["a"] and got["b"] is None
+
+
+def test_a_section_over_the_limit_is_refused():
+    with pytest.raises(ValueError):
+        hwp.inflate(zlib.compress(b"x" * 5000), most=1000)
+    with pytest.raises(ValueError):
+        hwp.inflate(b"\xff plain" * 1000, most=1000)
+
+
+def test_other_texts_of_compound_files():
+    assert hwp.broken_text("a\tb\rc\x01d".encode("utf-16-le")) == "a\tb\ncd"
+    data = cfb.build({"FileHeader": b"\0" * 40, "PrvText": ("첫째 " * 40 + "\n\n \n\n둘째").encode("utf-16-le")})
+    assert hwp.preview_paragraphs(data) == [("첫째 " * 40).strip(), "둘째"]
