@@ -7,7 +7,8 @@ RADIUS = 2 bits lie within Manhattan distance 2 and some cell of the integer
 grid lies within 1 of both.  Each distinct fingerprint is dealt to the cells
 within 1 of its own, cells are compared inside, and a pair counts only when
 the exact distance is checked.  A crowded cell is verified through the exact
-midpoints of its pairs instead of pair by pair, so no cell costs a square.
+midpoints of its pairs instead of pair by pair, so no cell costs a square; a
+large one is dealt by these midpoints.
 
 Defined results: a null or wordless text has fingerprint zero; equal
 fingerprints form one class whose links are those of its smallest doc_id;
@@ -43,6 +44,8 @@ SMALL_SET = 32
 BUCKET = 4_000
 #: Members of a cell up to which its pairs are compared directly.
 CROWD = 48
+#: Members of a cell above which it is dealt by midpoints.
+LARGE = 20_000
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -167,17 +170,50 @@ def _verify(radius: int):
     return run
 
 
+def _counts(segments: int, least: int = 16):
+    """mapInArrow function: (cell, n) of the cells that hold at least `least` of some fingerprints of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 50_000):
+                keys = cells(batch.column("fp").slice(at, 50_000).to_numpy().view(np.uint64), segments)
+                cell, n = np.unique(keys, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell[n >= least].view(np.int64)), pa.array(n[n >= least])], names=["cell", "n"])
+
+    return run
+
+
+def _midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, rep) -> (mid, rep) for the 65 words within one bit of each fingerprint."""
+    flips = np.concatenate(([np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)))
+    for batch in batches:
+        for at in range(0, batch.num_rows, 20_000):
+            part = batch.slice(at, 20_000)
+            mid = part.column("fp").to_numpy().view(np.uint64)[None, :] ^ flips[:, None]
+            yield pa.RecordBatch.from_arrays([pa.array(mid.ravel().view(np.int64)), pa.array(np.tile(part.column("rep").to_numpy(), len(flips)))], names=["mid", "rep"])
+
+
 def links(classes: DataFrame, segments: int = SEGMENTS, radius: int = 2) -> DataFrame:
-    """Spanning links (a, b) of the classes (fp, rep) whose fingerprints differ in at most 2 bits."""
+    """Spanning links (a, b) of the classes (fp, rep) whose fingerprints differ in at most 2 bits.
+
+    Cells of over LARGE fingerprints, told by a count, do not meet in one task:
+    their fingerprints are dealt by their midpoints, of which none has over 65.
+    """
     if radius != 2:
         raise ValueError("the grid's reach is made for 2 bits")
     n = width(classes.sparkSession)
-    return (
-        classes.mapInArrow(_deal(segments), "cell long, fp long, rep long")
-        .repartition(n, "cell")
-        .sortWithinPartitions("cell")
-        .mapInArrow(_verify(radius), "a long, b long")
-    )
+    dealt = classes.mapInArrow(_deal(segments), "cell long, fp long, rep long")
+    counts = classes.mapInArrow(_counts(segments), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    hot = counts.where(F.col("n") > LARGE).select("cell")
+    crowd = None
+    if not hot.isEmpty():
+        crowd = dealt.join(hot, "cell", "left_semi").select("fp", "rep").distinct().mapInArrow(_midpoints, "mid long, rep long")
+        dealt = dealt.join(hot, "cell", "left_anti")
+    found = dealt.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_verify(radius), "a long, b long")
+    if crowd is None:
+        return found
+    near = crowd.groupBy("mid").agg(F.min("rep").alias("b"), F.collect_list("rep").alias("reps"))
+    return found.union(near.select(F.explode("reps").alias("a"), "b").where("a <> b").distinct())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3) -> DataFrame:

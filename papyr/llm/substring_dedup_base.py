@@ -299,17 +299,14 @@ def covered(spans: list[dict] | None, window: int, total: int) -> np.ndarray:
     if not spans:
         return np.zeros(total, bool)
     s, n, first = (np.array([x[k] for x in spans], np.int64) for k in ("start", "n", "first"))
-    step = np.zeros(total + 1, np.int64)
-    at = np.zeros(total + 1, np.int64)
     plus = first == 0
-    np.add.at(at, np.clip(s[plus], 0, total), 1)
-    np.add.at(at, np.clip(s[plus] + n[plus], 0, total), -1)
-    again = np.cumsum(at[:total]) > 0
+    many = np.bincount(np.clip(s[plus], 0, total), minlength=total + 1) - np.bincount(np.clip(s[plus] + n[plus], 0, total), minlength=total + 1)
+    again = np.cumsum(many[:total]) > 0
     again[s[~plus]] = False
-    begin = np.flatnonzero(again)
-    np.add.at(step, begin, 1)
-    np.add.at(step, np.minimum(begin + window, total), -1)
-    return np.cumsum(step[:total]) > 0
+    # a unit is covered if one of the `window` windows that end with it or begin at it is repeated
+    seen = np.cumsum(again)
+    seen[window:] -= seen[:-window].copy()
+    return seen > 0
 
 
 def merge_windows(ids: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:

@@ -107,7 +107,7 @@ def parse(units: np.ndarray, doc_of: np.ndarray, window: int, trigger: int, modu
     """Prefix-free parse of a flat batch into phrases that end with a trigger.
 
     A trigger is a span of `trigger` units whose rolling hash is divisible by
-    `modulus`.  A window of `window` units belongs to the first trigger inside
+    `modulus`, a power of two.  A window of `window` units belongs to the first trigger inside
     it, or to its leftmost smallest rolling hash where it holds none.  That
     depends on the window's units alone, so equal windows belong to equal
     triggers at equal offsets, anywhere in the corpus.  Windows of one trigger
@@ -123,7 +123,7 @@ def parse(units: np.ndarray, doc_of: np.ndarray, window: int, trigger: int, modu
         return {"trig": z.view(np.uint64), "ctx": z.view(np.uint64), "first": z, "n": z, "off": z}
     short, whole = span_hashes(units, trigger, window)
     value = mix(short)
-    value[value % U(modulus) == 0] = 0
+    value[(value & U(modulus - 1)) == 0] = 0
     own = leftmost_minimum(value, window - trigger + 1)[:n]
     inside = doc_of[:n] == doc_of[window - 1 :]
     key = np.where(inside, own, -1)
@@ -137,4 +137,4 @@ def parse(units: np.ndarray, doc_of: np.ndarray, window: int, trigger: int, modu
 
 def is_trigger(hashes: np.ndarray, modulus: int) -> np.ndarray:
     """Which rolling hashes of spans, as span_hashes gives them, are triggers."""
-    return mix(hashes) % U(modulus) == 0
+    return (mix(hashes) & U(modulus - 1)) == 0

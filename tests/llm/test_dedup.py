@@ -175,7 +175,9 @@ def test_simhash(spark):
         assert r.component_id == ids[comp.get(k, k)]
 
 
-def test_crowded_cells(spark):
+@pytest.mark.parametrize("large", [simhash.LARGE, 60])
+def test_crowded_cells(spark, large, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE", large)
     rng = np.random.default_rng(1)
     base_fp = rng.integers(0, 2**63, dtype=np.uint64)
     fps = np.unique(np.concatenate([[base_fp ^ np.uint64(1 << i) ^ np.uint64(1 << j)] for i in range(8) for j in range(i, 30)]))
