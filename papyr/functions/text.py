@@ -142,8 +142,12 @@ def clean_controls(c: Column) -> Column:
     return clean_zero_width(F.regexp_replace(spaced, rf"[ࡂृ࡚{cc.CONTROLS}{cc.SPECIALS}\x{{80}}-\x{{9f}}]", ""))
 
 
+#: A character that is no white space; visible ASCII is tested first, as most characters are of it.
+_INK = rf"[\x21-\x7e[^{cc.WS}]]"
+
+
 def words(c: Column) -> Column:
-    return _count(c, f"[^{cc.WS}]+")
+    return _count(c, _INK + "++")
 
 
 def is_heading(c: Column, styled: Column | None = None) -> Column:
@@ -191,28 +195,25 @@ def list_level(c: Column) -> Column:
 
 
 def sentence_count(c: Column) -> Column:
-    """Runs between sentence ends that are not blank.
-
-    Each has a first character that is neither blank nor an end, with nothing
-    but blanks between it and the end before it: the blanks are deleted first.
-    """
-    return _count(F.regexp_replace(c, f"[{cc.WS}]+", ""), "[^.!?]+")
+    """Runs between sentence ends that are not blank."""
+    return F.size(F.filter(F.split(c, "[.!?]+"), lambda x: x.rlike(_INK))).cast("long")
 
 
-def text_statistics(c: Column) -> dict[str, Column]:
-    """Counts and ratios of a text by name; ratios are rounded to 6 places."""
+def text_statistics(c: Column, sentences: Column | None = None) -> dict[str, Column]:
+    """Counts and ratios of a text by name; ratios are rounded to 6 places.  sentences: its sentence_count, where that is a column already."""
     n = F.length(c).cast("long")
+    sentences = sentence_count(c) if sentences is None else sentences
     own = F.greatest(n, F.lit(1))
     return {
         "char_count": n,
         "char_count_no_spaces": F.length(F.translate(c, " \n", "")).cast("long"),
         "word_count": words(c),
-        "line_count": _chars(c, "\n") + 1,
+        "line_count": (F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1).cast("long"),
         "korean_ratio": F.round(_chars(c, f"[{cc.HANGUL}]") / own, 6),
         "english_ratio": F.round(_chars(c, "[A-Za-z]") / own, 6),
-        "sentence_count": sentence_count(c),
+        "sentence_count": sentences,
         # a sentence end divides a word that holds it, as splitting at the ends does
-        "avg_sentence_length": F.round(_count(c, f"[^{cc.WS}.!?]+") / F.greatest(sentence_count(c), F.lit(1)), 6),
+        "avg_sentence_length": F.round(_count(c, rf"[\x22-\x2d\x2f-\x3e\x40-\x7e[^{cc.WS}.!?]]++") / F.greatest(sentences, F.lit(1)), 6),
     }
 
 

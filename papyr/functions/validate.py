@@ -116,8 +116,10 @@ def full_verdict(name: Column, content: Column, media: Column, head: Column, mem
 STATUS = {"validation": 400, "authentication": 401, "authorization": 403, "size": 413, "rate_limit": 429, "parsing": 500, "timeout": 504}
 
 
-def error_envelope(kind: Column, message: Column, path: Column) -> Column:
+def error_envelope(kind: Column, message: Column, path: Column, details: Column | None = None) -> Column:
+    """Struct (status, error, message, details, path), or null where there is no error."""
     status = F.lit(500)
     for k, v in STATUS.items():
         status = F.when(kind == k, v).otherwise(status)
-    return F.when(kind.isNotNull(), F.struct(status.alias("status"), kind.alias("error"), message.alias("message"), path.alias("path")))
+    details = F.lit(None).cast("string") if details is None else details
+    return F.when(kind.isNotNull(), F.struct(status.alias("status"), kind.alias("error"), message.alias("message"), details.alias("details"), path.alias("path")))

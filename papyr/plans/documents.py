@@ -15,7 +15,7 @@ from papyr.plans.catalog import _EXT, _LIMIT, _MEDIA, _SCAN, _listed
 from papyr.plans.inputs import FILES, MIXED, PARAGRAPHS, cte, made, table
 from papyr.plans.structure import _HEAD, _LEVEL
 from papyr.plans.text import TAG_SQL, WORD, _stat_sql, n_of, stripped, sub
-from papyr.sources import hwpx
+from papyr.sources import cfb, hwp, hwpx
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -339,3 +339,94 @@ def scan_dispatch(spark, sf_dir):
     return scan.scan(one.union(two.withColumn("path", F.concat("path", F.lit(".hwp")))).union(three)).select("path", "parser", "text")
 
 
+
+
+def _named(spark, sf_dir, build):
+    """(path, content): a compound file for each region, built from its nations' names in order."""
+    from papyr.plans import files
+
+    return files._files(spark, sf_dir, build)
+
+
+def _tagged(names: list[str]) -> bytes:
+    """Records of three tags: a paragraph for each name, a memo for every second one, and one that holds no text."""
+    body = b"".join(
+        hwp.record(hwp.PARA_TEXT, n.encode("utf-16-le"), level=i % 3) + (hwp.record(0x5C, f"memo {n}".encode("utf-16-le")) if i % 2 else b"") + hwp.record(0x10, b"\1\0")
+        for i, n in enumerate(names)
+    )
+    return cfb.build({"FileHeader": b"\0" * 40, "BodyText/Section0": body})
+
+
+@query("""WITH n AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS i FROM nation)
+SELECT 'r' || n_regionkey AS path, 'HWPTAG_PARA_TEXT' AS tag_type, count(*)::BIGINT AS n, sum(length(n_name))::BIGINT AS chars, max(i % 3)::BIGINT AS top_level FROM n GROUP BY n_regionkey
+UNION ALL SELECT 'r' || n_regionkey, 'HWPTAG_MEMO_LIST', count(*)::BIGINT, sum(length(n_name) + 5)::BIGINT, 0 FROM n WHERE i % 2 = 1 GROUP BY n_regionkey""")
+def hwp_tags(spark, sf_dir):
+    """Texts of all tags that hold text, counted by tag, with the deepest level of their records."""
+    rows = hwp.scan(_named(spark, sf_dir, _tagged), tags=tuple(hwp.TEXT_TAGS))
+    out = rows.groupBy("path", "tag_type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max("level").alias("top_level"))
+    return out.withColumn("top_level", F.col("top_level").cast("long"))
+
+
+@query("SELECT 'r' || n_regionkey AS path, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1)::BIGINT AS i, rtrim(repeat(n_name || ' ', 20)) AS text FROM nation")
+def preview_scan(spark, sf_dir):
+    """Paragraphs of the preview that compound files store."""
+    build = lambda names: cfb.build({"FileHeader": b"\0" * 40, "PrvText": "\n\n \n\n".join((n + " ") * 20 for n in names).encode("utf-16-le")})
+    return hwp.scan_previews(_named(spark, sf_dir, build)).select("path", F.col("i").cast("long").alias("i"), "text")
+
+
+@query("SELECT c_custkey AS id, c_name AS title, 'u' || c_nationkey AS author, CASE WHEN c_custkey % 2 = 0 THEN '20250101' END AS date FROM customer")
+def docinfo_fields(spark, sf_dir):
+    """Title, author and date guessed from the text fields that a file stores."""
+    fields = F.array(F.lit(""), F.col("c_name"), F.concat(F.lit("u"), "c_nationkey", F.lit("@x.y")), F.when(F.col("c_custkey") % 2 == 0, "20250101").otherwise("2025010"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), *(c.alias(k) for k, c in hwp.docinfo(fields).items()))
+
+
+@query(f"SELECT page_id, {_EXT} IN ('.hwp', '.hwpx') AS word, {_EXT} = '.pdf' AS page, CASE WHEN {_EXT} IN ('.hwp', '.hwpx') THEN 200 ELSE 415 END::BIGINT AS word_status, CASE WHEN {_EXT} = '.pdf' THEN 200 ELSE 415 END::BIGINT AS page_status FROM {cte(FILES)}")
+def family_dispatch(spark, sf_dir):
+    """Endpoints that take one family of suffixes refuse the others."""
+    ext = v.extension(F.col("filename"))
+    word, page = ext.isin(".hwp", ".hwpx"), ext == ".pdf"
+    status = lambda ok: F.when(ok, 200).otherwise(415).cast("long")
+    return made(spark, sf_dir, FILES).select("page_id", word.alias("word"), page.alias("page"), status(word).alias("word_status"), status(page).alias("page_status"))
+
+
+_NOISY = f"[{cc.CONTROLS}{cc.SPECIALS}{cc.ZERO_WIDTH}ࡂृ]"
+_READ = r"[\x{AC00}-\x{D7A3}A-Za-z\p{Nd} \n]"
+
+
+@query(f"""WITH x AS (SELECT doc_id, text AS a, {sub('text', f'[{cc.NOISE}]')} AS b FROM {cte(MIXED)}),
+q AS (SELECT doc_id, length(b) - length(a) AS length_diff, {n_of('b', _READ)} / length(b) * 100 - {n_of('a', _READ)} / length(a) * 100 AS qd, {n_of('b', _NOISY)} / length(b) * 100 - {n_of('a', _NOISY)} / length(a) * 100 AS nd FROM x)
+SELECT doc_id, length_diff::BIGINT AS length_diff, round(qd, 6) AS quality_diff, round(nd, 6) AS noise_diff, CASE WHEN qd > 10 THEN 'significant' WHEN qd > 0 THEN 'improved' WHEN qd = 0 THEN 'same' ELSE 'decreased' END AS verdict FROM q""")
+def parser_comparison(spark, sf_dir):
+    """Two readings of a text by length, share of readable and of noisy characters, and a verdict."""
+    a = F.col("text")
+    rows = made(spark, sf_dir, MIXED).select("doc_id", a.alias("a"), t.strip_noise(a).alias("b"))
+    share = lambda c, p: t._chars(F.col(c), p) / F.length(c) * 100
+    q, n = share("b", _READ) - share("a", _READ), share("b", _NOISY) - share("a", _NOISY)
+    verdict = F.when(q > 10, "significant").when(q > 0, "improved").when(q == 0, "same").otherwise("decreased")
+    return rows.select("doc_id", (F.length("b") - F.length("a")).cast("long").alias("length_diff"), F.round(q, 6).alias("quality_diff"), F.round(n, 6).alias("noise_diff"), verdict.alias("verdict"))
+
+
+@query(f"""SELECT doc_id, {n_of('text', _NOISY)} AS total_noise, round({n_of('text', _NOISY)} / length(text) * 100, 6) AS noise_ratio, round({n_of('text', f'[{cc.HANGUL}]')} / length(text) * 100, 6) AS korean_ratio,
+array_to_string((regexp_extract_all(text, '[{cc.HANGUL}]+'))[1:10], ' ') AS sample FROM {cte(MIXED)}""")
+def noise_analysis(spark, sf_dir):
+    """Noise of all kinds, its share, that of Korean, and the first Korean words."""
+    c = F.col("text")
+    noise, n = t._chars(c, _NOISY), F.length(c)
+    found = F.regexp_extract_all(c, F.lit(f"[{cc.HANGUL}]+"), F.lit(0))
+    return made(spark, sf_dir, MIXED).select(
+        "doc_id", noise.alias("total_noise"), F.round(noise / n * 100, 6).alias("noise_ratio"), F.round(t._chars(c, f"[{cc.HANGUL}]") / n * 100, 6).alias("korean_ratio"),
+        F.array_join(F.slice(found, 1, 10), " ").alias("sample"),
+    )
+
+
+@query(f"SELECT page_id, CASE WHEN {_EXT} NOT IN {v.EXTENSIONS} THEN 400 ELSE 413 END::BIGINT AS status, CASE WHEN {_EXT} NOT IN {v.EXTENSIONS} THEN 'suffix ' || {_EXT} || ' not allowed' ELSE strlen(content) || ' bytes of 1000' END AS message, filename AS path, {_EXT} || '/' || strlen(content) AS details FROM {cte(FILES)} WHERE {_EXT} NOT IN {v.EXTENSIONS} OR strlen(content) > 1000")
+def error_details(spark, sf_dir):
+    """Errors with message, details and path; the first failing check counts."""
+    ext, n = v.extension(F.col("filename")), F.octet_length("content")
+    bad = ~ext.isin(*v.EXTENSIONS)
+    kind = F.when(bad, "validation").when(n > 1000, "size")
+    message = F.when(bad, F.concat(F.lit("suffix "), ext, F.lit(" not allowed"))).otherwise(F.concat(n.cast("string"), F.lit(" bytes of 1000")))
+    details = F.concat_ws("/", ext, n.cast("string"))
+    out = made(spark, sf_dir, FILES).select("page_id", v.error_envelope(kind, message, F.col("filename"), details).alias("e")).where("e is not null")
+    return out.select("page_id", F.col("e.status").cast("long").alias("status"), "e.message", "e.path", "e.details")

@@ -67,12 +67,12 @@ def doc_statistics(spark, sf_dir):
     text = F.col("text")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # the counts of the lines are used four times and computed once
-    docs = docs.withColumn("counts", F.transform(F.split(text, "\n"), t.words))
+    docs = docs.withColumn("counts", F.transform(F.split(text, "\n"), t.words)).withColumn("sentences", t.sentence_count(text))
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
     emails = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(cc.TAGS[1][1])))
     return docs.select(
         "doc_id",
-        *(c.alias(k) for k, c in (t.text_statistics(text) | {"word_count": total}).items()),
+        *(c.alias(k) for k, c in (t.text_statistics(text, F.col("sentences")) | {"word_count": total}).items()),
         F.size("counts").cast("long").alias("paragraph_count"),
         F.round(total / F.size("counts"), 6).alias("avg_paragraph_length"),
         F.array_max("counts").alias("max_paragraph_length"),

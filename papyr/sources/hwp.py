@@ -183,6 +183,22 @@ def scan(files: DataFrame, tags: tuple[int, ...] = (PARA_TEXT,), controls: bool
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def scan_previews(files: DataFrame) -> DataFrame:
+    """(path, i, text, error): the paragraphs of the stored previews of (path, content); an unreadable file gives a row with `error`."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out: list[tuple] = []
+            for path, content in zip(f["path"], f["content"], strict=True):
+                try:
+                    out += [(path, i, x, None) for i, x in enumerate(preview_paragraphs(content or b""))]
+                except (ValueError, struct.error, IndexError, KeyError) as e:
+                    out.append((path, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "i", "text", "error"]).astype({"i": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, i int, text string, error string")
+
+
 def docinfo(fields: F.Column) -> dict[str, F.Column]:
     """Heuristics on stored text fields: title, author and date."""
     clean = F.filter(fields, lambda x: x != "")
