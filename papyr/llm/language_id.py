@@ -12,8 +12,9 @@ cluster.  Rows whose hash cannot be among them are left where they are, so what
 is shuffled does not grow with the table.  Predictions cover every row.
 
 Defined results: `und` with score 0 for a text that is null or has no letter,
-or when no labelled row exists; one learnt language gives that language; of
-languages with equal votes the first in alphabetical order is taken.
+or when no labelled row exists; one learnt language gives that language; an
+undecided machine votes for the later of its two languages in alphabetical
+order, and of languages with equal votes the first is taken.
 """
 
 from __future__ import annotations

@@ -330,8 +330,9 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _spanning(t: pa.Table, key: str, value: np.ndarray, same=None) -> pa.RecordBatch:
     """Spanning links of the near pairs of each (key, x, y), of those only for which same(row, row) where it is given.
 
-    A pair that others have joined is not compared again; large groups are
-    worked through by blocks of rows, so no table of their pairs is made.
+    A pair that others have joined is not compared again, so a group of copies
+    costs little more than its rows; large groups are worked through by blocks
+    of rows, so no table of their pairs is made.
     """
     nodes, at = np.unique(t.column("rep").to_numpy(), return_inverse=True)
     root = np.arange(len(nodes))
@@ -368,8 +369,13 @@ def _spanning(t: pa.Table, key: str, value: np.ndarray, same=None) -> pa.RecordB
         for i in range(0, len(left), 128):
             part = left[i : i + 128]
             other = right[i:] if one else right
-            p, q = np.nonzero((root[at[part]][:, None] != root[at[other]][None, :]) & _near(value[part][:, None], value[other][None, :]))
-            join(part[p], other[q])
+            # most rows of a large group are soon of one tree: they are compared with the rows of others only
+            trees, n_rows = np.unique(root[at[other]], return_counts=True)
+            own = root[at[part]] == trees[n_rows.argmax()]
+            for a, b in ((part[own], other[root[at[other]] != trees[n_rows.argmax()]]), (part[~own], other)):
+                if len(a) and len(b):
+                    p, q = np.nonzero((root[at[a]][:, None] != root[at[b]][None, :]) & _near(value[a][:, None], value[b][None, :]))
+                    join(a[p], b[q])
     live = np.flatnonzero(root != np.arange(len(nodes)))
     return pa.RecordBatch.from_arrays([pa.array(nodes[live]), pa.array(nodes[root[live]])], names=["a", "b"])
 

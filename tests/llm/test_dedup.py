@@ -297,6 +297,21 @@ def test_texts_of_one_doc_id(spark):
     assert sorted((r.doc_id, r.n_removed > 0) for r in got) == [(1, False), (1, True), (2, True), (2, True)]
 
 
+def test_very_long_texts(spark):
+    """Over a megabyte in one row, and its middle once more."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200_000)]
+    text, part = " ".join(words), " ".join(words[50_000:90_000])
+    frame = spark.createDataFrame([(1, text), (2, part), (3, "z " * 700_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(spark, frame).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[2].n_spans) == (0, len(part), 1)
+    assert (got[3].n_removed, got[3].n_bytes) == (1_400_000 - 2, 1_400_000)
+    got = {r.doc_id: r for r in fm_dedup.remove_repeats(spark, frame, digest=True).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[3].n_removed) == (0, 40_000, 0)
+    got = {r.doc_id: int(r.fingerprint, 16) for r in simhash.near_duplicates(spark, frame).collect()}
+    assert got == {1: reference_fingerprint(text), 2: reference_fingerprint(part), 3: reference_fingerprint("z " * 700_000)}
+
+
 def test_a_frequent_trigger(spark, monkeypatch):
     """Phrases of a trigger that the sample finds are dealt by their windows."""
     monkeypatch.setattr(base, "FREQUENT", 2)
