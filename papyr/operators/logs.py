@@ -156,3 +156,9 @@ def gated(requests: DataFrame, most: int, duration: int, order: str = "event_id"
     ended = F.coalesce(F.max("_n").over(by_client.orderBy("t").rangeBetween(W.unboundedPreceding, -duration)), F.lit(0))
     out = place.withColumn("active", (F.col("_n") - 1 - ended).cast("long"))
     return out.withColumn("rejected", F.col("active") >= most).drop("_n")
+
+
+def matches(key: Column, glob: str) -> Column:
+    """Whether a key fits a glob of asterisks, question marks and other characters, which stand for themselves."""
+    like = "".join({"*": "%", "?": "_"}.get(c, "\\" + c if c in "%_\\" else c) for c in glob)
+    return key.like(like)

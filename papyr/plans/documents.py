@@ -430,3 +430,41 @@ def error_details(spark, sf_dir):
     details = F.concat_ws("/", ext, n.cast("string"))
     out = made(spark, sf_dir, FILES).select("page_id", v.error_envelope(kind, message, F.col("filename"), details).alias("e")).where("e is not null")
     return out.select("page_id", F.col("e.status").cast("long").alias("status"), "e.message", "e.path", "e.details")
+
+
+@query("SELECT 'r' || n_regionkey AS path, string_agg(n_name, chr(10) ORDER BY n_name) AS text, length(string_agg(n_name, chr(10) ORDER BY n_name)) > 40 AS accepted FROM nation GROUP BY n_regionkey")
+def conversion_scan(spark, sf_dir):
+    """Compound files repackaged as zip containers and read again; accepted where enough text comes out."""
+    from papyr.plans import files
+    from papyr.sources import scan
+
+    return scan.converted(files._files(spark, sf_dir, files._hwp), least=40)
+
+
+@query("SELECT 'r' || n_regionkey AS path, 'Contents/section' || (n_nationkey % 2) || '.xml' AS section_id, sum(length(n_name))::BIGINT AS chars, count(*)::BIGINT AS paragraphs FROM nation WHERE n_regionkey > 0 GROUP BY n_regionkey, n_nationkey % 2")
+def hwpx_package(spark, sf_dir):
+    """Files written from rows of paragraphs, two sections each, and read again."""
+    from papyr.sources import scan
+
+    rows = table(spark, sf_dir, "nation").where("n_regionkey > 0").select(
+        F.concat(F.lit("r"), "n_regionkey").alias("path"), (F.col("n_nationkey") % 2).alias("section"), F.col("n_nationkey").alias("idx"), F.col("n_name").alias("text")
+    )
+    x = hwpx.scan(scan.package(rows)).select("path", F.explode("sections").alias("s"))
+    return x.select("path", "s.section_id", F.col("s.text_length").cast("long").alias("chars"), F.col("s.paragraph_count").cast("long").alias("paragraphs"))
+
+
+@query("SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'given' WHEN parts = '' THEN NULL ELSE parts END AS text FROM (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE text <> '') AS parts FROM conversations GROUP BY conv_id)")
+def parser_text(spark, sf_dir):
+    """A parser's text if it gives any, else its paragraphs and cells."""
+    own = table(spark, sf_dir, "conversations").where("text <> ''").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    every = table(spark, sf_dir, "conversations").select("conv_id").distinct().join(own, "conv_id", "left")
+    given = F.when(F.col("conv_id") % 3 == 0, "given").otherwise("")
+    return every.select("conv_id", F.coalesce(F.nullif(given, F.lit("")), F.array_join(F.transform("x", lambda y: y["text"]), "\n\n")).alias("text"))
+
+
+@query("SELECT doc_id, 'hwp_extract:' || CASE doc_id % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'text' ELSE 'markdown' END AS kind FROM documents WHERE doc_id % 3 <> 1")
+def cache_glob(spark, sf_dir):
+    """What a glob leaves of a cache; an asterisk alone would leave nothing."""
+    kind = F.concat(F.lit("hwp_extract:"), F.when(F.col("doc_id") % 3 == 0, "json").when(F.col("doc_id") % 3 == 1, "text").otherwise("markdown"))
+    keys = table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"))
+    return keys.where(~logs.matches(F.col("kind"), "*:te?t*"))

@@ -25,3 +25,36 @@ def scan(files: DataFrame) -> DataFrame:
     compound = compound.select("path", F.lit("hwp").alias("parser"), F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
     pages = part("pdf").select("path", F.lit("pdf").alias("parser"), F.lit(None).cast("string").alias("text"), F.lit("pages must be extracted before").alias("error"))
     return zipped.unionByName(compound).unionByName(pages)
+
+
+def package(paragraphs: DataFrame) -> DataFrame:
+    """(path, content): a zip container for each path of (path, section, idx, text), its sections and paragraphs in order.
+
+    A file is one value, so its paragraphs are gathered in one row.
+    """
+    import pandas as pd
+
+    rows = paragraphs.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("section", "idx", "text"))).alias("x"))
+
+    def run(frames):
+        for f in frames:
+            content = []
+            for x in f["x"]:
+                parts: dict = {}
+                for r in x:
+                    parts.setdefault(r["section"], []).append(r["text"] or "")
+                content.append(hwpx.write(list(parts.values())))
+            yield pd.DataFrame({"path": f["path"], "content": content})
+
+    return rows.mapInPandas(run, "path string, content binary")
+
+
+def converted(files: DataFrame, least: int = 100) -> DataFrame:
+    """(path, text, accepted) of compound files, repackaged as zip containers and read again; accepted if over `least` characters come out.
+
+    An unreadable file has no text and is not accepted.
+    """
+    rows = hwp.scan(files).where("error is null")
+    read = hwpx.scan(package(rows.select("path", "section", "idx", "text"))).select("path", "text")
+    out = files.select("path").join(read, "path", "left")
+    return out.withColumn("accepted", F.coalesce(F.length("text") > least, F.lit(False)))
