@@ -468,3 +468,21 @@ def cache_glob(spark, sf_dir):
     kind = F.concat(F.lit("hwp_extract:"), F.when(F.col("doc_id") % 3 == 0, "json").when(F.col("doc_id") % 3 == 1, "text").otherwise("markdown"))
     keys = table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"))
     return keys.where(~logs.matches(F.col("kind"), "*:te?t*"))
+
+
+@query("SELECT 'r' || n_regionkey AS path, min(n_name) AS title, '한글 ' || count(*) AS author, '2025-01-0' || (n_regionkey + 1) || 'T10:20:30' AS created_date, NULL::VARCHAR AS modified_date FROM nation GROUP BY n_regionkey")
+def hwp_summary(spark, sf_dir):
+    """Title, author and dates of the summary that compound files store."""
+    import datetime
+
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.min("n_name").alias("title"), F.count("*").alias("n"))
+
+    def run(frames):
+        for f in frames:
+            built = [
+                cfb.build({"FileHeader": b"\0" * 40, hwp.SUMMARY: hwp.summary_stream({2: title, 4: f"한글 {n}", 12: datetime.datetime(2025, 1, k + 1, 10, 20, 30)})})
+                for k, title, n in zip(f["n_regionkey"], f["title"], f["n"], strict=True)
+            ]
+            yield pd.DataFrame({"path": [f"r{k}" for k in f["n_regionkey"]], "content": built})
+
+    return hwp.scan_summaries(rows.mapInPandas(run, "path string, content binary")).select("path", "title", "author", "created_date", "modified_date")

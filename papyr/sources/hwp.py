@@ -7,6 +7,7 @@ job.
 
 from __future__ import annotations
 
+import datetime
 import struct
 import zlib
 from collections.abc import Iterator
@@ -128,6 +129,75 @@ def sections(data: bytes, ole_limit: int = MAX_FILE) -> list[tuple[str, bytes]]:
     return [(p, inflate(raw) if packed else _bounded(raw)) for p in sorted(names, key=number) if (raw := f.read(p)) is not None]
 
 
+SUMMARY = "\x05HwpSummaryInformation"
+# Numbers of summary properties and their names.
+PROPERTIES = {2: "title", 3: "subject", 4: "author", 5: "keywords", 12: "created_date", 13: "modified_date"}
+_TEXT, _WIDE, _TIME = 30, 31, 64
+_EPOCH = datetime.datetime(1601, 1, 1)
+
+
+def summary(data: bytes) -> dict[str, str]:
+    """Properties of a summary stream by name: texts, and times as yyyy-mm-ddThh:mm:ss; those of other types are left out."""
+    if len(data) < 48 or data[:2] != b"\xfe\xff":
+        raise ValueError("no property set")
+    (base,) = struct.unpack_from("<I", data, 44)
+    _, count = struct.unpack_from("<II", data, base)
+    out = {}
+    if base + 8 + 8 * count > len(data):
+        raise ValueError("property set cut off")
+    for k in range(count):
+        number, offset = struct.unpack_from("<II", data, base + 8 + 8 * k)
+        kind, n = struct.unpack_from("<II", data, base + offset)
+        at = base + offset + 8
+        if number not in PROPERTIES:
+            continue
+        if kind == _WIDE:
+            out[PROPERTIES[number]] = data[at : at + 2 * n].decode("utf-16-le", "ignore").split("\0")[0]
+        elif kind == _TEXT:
+            out[PROPERTIES[number]] = data[at : at + n].decode("utf-8", "ignore").split("\0")[0]
+        elif kind == _TIME:
+            (ticks,) = struct.unpack_from("<Q", data, at - 4)
+            if ticks:
+                out[PROPERTIES[number]] = (_EPOCH + datetime.timedelta(microseconds=ticks // 10)).isoformat(timespec="seconds")
+    return out
+
+
+def summary_stream(properties: dict[int, str | datetime.datetime]) -> bytes:
+    """The bytes of a summary stream with the properties by number."""
+    values = []
+    for v in properties.values():
+        if isinstance(v, datetime.datetime):
+            values.append(struct.pack("<IQ", _TIME, int((v - _EPOCH).total_seconds()) * 10_000_000))
+        else:
+            raw = (v + "\0").encode("utf-16-le")
+            values.append(struct.pack("<II", _WIDE, len(raw) // 2) + raw + b"\0" * (-len(raw) % 4))
+    at, index = 8 + 8 * len(values), b""
+    for number, v in zip(properties, values, strict=True):
+        index += struct.pack("<II", number, at)
+        at += len(v)
+    body = struct.pack("<II", at, len(values)) + index + b"".join(values)
+    return b"\xfe\xff\0\0" + b"\0" * 20 + struct.pack("<I", 1) + b"\0" * 16 + struct.pack("<I", 48) + body
+
+
+def scan_summaries(files: DataFrame) -> DataFrame:
+    """(path, the properties by name, error) of (path, content); a file without a summary has none, an unreadable one gives `error`."""
+    names = [*PROPERTIES.values()]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for path, content in zip(f["path"], f["content"], strict=True):
+                try:
+                    c = CompoundFile(content or b"")
+                    found = summary(c.read(SUMMARY)) if SUMMARY in c.streams else {}
+                    out.append((path, *(found.get(n) for n in names), None))
+                except (ValueError, struct.error, IndexError, KeyError, OverflowError) as e:
+                    out.append((path, *(None for _ in names), f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", *names, "error"])
+
+    return files.select("path", "content").mapInPandas(run, ", ".join(f"{n} string" for n in ["path", *names, "error"]))
+
+
 #: Encodings tried on bytes of unknown encoding, in order.
 ENCODINGS = ("utf-16-le", "utf-8", "cp949", "euc-kr")
 

@@ -121,3 +121,13 @@ def test_other_texts_of_compound_files():
     assert hwp.broken_text("a\tb\rc\x01d".encode("utf-16-le")) == "a\tb\ncd"
     data = cfb.build({"FileHeader": b"\0" * 40, "PrvText": ("첫째 " * 40 + "\n\n \n\n둘째").encode("utf-16-le")})
     assert hwp.preview_paragraphs(data) == [("첫째 " * 40).strip(), "둘째"]
+
+
+def test_summaries(spark):
+    import datetime
+
+    made = hwp.summary_stream({2: "제목", 3: "", 4: "a" * 300, 13: datetime.datetime(2024, 2, 29, 1, 2, 3)})
+    assert hwp.summary(made) == {"title": "제목", "subject": "", "author": "a" * 300, "modified_date": "2024-02-29T01:02:03"}
+    files = [("a", cfb.build({hwp.SUMMARY: made})), ("b", cfb.build({"x": b"1"})), ("c", cfb.build({hwp.SUMMARY: b"oops" * 20})), ("d", cfb.build({hwp.SUMMARY: made[:60]})), ("e", None)]
+    got = {r.path: (r.title, r.error is None) for r in hwp.scan_summaries(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert got == {"a": ("제목", True), "b": (None, True), "c": (None, False), "d": (None, False), "e": (None, False)}
