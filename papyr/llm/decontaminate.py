@@ -74,7 +74,7 @@ def _seeds(pieces: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
 
 
 def _short_hits(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
-    """(doc_id, item_id, at, item_at, mask, matched) of items of `length` tokens, fewer than SPAN, that stand in documents as a whole."""
+    """(doc_id, item_id, at, mask, matched) of items of `length` tokens, fewer than SPAN, that stand in documents as a whole."""
     whole = ("1" * length,)
     own = _seeds(_pieces(docs, "doc_id", length, 0), whole).select("doc_id", "at", "seed", F.slice("w", F.col("j") + 1, length).alias("tok"))
     test = items.select("item_id", tokens(F.col("text")).alias("item")).where(F.size("item") == length).distinct()
@@ -82,7 +82,7 @@ def _short_hits(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
     # an item of bounded size gives one row, so the table is about as large as the benchmark; it decides how the join is made
     bounded = test.count() <= BROADCAST_SEEDS
     hits = own.join(F.broadcast(test) if bounded else test.hint("merge"), "seed").where("tok = item")
-    return hits.select("doc_id", "item_id", "at", F.lit(0).alias("item_at"), F.lit(0).alias("mask"), F.lit(length).alias("matched"))
+    return hits.select("doc_id", "item_id", "at", F.lit(0).alias("mask"), F.lit(length).alias("matched"))
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -91,7 +91,10 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = items.select(id_of("item_id").alias("item_id"), "text")
     own = _seeds(_pieces(docs, "doc_id"))
     test = _seeds(_pieces(items, "item_id"))
-    test = test.select("seed", "item_id", "mask", F.col("at").alias("item_at"), F.col("w").alias("item"), F.col("j").alias("i"))
+    # places of an item with equal tokens around them agree with the same places of documents and are one row,
+    # so a repetitive item has few rows however long it is
+    around = F.array(*(F.get("w", F.col("j") + k) for k in range(-MARGIN, SPAN + MARGIN)))
+    test = test.select("seed", "item_id", "mask", around.alias("item")).distinct()
     # the number of seeds, of bounded size each, decides how the join is made
     bounded = test.count() <= BROADCAST_SEEDS
     hits = own.select("doc_id", "at", "j", "w", "seed").join(F.broadcast(test) if bounded else test.hint("merge"), "seed")
@@ -99,10 +102,10 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     same = F.size(
         F.filter(
             F.sequence(F.lit(-MARGIN), F.lit(SPAN + MARGIN - 1)),
-            lambda k: F.coalesce(F.get("w", F.col("j") + k) == F.get("item", F.col("i") + k), F.lit(False)),
+            lambda k: F.coalesce(F.get("w", F.col("j") + k) == F.get("item", k + MARGIN), F.lit(False)),
         )
     )
-    hits = hits.select("doc_id", "item_id", "at", "item_at", "mask", same.alias("matched")).where(F.col("matched") >= MATCHES)
+    hits = hits.select("doc_id", "item_id", "at", "mask", same.alias("matched")).where(F.col("matched") >= MATCHES)
     # at most SPAN - 1 lengths; most benchmarks have none of them
     n = F.size(tokens(F.col("text")))
     for row in items.select(n.alias("n")).where((n > 0) & (n < SPAN)).distinct().orderBy("n").collect():
@@ -110,13 +113,13 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     shown = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
     return (
         hits.groupBy("doc_id", "item_id")
-        .agg(F.count_distinct("at", "item_at", "mask").alias("n_hits"), F.max("matched").cast("long").alias("n_matched"), F.min("at").cast("long").alias("first_token"))
+        .agg(F.count_distinct("at", "mask").alias("n_hits"), F.max("matched").cast("long").alias("n_matched"), F.min("at").cast("long").alias("first_token"))
         .select(shown("doc_id").alias("doc_id"), shown("item_id").alias("item_id"), "n_hits", "n_matched", "first_token")
     )
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, item_id, n_hits (seeds that agree), n_matched (most equal tokens of a hit), first_token of each document and item that share a passage.
+    """doc_id, item_id, n_hits (places and masks of the document whose seeds agree), n_matched (most equal tokens of a hit), first_token of each document and item that share a passage.
 
     Nothing shared gives no row; an empty table on either side gives none.
     """
@@ -151,7 +154,7 @@ h AS (SELECT doc_id, item_id, pos, item_pos, seed[1] AS mask, {same} AS matched
 s AS (SELECT d.doc_id, item_id, pos, 1 AS item_pos, '0' AS mask, len(item) AS matched
       FROM b, d, unnest(generate_series(1, len(tok) - len(item) + 1)) AS g(pos)
       WHERE len(item) BETWEEN 1 AND {SPAN - 1} AND tok[pos:pos + len(item) - 1] = item)
-SELECT doc_id, item_id, count(DISTINCT (pos, item_pos, mask))::BIGINT AS n_hits, max(matched)::BIGINT AS n_matched, (min(pos) - 1)::BIGINT AS first_token
+SELECT doc_id, item_id, count(DISTINCT (pos, mask))::BIGINT AS n_hits, max(matched)::BIGINT AS n_matched, (min(pos) - 1)::BIGINT AS first_token
 FROM (SELECT * FROM h WHERE matched >= {MATCHES} UNION ALL SELECT * FROM s) GROUP BY doc_id, item_id
 """
 
