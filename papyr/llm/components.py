@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from papyr.llm.common import Tables, join_hot
 
+#: Links of a file of a round's table, and of a task that writes one; few links need few files however many tasks a shuffle has.
+LINKS_A_FILE = 50_000
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node) of each component of the links a-b, roots left out."""
@@ -62,6 +65,7 @@ def connected_components(links: DataFrame, tables: Tables) -> DataFrame:
     node with itself are ignored; no links give no rows.  Every step is written
     to the shared folder.
     """
+    small_files = lambda df, n: df.coalesce(max(4, n // LINKS_A_FILE))
     edges, path = tables.write(links.select("a", "b").where("a <> b").mapInArrow(_local_forests, "a long, b long"))
     before = None
     while True:
@@ -72,7 +76,7 @@ def connected_components(links: DataFrame, tables: Tables) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("links"))
         large = join_hot(both.where("b > a"), low, "a", "links", 2 * now[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large, large_path = tables.write(large)
+        large, large_path = tables.write(small_files(large, now[0]))
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("links"))
         small = (
             join_hot(large, least, "a", "links", 2 * now[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -80,7 +84,7 @@ def connected_components(links: DataFrame, tables: Tables) -> DataFrame:
             .distinct()
         )
         # (b, m) with b < m cannot occur: m is the smallest neighbour
-        new, new_path = tables.write(small)
+        new, new_path = tables.write(small_files(small, now[0]))
         tables.drop(path)
         tables.drop(large_path)
         edges, path = new, new_path
