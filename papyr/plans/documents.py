@@ -110,7 +110,7 @@ n AS (SELECT doc_id, count(*)::BIGINT AS paragraph_count, {_LIST}::BIGINT AS lis
 q AS (SELECT doc_id, count(DISTINCT tbl)::BIGINT AS tables FROM c GROUP BY doc_id)
 SELECT t.doc_id, {_stat_sql('t.text')}, paragraph_count, (text_tables + coalesce(tables, 0))::BIGINT AS table_count, list_count, heading_count, avg_paragraph_length, max_paragraph_length, min_paragraph_length, tags,
   title || '/' || author || '/' || coalesce(created_date, '') || '/HWP/ko/' || page_count AS metadata, (6 * coalesce(tables, 0))::BIGINT AS parsed_cells
-FROM t JOIN n USING (doc_id) JOIN m USING (doc_id) LEFT JOIN q USING (doc_id)""".replace("text_tables + coalesce", "text_tables + coalesce"))
+FROM t JOIN n USING (doc_id) JOIN m USING (doc_id) LEFT JOIN q USING (doc_id)""")
 def structured_document(spark, sf_dir):
     """All groups of the structured output; statistics, tags of paragraphs and metadata are shown."""
     out = d.structured(*_parts(spark, sf_dir))
@@ -129,8 +129,8 @@ def structured_text_only(spark, sf_dir):
 
 
 @query(f"""{_PARTS}, x AS (SELECT doc_id, i, string_split(text, chr(10)) AS z FROM p WHERE len(list_filter(string_split(text, chr(10)), lambda z: (length(z) - length(replace(z, '><', ''))) // 2 >= 2)) > 0)
-SELECT doc_id, 0 AS source, i::BIGINT AS b, 0::BIGINT AS "table", len(list_filter(z, lambda y: contains(y, '<') AND contains(y, '>')))::BIGINT AS row_count, 3::BIGINT AS col_count, '1:0:' || array_to_string(list_transform(regexp_extract_all(z[2], '<([^<>]*)>', 1), lambda y: trim(y)), ',') AS cells FROM x
-UNION ALL SELECT doc_id, 1, tbl, tbl, 3, 2, string_agg(r || ':' || c1 || ',' || c2, ';' ORDER BY r) FROM c GROUP BY doc_id, tbl""".replace("'1:0:' ||", "'0:' ||"))
+SELECT doc_id, 0 AS source, i::BIGINT AS b, 0::BIGINT AS "table", len(list_filter(z, lambda y: contains(y, '<') AND contains(y, '>')))::BIGINT AS row_count, 3::BIGINT AS col_count, '0:' || array_to_string(list_transform(regexp_extract_all(z[2], '<([^<>]*)>', 1), lambda y: trim(y)), ',') AS cells FROM x
+UNION ALL SELECT doc_id, 1, tbl, tbl, 3, 2, string_agg(r || ':' || c1 || ',' || c2, ';' ORDER BY r) FROM c GROUP BY doc_id, tbl""")
 def structured_tables(spark, sf_dir):
     """Tables in paragraphs and parsed ones with their own index; the header of the first kind counts as a row but has no cells."""
     paras, tables, _, _ = _parts(spark, sf_dir)
