@@ -112,4 +112,3 @@ def test_sliding_log():
 def test_chunks_join_to_the_text(text, size):
     parts = structure.boundary_chunks(text, size)
     assert "".join(parts) == text and all(0 < len(p) <= size for p in parts)
-    assert "".join(structure.buffered(parts, 7)) == text
