@@ -234,20 +234,18 @@ def _windows(m: Method) -> Callable:
             starts = np.unique(np.concatenate([np.arange(s, s + n) for _, s, n, _ in asks.tolist()]))
             values = m.values(seq)
             h1, h2 = (tu.span_hashes(v, m.window)[0][starts] for v in (values, tu.mix(values)))
-            for at in range(0, len(starts), 100_000):  # one after the other, so that a long text stays in bounds
-                part = slice(at, at + 100_000)
-                o = np.lexsort((starts[part], h2[part], h1[part]))
-                a, b, s = h1[part][o], h2[part][o], starts[part][o]
-                if not m.across:
-                    head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-                    a, b, s, lens = a[head], b[head], s[head], np.ones(len(head), np.int64)
-                else:
-                    head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-                    lens = np.diff(np.concatenate((head, [len(s)])))
-                    a, b = a[head], b[head]
-                ends = np.concatenate(([0], np.cumsum(lens))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), i)), lists], names=["h1", "h2", "id", "starts"])
+            o = np.lexsort((starts, h2, h1))
+            a, b, s = h1[o], h2[o], starts[o]
+            head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+            # all places of a window in the first document that has it, or the first place alone
+            last = np.concatenate((head[1:], [len(s)])) if m.across else head + 1
+            for at in range(0, len(head), 100_000):
+                h, e = head[at : at + 100_000], last[at : at + 100_000]
+                lens = e - h
+                ends = np.concatenate(([0], np.cumsum(lens)))
+                places = s[np.repeat(h - ends[:-1], lens) + np.arange(ends[-1])]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(places.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(a[h].view(np.int64)), pa.array(b[h].view(np.int64)), pa.array(np.full(len(h), i)), lists], names=["h1", "h2", "id", "starts"])
 
     return run
 
