@@ -6,7 +6,9 @@ from papyr.llm import (
     embed_dedup,
     fm_dedup,
     html_extract,
+    impact_index,
     language_id,
+    periodic_runs,
     secret_scan,
     simhash,
     suffix_dedup,
@@ -27,6 +29,8 @@ QUERIES = {
         fm_dedup.op8_fm_dedup,
         simhash.op9_simhash_dedup,
         secret_scan.op10_secret_scan,
+        impact_index.op11_impact_search,
+        periodic_runs.op12_periodic_runs,
     )
 }
 SQL = {
@@ -35,4 +39,5 @@ SQL = {
     "op5_decontamination": decontaminate.SQL,
     "op6_suffix_dedup": suffix_dedup.SQL,
     "op8_fm_dedup": fm_dedup.SQL,
+    "op11_impact_search": impact_index.SQL,
 }

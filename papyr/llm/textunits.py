@@ -9,6 +9,8 @@ the partition or the executor in which it was computed.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _M1, _M2, _M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -138,3 +140,33 @@ def parse(units: np.ndarray, doc_of: np.ndarray, window: int, trigger: int, modu
 def is_trigger(hashes: np.ndarray, modulus: int) -> np.ndarray:
     """Which rolling hashes of spans, as span_hashes gives them, are triggers."""
     return (mix(hashes) & U(modulus - 1)) == 0
+
+
+#: Bytes of words as most operators take them, `[^\x20\x09-\x0D]+`, and of terms: letters and digits of ASCII and all other characters.
+WORD_BYTES = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
+TERM_BYTES = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def token_array(texts: pa.Array, kept: np.ndarray, lower: bool) -> tuple[pa.Array, np.ndarray]:
+    """The maximal runs of `kept` bytes of all texts, one after another, and how many each text has; a null text has none.
+
+    lower: A-Z become a-z.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    base = at[0] if len(at) else 0
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[base : at[-1]] if raw is not None and len(at) else np.empty(0, np.uint8)
+    at = at - base
+    inside = np.concatenate((kept[data], [False]))
+    before, after = np.concatenate(([False], inside[:-1])), np.concatenate((inside[1:], [False]))
+    before[at[:-1]] = False
+    after[at[1:][at[1:] > 0] - 1] = False
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    held = data[inside[:-1]]
+    offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+    words = pa.Array.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(_LOWER[held] if lower else held))]
+    )
+    return words, np.diff(np.searchsorted(starts, at))
