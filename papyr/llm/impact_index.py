@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from papyr.llm.common import NULL_ID, Tables, id_of, read, slices
+from papyr.llm.common import NULL_ID, Tables, id_of, read, share, slices
 from papyr.llm.textunits import TERM_BYTES, token_array
 
 #: Impacts are at most 1,000,000.
@@ -273,10 +273,10 @@ def search(index: DataFrame, n_docs: int, terms: DataFrame, k: int = 10) -> Data
         weighted.unpersist()
     found = None
     for queries in blocks:
-        shared = spark.sparkContext.broadcast(queries)
+        shared = share(spark, queries)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q = shared.value
+            q = shared()
             held, rows = [], 0
             merged = lambda: [tuple(c[i] for c in cols) for cols in [tuple(map(np.concatenate, zip(*held, strict=True)))] for i in [top(*cols, k)]]
             for batch in batches:

@@ -8,6 +8,7 @@ from papyr.llm import (
     html_extract,
     impact_index,
     language_id,
+    log_bilinear,
     periodic_runs,
     secret_scan,
     simhash,
@@ -31,6 +32,7 @@ QUERIES = {
         secret_scan.op10_secret_scan,
         impact_index.op11_impact_search,
         periodic_runs.op12_periodic_runs,
+        log_bilinear.op13_log_bilinear,
     )
 }
 SQL = {
