@@ -31,7 +31,8 @@ _ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{32,}")
 _WEAK = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
-_ENDPOINT = re.compile(rb"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.amazonaws\.com")
+_URL = re.compile(rb"https?://[A-Za-z0-9.-]+(?::[0-9]+)?")
+_HOST, _CLOUD = re.compile(rb"[A-Za-z0-9.-]+"), b".amazonaws.com"
 
 
 def strong_spans(text: bytes) -> dict[str, list[tuple[int, int]]]:
@@ -44,6 +45,30 @@ def strong_spans(text: bytes) -> dict[str, list[tuple[int, int]]]:
     }
 
 
+def endpoints(text: bytes) -> list[tuple[int, int]]:
+    """Byte spans of addresses: URLs up to the port, and hosts of a cloud by their last labels.
+
+    Each run of host characters is looked at once; what it holds up to its last
+    cloud name, behind any empty label, is the host.
+    """
+    urls = [m.span() for m in _URL.finditer(text)]
+    hosts = []
+    if _CLOUD in text:
+        at = 0
+        for m in _HOST.finditer(text):
+            while at < len(urls) and urls[at][1] <= m.start():
+                at += 1
+            end = m[0].rfind(_CLOUD)
+            if end < 0 or (at < len(urls) and urls[at][0] < m.end()):
+                continue
+            labels = m[0][:end]
+            start = labels.rfind(b"..") + 2 if b".." in labels else 0
+            start = end - len(labels[start:].lstrip(b".-"))
+            if start < end:
+                hosts.append((m.start() + start, m.start() + end + len(_CLOUD)))
+    return sorted(urls + hosts)
+
+
 def in_scope(text: bytes, part: tuple[int, int], others: list[tuple[int, int]], scope: int) -> bool:
     """Whether a span of `others` (sorted, disjoint, another one than `part`) touches the part's scope."""
     lo = max(text.rfind(b"\n\n", max(0, part[0] - scope), part[0]) + 2, part[0] - scope) if b"\n\n" in text[max(0, part[0] - scope) : part[0]] else part[0] - scope
@@ -58,14 +83,17 @@ def in_scope(text: bytes, part: tuple[int, int], others: list[tuple[int, int]],
 
 
 def linked_spans(text: bytes, found: dict[str, list[tuple[int, int]]], scope: int = SCOPE) -> dict[str, list[tuple[int, int]]]:
-    """The weak spans whose complementary parts co-occur."""
+    """The weak spans whose complementary parts co-occur.
+
+    Spans of different kinds may overlap, so each kind is searched by itself.
+    """
     access = found["access"]
     secrets: list[tuple[int, int]] = []
     if access:
         taken = set(access)
         secrets = [s for s in (m.span() for m in _WEAK.finditer(text)) if s not in taken and in_scope(text, s, access, scope)]
-    parts = sorted({*access, *secrets, *found["assign"], *found["hex"]})
-    ends = [s for s in (m.span() for m in _ENDPOINT.finditer(text)) if in_scope(text, s, parts, scope)] if parts else []
+    kinds = [x for x in (access, secrets, found["assign"], found["hex"]) if x]
+    ends = [s for s in endpoints(text) if any(in_scope(text, s, x, scope) for x in kinds)] if kinds else []
     return {"secret": secrets, "endpoint": ends}
 
 
