@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from papyr.llm.common import read, slices
+from papyr.llm.common import read, share, slices
 
 BUCKETS = 1 << 13
 GRAMS = (1, 2, 3, 4)
@@ -167,17 +167,21 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
 
 def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """At most per_language rows (text, lang) of each language, and about MOST_ROWS in all: those with the smallest hashes."""
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    hashed = labelled.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2))
+    # rows that differ, within some hundredths: however often a row repeats, it is one
+    counts = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
     languages = counts.count()
     each = max(1, min(per_language, MOST_ROWS // max(1, languages)))
-    # the smallest `each` of n hashes lie below this share of all with near certainty: its mean and ten deviations more
-    share = (each + 10 * each**0.5) / F.col("n")
+    # the smallest `each` of n hashes lie below this share of all with near certainty: its mean and ten deviations more, and a fifth for the estimate
+    share = 1.2 * (each + 10 * each**0.5) / F.col("n")
     span = float(1 << 62)
     limit = counts.select("lang", F.least(F.lit(span), share * span).alias("limit"))
     # a row for each language; as many as the models have
-    near = labelled.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)).join(F.broadcast(limit) if languages <= MOST_ROWS else limit, "lang").where("h <= limit")
-    w = W.partitionBy("lang").orderBy("h", "doc_id")
-    return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= each).select("text", "lang")
+    near = hashed.join(F.broadcast(limit) if languages <= MOST_ROWS else limit, "lang").where("h <= limit")
+    # repeated rows once, before they are counted in order
+    once = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    w = W.partitionBy("lang").orderBy("h")
+    return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= each).select("text", "lang")
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
@@ -206,11 +210,11 @@ def predict(docs: DataFrame, model: Model | None, lang: str = "lang_pred", sure:
     Columns of `docs` that have those names are replaced: name others to keep them.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark, model)
     docs = docs.select(*(c for c in docs.columns if c not in (lang, sure)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = shared()
         for batch in slices(batches, "text", 2_000_000):
             texts = batch.column("text").to_pylist()
             found, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
