@@ -40,15 +40,16 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyr.llm.common import NULL_ID, Tables, id_of, read, runs_by_key, width
+from papyr.llm.common import NULL_ID, Tables, id_of, read, runs_by_key, slices, width
 from papyr.llm.components import connected_components
 
 #: Citations of one component that a task orders in memory.
 COMPONENT = 1_000_000
-_BLOCK = re.compile(r"<tool_(call|response)>(.*?)</tool_\1>", re.S)
+_OPEN = re.compile("<tool_(call|response)>")
 _TYPES = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None),
 }
@@ -126,6 +127,22 @@ _FORMATS = {
 }
 
 
+def matches(pattern: str, text: str) -> bool:
+    """Whether a schema's pattern is found in a text, by an automaton: the time is in proportion to the text for any pattern.
+
+    Patterns that need another way (look-around, back references, counts over
+    1000) or that are none are Unsupported.
+    """
+    if not isinstance(pattern, str):
+        raise Unsupported(f"pattern {pattern}")
+    # an escape \uXXXX is written \x{XXXX} here
+    known = re.sub(r"(?<!\\)((?:\\\\)*)\\u([0-9A-Fa-f]{4})", r"\1\\x{\2}", pattern)
+    try:
+        return pc.match_substring_regex(pa.array([text]), known)[0].as_py()
+    except (pa.ArrowInvalid, UnicodeEncodeError):
+        raise Unsupported(f"pattern {pattern}") from None
+
+
 def _resolve(ref: Any, root: Any) -> Any:
     """The schema that a reference inside `root` points to: "#", "#/a/b" or "#anchor"."""
     if not isinstance(ref, str) or not ref.startswith("#"):
@@ -167,6 +184,13 @@ def unsupported(schema: Any) -> str | None:
             elif k == "format":
                 if v not in _FORMATS:
                     return f"format {v}"
+            elif k == "pattern" or (k == "patternProperties" and isinstance(v, dict)):
+                for pattern in [v] if k == "pattern" else sorted(v):
+                    try:
+                        matches(pattern, "")
+                    except Unsupported as e:
+                        return str(e)
+                stack += v.values() if k == "patternProperties" else ()
             elif k in _LIST and isinstance(v, list):
                 stack += v
             elif k in _ONE:
@@ -219,7 +243,7 @@ def validate(value: Any, schema: Any, at: str = "$", root: Any = None) -> str |
             return f"{at}: minLength"
         if "maxLength" in schema and len(value) > schema["maxLength"]:
             return f"{at}: maxLength"
-        if "pattern" in schema and not re.search(schema["pattern"], value):
+        if "pattern" in schema and not matches(schema["pattern"], value):
             return f"{at}: pattern"
         if "format" in schema:
             if schema["format"] not in _FORMATS:
@@ -255,7 +279,7 @@ def validate(value: Any, schema: Any, at: str = "$", root: Any = None) -> str |
         if "maxProperties" in schema and len(value) > schema["maxProperties"]:
             return f"{at}: maxProperties"
         for k in sorted(value):
-            rules = ([own[k]] if k in own else []) + [s for p, s in sorted(patterns.items()) if re.search(p, k)]
+            rules = ([own[k]] if k in own else []) + [s for p, s in sorted(patterns.items()) if matches(p, k)]
             for rule in rules or [schema.get("additionalProperties")]:
                 if e := check(value[k], rule, f"{at}.{k}"):
                     return e
@@ -308,6 +332,23 @@ def _call(item: Any) -> tuple[str, str, str | None, str, list[str]]:
     return "call", canonical(arguments), None if call_id is None else str(call_id), f["name"], cited(arguments)
 
 
+def blocks(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, kind, body) of the blocks of a turn: from an opening mark to the next closing one of its kind.
+
+    A mark that is never closed opens nothing.  One search per block, and one
+    more for each kind, so the time grows with the text alone.
+    """
+    open_ended, at = set(), 0
+    while m := _OPEN.search(text, at):
+        end = -1 if m[1] in open_ended else text.find(f"</tool_{m[1]}>", m.end())
+        if end < 0:
+            open_ended.add(m[1])
+            at = m.end()
+        else:
+            at = end + len(f"</tool_{m[1]}>")
+            yield m.start(), at, m[1], text[m.end() : end]
+
+
 def events_of(text: str) -> list[tuple[str, str, str | None, str | None, list[str]]]:
     """(kind, body, id, name, cites) of one turn, in order."""
     out: list = []
@@ -337,17 +378,17 @@ def events_of(text: str) -> list[tuple[str, str, str | None, str | None, list[st
         if known:
             return out
     at = 0
-    for m in _BLOCK.finditer(text):
-        if text[at : m.start()].strip():
-            out.append(("message", text[at : m.start()].strip(), None, None, []))
-        at = m.end()
+    for start, end, kind, body in blocks(text):
+        if text[at:start].strip():
+            out.append(("message", text[at:start].strip(), None, None, []))
+        at = end
         try:
-            item = _strict(m[2])
+            item = _strict(body)
         except (ValueError, RecursionError):
             item = None
         if not isinstance(item, dict):
-            out.append(("malformed", m[2].strip(), None, None, []))
-        elif m[1] == "call":
+            out.append(("malformed", body.strip(), None, None, []))
+        elif kind == "call":
             out.append(_call(item))
         else:
             i = item.get("tool_call_id", item.get("id"))
@@ -362,7 +403,7 @@ def _read_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         [("conv", pa.int64()), ("turn", pa.int64()), ("part", pa.int32()), ("role", pa.string()), ("kind", pa.string()), ("id", pa.string()),
          ("name", pa.string()), ("body", pa.string()), ("cites", pa.list_(pa.string()))]
     )
-    for batch in batches:
+    for batch in slices(batches, "text", 4_000_000):
         rows = []
         for conv, turn, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv", "turn", "role", "text")), strict=True):
             for part, (kind, body, i, name, cites) in enumerate(events_of(text or "")):
