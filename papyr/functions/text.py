@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -78,18 +79,23 @@ def first_usable(*texts: Column) -> Column:
     return F.coalesce(*(F.when(usable(c), c) for c in texts[:-1]), texts[-1])
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def meaningful(token: Column) -> Column:
-    """Whether a token is kept by the pipeline for word processor texts."""
-    n, korean = F.length(token), F.regexp_count(token, F.lit(f"[{cc.KOREAN}]"))
+    """Whether a token is kept by the pipeline for word processor texts; the cheap and common cases first."""
+    n, korean = F.length(token), f"[{cc.KOREAN}]"
     kinds = F.size(F.array_distinct(F.split(token, "")))
     bare = F.regexp_replace(token, "[.,:/-]", "")
     return (
         F.when(n == 0, False)
-        .when(korean > 0, ~((n > 10) & (korean / n < 0.1)))
+        .when(token.rlike("^[A-Za-z0-9]{1,4}$"), True)
+        .when(token.rlike(korean), (n <= 10) | (F.regexp_count(token, F.lit(korean)) / n >= 0.1))
         .when(n > 10, False)
         .when((n > 4) & (1 - kinds / n > 0.5), False)
-        .when(token.rlike(r"^[\p{Nd}\x{b2}\x{b3}\x{b9}\x{2460}-\x{2468}]+$"), True)
-        .when(bare.rlike(r"^[\p{L}\p{N}]+$") & (F.length(bare) <= 10), True)
+        .when(bare.rlike(r"^[\p{L}\p{N}]+$"), True)
         .when(token.rlike(r"""^[#$%&*+=\-<>?!@'"()\[\]{}.,;:]+$"""), n <= 2)
         .otherwise(token.isin(*"※→←↔⇒"))
     )
@@ -101,7 +107,7 @@ def keep_tokens(c: Column) -> Column:
 
 def gate(c: Column, least: float = 0.05) -> Column:
     """The text, or an empty one if it is short or hardly Korean."""
-    return F.when((F.length(c) >= 10) & (korean_ratio(c) >= least), c).otherwise("")
+    return once(c, lambda x: F.when((F.length(x) >= 10) & (korean_ratio(x) >= least), x).otherwise(""))
 
 
 def clean(c: Column) -> Column:

@@ -11,40 +11,76 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def sliding_log(times: Iterator[float], limit: int, window: float, log: deque | None = None) -> Iterator[tuple[bool, int]]:
-    """(accepted, retry_after) of one client's request times in order; rejected requests are not logged."""
+def sliding_log(times: Iterator[float], limit: int, window: float, log: deque | None = None) -> Iterator[tuple[bool, int, int]]:
+    """(accepted, retry_after, active) of one client's request times in order; rejected requests are not logged.
+
+    active: the accepted requests of the window so far, without this one.
+    """
     log = deque() if log is None else log
     for now in times:
         while log and log[0] <= now - window:
             log.popleft()
-        if len(log) >= limit:
-            yield False, int(window - (now - log[0]))
+        active = len(log)
+        if active >= limit:
+            yield False, int(window - (now - log[0])), active
         else:
             log.append(now)
-            yield True, 0
+            yield True, 0, active
 
 
-def rate_limited(requests: DataFrame, limit: int, window: float, order: str = "event_id") -> DataFrame:
-    """Adds accepted and retry_after to requests (client, t in seconds, ...).
+def islands(requests: DataFrame, gap: float) -> DataFrame:
+    """Adds _island: a client's requests (client, t) are of different islands only where none comes for `gap` or longer in between.
+
+    Gaps are found between stretches of time of that length, of which a client
+    has few however many its requests are: they are aggregated before the
+    shuffle, and only they are put in order.
+    """
+    stretch = F.floor(F.col("t") / gap)
+    spans = requests.groupBy(F.col("client").alias("_c"), stretch.alias("_s")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    w = W.partitionBy("_c").orderBy("_s")
+    # the same subtraction as in the folds, so that a gap found here has emptied their state
+    apart = F.coalesce(F.lag("hi").over(w) <= F.col("lo") - gap, F.lit(False)).cast("long")
+    numbered = spans.withColumn("_new", apart).select("_c", "_s", F.sum("_new").over(w).alias("_island"))
+    return requests.withColumn("_own", stretch).join(numbered, F.col("client").eqNullSafe(F.col("_c")) & F.col("_own").eqNullSafe(F.col("_s"))).drop("_own", "_c", "_s")
+
 
-    Rows are dealt by client and sorted; each partition is read once, with at
-    most `limit` times in memory, however many requests a client makes.
+def _folded(requests: DataFrame, gap: float, order: str, begin: Callable, out: dict[str, str]) -> DataFrame:
+    """Adds the columns `out` that begin() gives for the times of an island, one after another.
+
+    Islands are dealt like keys and sorted; a task reads its rows once with the
+    state of one island in memory.
     """
     schema = requests.schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, log = object(), deque()
+        last, step = object(), None
         for frame in frames:
-            ok, wait = [], []
-            for c, now in zip(frame["client"], frame["t"], strict=True):
-                if c != client:
-                    client, log = c, deque()
-                a, b = next(sliding_log(iter((now,)), limit, window, log))
-                ok.append(a), wait.append(b)
-            yield frame.assign(accepted=ok, retry_after=wait)
+            rows = []
+            clients = frame["client"].astype(object).where(frame["client"].notna(), None)
+            for c, i, now in zip(clients, frame["_island"], frame["t"], strict=True):
+                if (c, i) != last:
+                    last, step = (c, i), begin()
+                rows.append(step(now))
+            cols = zip(*rows, strict=True) if rows else [[] for _ in out]
+            yield frame.drop(columns="_island").assign(**dict(zip(out, map(list, cols), strict=True)))
+
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), *(f"{n} {k}" for n, k in out.items())])
+    dealt = islands(requests, gap).select(*schema.names, "_island").repartition("client", "_island")
+    return dealt.sortWithinPartitions("client", "_island", "t", order).mapInPandas(run, kinds)
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return requests.repartition("client").sortWithinPartitions("client", "t", order).mapInPandas(run, f"{out}, accepted boolean, retry_after long")
+
+def rate_limited(requests: DataFrame, limit: int, window: float, order: str = "event_id") -> DataFrame:
+    """Adds accepted, retry_after and active to requests (client, t in seconds, ...).
+
+    After a window without requests a client's log is empty, so what lies
+    between such gaps is worked on apart, also of one client.
+    """
+
+    def begin() -> Callable:
+        log: deque = deque()
+        return lambda now: next(sliding_log(iter((now,)), limit, window, log))
+
+    return _folded(requests, window, order, begin, {"accepted": "boolean", "retry_after": "long", "active": "long"})
 
 
 class LeakyBucket:
@@ -63,20 +99,14 @@ class LeakyBucket:
 
 
 def leaky(requests: DataFrame, rate: float, burst: int, order: str = "event_id") -> DataFrame:
-    """Adds accepted to requests (client, t in seconds, ...); one pass over sorted partitions."""
+    """Adds accepted to requests (client, t in seconds, ...); what lies between times in which any bucket runs dry is worked on apart."""
+    dry = (burst + 1) / rate * (1 + 1e-9)  # a little more, as the leak is rounded
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, bucket = object(), None
-        for frame in frames:
-            ok = []
-            for c, now in zip(frame["client"], frame["t"], strict=True):
-                if c != client:
-                    client, bucket = c, LeakyBucket(rate, burst)
-                ok.append(bucket.accepts(now))
-            yield frame.assign(accepted=ok)
+    def begin() -> Callable:
+        bucket = LeakyBucket(rate, burst)
+        return lambda now: (bucket.accepts(now),)
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
-    return requests.repartition("client").sortWithinPartitions("client", "t", order).mapInPandas(run, f"{out}, accepted boolean")
+    return _folded(requests, dry, order, begin, {"accepted": "boolean"})
 
 
 def client_id(token: Column, address: Column) -> Column:
@@ -144,18 +174,14 @@ def read_through(inputs: DataFrame, cache: DataFrame, compute: Callable[[DataFra
     return hits.unionByName(compute(inputs.join(cache, key, "left_anti")).withColumn("hit", F.lit(False)))
 
 
-def gated(requests: DataFrame, most: int, duration: int, order: str = "event_id") -> DataFrame:
-    """Adds active (earlier requests of the client still under way, each taking `duration` seconds) and rejected (`most` or more are) to (client, t, ...).
+def gated(requests: DataFrame, most: int, duration: float, order: str = "event_id") -> DataFrame:
+    """Adds active (accepted requests of the client still under way, each taking `duration` seconds) and rejected (`most` or more are) to (client, t, ...).
 
-    Equal times count in order: a running number less that of the last request
-    that had ended, both windows over the client's requests in order.
+    A rejected request never runs, so it isn't active for later ones: the log
+    of a sliding window, in which a request stands as long as it runs.
     """
-    by_client = W.partitionBy("client")
-    place = requests.withColumn("_n", F.row_number().over(by_client.orderBy("t", order)))
-    # those that began at or before t - duration have ended
-    ended = F.coalesce(F.max("_n").over(by_client.orderBy("t").rangeBetween(W.unboundedPreceding, -duration)), F.lit(0))
-    out = place.withColumn("active", (F.col("_n") - 1 - ended).cast("long"))
-    return out.withColumn("rejected", F.col("active") >= most).drop("_n")
+    out = rate_limited(requests, most, duration, order)
+    return out.withColumn("rejected", ~F.col("accepted")).drop("accepted", "retry_after")
 
 
 def matches(key: Column, glob: str) -> Column:

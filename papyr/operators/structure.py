@@ -71,6 +71,44 @@ def with_parents(heads: DataFrame, key: str = "doc_id") -> DataFrame:
     return out.withColumn("parent", parent).withColumn("depth", depth).drop(*(f"_l{k}" for k in last))
 
 
+def heading_trees(heads: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, tree): the headings of a document as JSON, each with text, level, index and its children, nested as with_parents has them.
+
+    In document order a heading either opens its parent's children or follows a
+    sibling, which only its own depth and that before it tell.  So each heading
+    writes its part of the text by itself and the parts are joined: one window
+    and one aggregation for trees of any depth.
+    """
+    w = W.partitionBy(key).orderBy("idx")
+    deep = with_parents(heads, key)
+    before = F.coalesce(F.lag("depth").over(w), F.lit(-1))
+    node = F.to_json(F.struct("text", "level", F.col("idx").alias("index")))
+    opened = F.concat(F.substring(node, F.lit(1), F.length(node) - 1), F.lit(',"children":['))
+    # so many nodes end before this one: all from the depth before down to its own
+    ended = before - F.col("depth") + 1
+    part = F.concat(F.repeat(F.lit("]}"), ended), F.when(F.col("depth") <= before, ",").otherwise(""), opened)
+    parts = deep.select(key, "idx", "depth", part.alias("part"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "part"))), lambda x: x["part"]), "")
+    out = parts.groupBy(key).agg(whole.alias("body"), F.max_by("depth", "idx").alias("last"))
+    return out.select(key, F.concat(F.lit("["), "body", F.repeat(F.lit("]}"), F.col("last") + 1), F.lit("]")).alias("tree"))
+
+
+def subtrees(paras: DataFrame, value: Column, key: str = "doc_id") -> DataFrame:
+    """(key, idx, level, end, total): for each heading the index at which its part of the document ends, or null, and the sum of `value` over that part.
+
+    The part reaches to the next heading of its level or a smaller one.  Running
+    sums label it as an interval, so no heading is joined with its paragraphs.
+    """
+    up = W.partitionBy(key).orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(key).orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, -1)
+    level = F.when(t.is_heading(F.col("text")), t.heading_level(F.col("text")))
+    sums = paras.select(key, "idx", level.alias("level"), value.cast("long").alias("_own")).withColumn("_sum", F.sum("_own").over(up)).withColumn("_before", F.col("_sum") - F.col("_own"))
+    ends = {k: F.last(F.when(F.col("level") <= k, F.struct("idx", "_before")), ignorenulls=True).over(down) for k in range(1, 7)}
+    marked = sums.select("*", F.max("_sum").over(W.partitionBy(key)).alias("_all"), *(c.alias(f"_e{k}") for k, c in ends.items())).where("level is not null")
+    end = F.coalesce(*(F.when(F.col("level") == k, F.col(f"_e{k}")) for k in ends))
+    return marked.select(key, "idx", "level", end["idx"].alias("end"), (F.coalesce(end["_before"], "_all") - F.col("_before")).alias("total"))
+
+
 def list_groups(paras: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, start_index, end_index, n_items, type, items): runs of consecutive list items.
 
@@ -121,23 +159,34 @@ def byte_chunks(df: DataFrame, size: int, key: str = "doc_id", text: str = "text
     return out.select(key, "chunk", F.substring("_raw", (F.col("chunk") * size + 1).cast("int"), F.lit(size)).alias("content"), F.round(end / F.col("_n") * 100, 4).alias("progress"))
 
 
-def boundary_chunks(text: str, size: int) -> list[str]:
-    """Pieces of at most `size` characters that end after the last line end in reach, else after the last '. '.
+def table_rows(c: Column) -> Column:
+    """Array of rows of cells of a text with <cell> marks: of each line with < and >, what stands between them.
 
-    What lies behind the cut is carried over, so the pieces join to the text.
+    A < within a cell begins it anew; a > without < gives the cell before it once more, or an empty one.
     """
-    out = []
-    while len(text) > size:
-        cut = text.rfind("\n", 0, size) + 1 or (text.rfind(". ", 0, size) + 2 if text.rfind(". ", 0, size) >= 0 else size)
-        out.append(text[:cut])
-        text = text[cut:]
-    return [*out, text] if text else out
+    lines = F.filter(F.split(c, "\n"), lambda x: x.contains("<") & x.contains(">"))
+    stray = lambda m: m == ">"
+    cell = lambda m: t.strip(F.substring(m, F.lit(2), F.length(m) - 2))
 
+    def cells(marks: Column) -> Column:
+        known = F.transform(marks, lambda m: F.when(~stray(m), cell(m)))
+        filled = F.transform(marks, lambda m, i: F.when(~stray(m), cell(m)).otherwise(F.coalesce(F.try_element_at(F.array_compact(F.slice(known, F.lit(1), i + 1)), F.lit(-1)), F.lit(""))))
+        return F.when(F.exists(marks, stray), filled).otherwise(known)
 
-def table_rows(c: Column) -> Column:
-    """Array of rows of cells of a text with <cell> marks: of each line with < and >, what stands between them."""
-    lines = F.filter(F.split(c, "\n"), lambda x: x.contains("<") & x.contains(">"))
-    return F.transform(lines, lambda x: F.transform(F.regexp_extract_all(x, F.lit("<([^<>]*)>"), F.lit(1)), t.strip))
+    return F.transform(lines, lambda x: t.once(F.regexp_extract_all(x, F.lit("<[^<>]*>|>"), F.lit(0)), cells))
+
+
+def rows_by_header(rows: Column) -> Column:
+    """The rows behind the first one as maps from the first one's cells; of equal headers the last counts, cells beyond the headers go."""
+
+    def one(row: Column, headers: Column) -> Column:
+        n = F.least(F.size(row), F.size(headers))
+        pairs = F.arrays_zip(F.slice(headers, F.lit(1), n).alias("h"), F.slice(row, F.lit(1), n).alias("v"))
+        names = F.array_distinct(F.slice(headers, F.lit(1), n))
+        return F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(pairs, lambda p: p["h"] == k), -1)["v"]))
+
+    named = F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: one(r, F.get(rows, F.lit(0))))
+    return F.filter(named, lambda m: F.size(m) > 0)
 
 
 def is_table(c: Column) -> Column:
@@ -190,13 +239,17 @@ def accepted(body: Column, preview: Column, clean: Callable[[Column], Column] =
     The body's text is taken if it is long enough before and after cleaning; one
     with hardly any Korean gives way to a preview with more.
     """
-    own, other = clean(body), clean(preview)
-    ratio, more = t.korean_ratio(own), t.korean_ratio(other)
-    usable = (F.length(preview) > PREVIEW) & (F.length(other) > PREVIEW_LEFT)
     pick = lambda m, c, r: F.struct(F.lit(m).alias("method"), c.alias("text"), r.alias("korean_ratio"))
-    long = F.length(body) > ENOUGH
-    return (
-        F.when(long & (ratio < KOREAN) & usable & (more > ratio), pick("preview", other, more))
-        .when(long & (F.length(own) >= LEFT), pick("body", own, ratio))
-        .when((F.length(preview) > ENOUGH) & (F.length(other) >= LEFT), pick("preview", other, more))
-    )
+    rated = lambda c: F.struct(c.alias("text"), t.korean_ratio(c).alias("ratio"))
+
+    def choose(own: Column, other: Column) -> Column:
+        usable = (F.length(preview) > PREVIEW) & (F.length(other["text"]) > PREVIEW_LEFT)
+        long = F.length(body) > ENOUGH
+        return (
+            F.when(long & (own["ratio"] < KOREAN) & usable & (other["ratio"] > own["ratio"]), pick("preview", other["text"], other["ratio"]))
+            .when(long & (F.length(own["text"]) >= LEFT), pick("body", own["text"], own["ratio"]))
+            .when((F.length(preview) > ENOUGH) & (F.length(other["text"]) >= LEFT), pick("preview", other["text"], other["ratio"]))
+        )
+
+    cleaned = lambda c: t.once(clean(c), rated)
+    return t.once(F.struct(cleaned(body).alias("a"), cleaned(preview).alias("b")), lambda x: choose(x["a"], x["b"]))

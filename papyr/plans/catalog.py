@@ -295,7 +295,11 @@ def chunk_projection(spark, sf_dir):
     return e.select("event_id", F.coalesce(F.when(F.col("event_type").isin("view", "click"), F.col("props")), F.col("event_type")).alias("content"))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY t, event_id) AS n FROM ({_REQUESTS})),
+r AS (SELECT client, event_id, n, t, true AS accepted, 1.0::DOUBLE AS level FROM e WHERE n = 1 UNION ALL
+SELECT client, event_id, n, t, left_over <= 1, left_over + (left_over <= 1)::INT::DOUBLE FROM (
+  SELECT e.client, e.event_id, e.n, e.t, greatest(0.0::DOUBLE, r.level - (e.t - r.t) * (1.0::DOUBLE / 21600)) AS left_over FROM r JOIN e ON e.client = r.client AND e.n = r.n + 1))
+SELECT event_id, accepted FROM r""")
 def leaky_bucket(spark, sf_dir):
-    """A bucket that leaks one request in six hours and holds one, by user; one pass over sorted partitions."""
+    """A bucket that leaks one request in six hours and holds one, by user."""
     return logs.leaky(_requests(spark, sf_dir), 1 / 21600, 1).select("event_id", "accepted")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyr.functions import charclass as cc
 from papyr.functions import text as t
-from papyr.operators import logs
+from papyr.operators import chains, logs
 from papyr.operators import structure as s
 from papyr.plans import files
 from papyr.plans.inputs import table
@@ -86,39 +84,10 @@ def failing_files(spark, sf_dir):
     return hwpx.scan(broken).select("path", F.col("error").isNull().alias("ok"), F.coalesce(F.size("paragraphs"), F.lit(0)).cast("long").alias("paragraphs"))
 
 
-def buffered_rows(pieces: DataFrame, size: int, key: str, order: str, text: str = "text") -> DataFrame:
-    """(key, flush, content): pieces of a key, in order, joined until they hold `size` characters; the rest last.
-
-    One pass over sorted partitions with one buffer in memory; a null piece is
-    empty, pieces of a null key are those of one key.
-    """
-
-    def run(frames):
-        now, held, n = object(), "", 0
-        for f in frames:
-            out = []
-            keys = f[key].astype(object).where(f[key].notna(), None)
-            for k, x in zip(keys, f[text], strict=True):
-                if k != now:
-                    if held:
-                        out.append((now, n, held))
-                    now, held, n = k, "", 0
-                held += x or ""
-                if len(held) >= size:
-                    out.append((now, n, held))
-                    held, n = "", n + 1
-            yield frame(out)
-        if held:
-            yield frame([(now, n, held)])
-
-    def frame(rows):
-        return pd.DataFrame(rows, columns=[key, "flush", "content"]).astype({key: "Int64"})
-
-    sorted_rows = pieces.select(key, order, text).repartition(key).sortWithinPartitions(key, order)
-    return sorted_rows.mapInPandas(run, f"{key} long, flush long, content string")
-
-
-@query()
+@query("""WITH RECURSIVE e AS (SELECT conv_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+r AS (SELECT conv_id, n, 0::BIGINT AS flush, text AS held FROM e WHERE n = 1 UNION ALL
+SELECT e.conv_id, e.n, r.flush + (length(r.held) >= 1000)::INT, CASE WHEN length(r.held) >= 1000 THEN e.text ELSE r.held || e.text END FROM r JOIN e ON e.conv_id = r.conv_id AND e.n = r.n + 1)
+SELECT conv_id, flush, arg_max(held, n) AS content FROM r GROUP BY conv_id, flush HAVING max(length(held)) > 0""")
 def sized_buffer(spark, sf_dir):
     """Turns of conversations buffered to 1000 characters."""
-    return buffered_rows(table(spark, sf_dir, "conversations"), 1000, "conv_id", "turn")
+    return chains.buffered_rows(table(spark, sf_dir, "conversations"), 1000, "conv_id", "turn")

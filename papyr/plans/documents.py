@@ -266,9 +266,13 @@ def cleanup_delete(spark, sf_dir):
 _GATED = "SELECT event_id, user_id, epoch_us(ts) // 1000000 AS t FROM events"
 
 
-@query(f"SELECT a.event_id, count(b.event_id)::BIGINT AS active, count(b.event_id) >= 2 AS rejected FROM ({_GATED}) a LEFT JOIN ({_GATED}) b ON b.user_id = a.user_id AND (b.t, b.event_id) < (a.t, a.event_id) AND b.t > a.t - 86400 GROUP BY a.event_id")
+@query(f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM ({_GATED})),
+r AS (SELECT user_id, event_id, n, [t] AS running, 0::BIGINT AS active FROM e WHERE n = 1 UNION ALL
+SELECT user_id, event_id, n, CASE WHEN len(left_over) < 2 THEN list_append(left_over, t) ELSE left_over END, len(left_over) FROM (
+  SELECT e.user_id, e.event_id, e.n, e.t, list_filter(r.running, lambda x: x > e.t - 86400) AS left_over FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT event_id, active, active >= 2 AS rejected FROM r""")
 def gate_decision(spark, sf_dir):
-    """Whether a request comes while two others of its client, each taking a day, are under way."""
+    """Whether a request comes while two others of its client that were let in, each taking a day, are under way."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
     return logs.gated(e.withColumnRenamed("user_id", "client"), 2, 86400).select("event_id", "active", "rejected")
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
+from papyr.operators.tables import new_path
 from papyr.plans.inputs import table
 from papyr.sources import cfb, hwp, hwpx
 from papyr.streaming import limits
@@ -57,23 +54,9 @@ def hwpx_scan(spark, sf_dir):
     return hwpx.scan(_files(spark, sf_dir, lambda x: hwpx.write([x]))).select("path", "text", F.size("paragraphs").cast("long").alias("paragraphs"))
 
 
-def _delete(spark, path):
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-    except Exception:  # the JVM may be gone when Python ends
-        pass
-
-
 def _streamed(spark, df, name, mode="append"):
     """Rows that a stream gives until its input ends, written to and read from the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="papyr-")
-    at = f"{base}/stream-{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, at)
+    at = new_path(spark, f"stream-{name}")
     stream = df.writeStream.option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True)
     if mode == "complete":  # each batch gives the whole result, which files cannot take in place
         stream = stream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/out"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from papyr.functions import charclass as cc
 from papyr.functions import text as t
+from papyr.operators import chains
 from papyr.operators import structure as s
 from papyr.plans.inputs import MIXED, PARAGRAPHS, TABLES, cte, made, table
 from papyr.plans.text import n_of, q, stripped, sub
@@ -49,6 +50,33 @@ def heading_parent(spark, sf_dir):
     return out.select("doc_id", "idx", "parent", F.col("depth").cast("long").alias("depth"))
 
 
+_DEEP = f"""h AS (SELECT doc_id, idx, text, ({_LEVEL}) AS level FROM {cte(PARAGRAPHS)} WHERE {_HEAD}),
+p AS (SELECT a.doc_id, a.idx, max(b.idx) AS parent FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.idx < a.idx AND b.level < a.level GROUP BY a.doc_id, a.idx)"""
+
+
+@query(f"""WITH {_DEEP},
+n AS (SELECT h.*, parent, left(to_json({{'text': text, 'level': level, 'index': h.idx}})::VARCHAR, -1) || ',"children":[' AS open FROM h JOIN p USING (doc_id, idx)),
+""" + ", ".join(f"""n{d} AS (SELECT a.doc_id, a.idx, a.parent, any_value(a.open) || coalesce(string_agg(b.json, ',' ORDER BY b.idx), '') || ']}}' AS json
+FROM n a LEFT JOIN {f'n{d + 1}' if d < 6 else '(SELECT NULL::BIGINT AS doc_id, NULL::BIGINT AS idx, NULL::BIGINT AS parent, NULL::VARCHAR AS json)'} b ON b.doc_id = a.doc_id AND b.parent = a.idx GROUP BY a.doc_id, a.idx, a.parent)""" for d in range(6, 0, -1)) + """
+SELECT doc_id, '[' || string_agg(json, ',' ORDER BY idx) || ']' AS tree FROM n1 WHERE parent IS NULL GROUP BY doc_id""")
+def heading_tree(spark, sf_dir):
+    """The headings of each document as nested JSON."""
+    return s.heading_trees(s.headings(made(spark, sf_dir, PARAGRAPHS)))
+
+
+_WORDS = f"len(regexp_extract_all(text, '[^{cc.WS}]+'))"
+
+
+@query(f"""WITH q AS (SELECT doc_id, idx, CASE WHEN {_HEAD} THEN ({_LEVEL}) END AS level, {_WORDS} AS words FROM {cte(PARAGRAPHS)}),
+e AS (SELECT a.doc_id, a.idx, any_value(a.level) AS level, min(b.idx) AS ends FROM q a LEFT JOIN q b ON b.doc_id = a.doc_id AND b.idx > a.idx AND b.level <= a.level WHERE a.level IS NOT NULL GROUP BY a.doc_id, a.idx)
+SELECT e.doc_id, e.idx, any_value(e.level)::BIGINT AS level, any_value(ends) AS ends, sum(words)::BIGINT AS words
+FROM e JOIN q ON q.doc_id = e.doc_id AND q.idx >= e.idx AND (ends IS NULL OR q.idx < ends) GROUP BY e.doc_id, e.idx""")
+def subtree_words(spark, sf_dir):
+    """Words of each heading's part of the document, up to the next heading of its level or above."""
+    out = s.subtrees(made(spark, sf_dir, PARAGRAPHS), F.regexp_count("text", F.lit(f"[^{cc.WS}]+")))
+    return out.select("doc_id", "idx", F.col("level").cast("long").alias("level"), F.col("end").alias("ends"), F.col("total").alias("words"))
+
+
 _TYPE = f"CASE WHEN regexp_matches(text, {q(cc.NUMBER_ITEM)}) THEN 'ordered' WHEN regexp_matches(text, {q(cc.KOREAN_ITEM)}) THEN 'korean_ordered' ELSE 'unordered' END"
 
 
@@ -91,6 +119,32 @@ def table_detect(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", s.is_table(F.col("html")).alias("is_table"))
 
 
+#: Pages with a line of stray marks behind them.
+_MARKED = "SELECT page_id, concat(html, chr(10), '> <a> > <b<c> >') AS text FROM {pages}"
+
+
+@query(f"""WITH l AS (SELECT page_id, unnest(string_split(text, chr(10))) AS line FROM {cte(_MARKED)}),
+m AS (SELECT page_id, regexp_extract_all(line, '<[^<>]*>|>') AS m FROM l WHERE contains(line, '<') AND contains(line, '>')),
+c AS (SELECT page_id, list_transform(m, lambda x, i: CASE WHEN x <> '>' THEN {stripped('substr(x, 2, length(x) - 2)')}
+  ELSE coalesce({stripped("list_filter(m[1:i], lambda y: y <> '>')[-1][2:-2]")}, '') END) AS cells FROM m)
+SELECT page_id, count(*)::BIGINT AS n_rows, max(len(cells))::BIGINT AS n_cols, sum(len(array_to_string(cells, '|')))::BIGINT AS chars, max(array_to_string(cells, '|')) AS last FROM c GROUP BY page_id""")
+def table_marks(spark, sf_dir):
+    """Rows of cells between marks of whole pages, stray marks among them."""
+    rows = made(spark, sf_dir, _MARKED).select("page_id", F.explode(s.table_rows(F.col("text"))).alias("cells"))
+    line = F.array_join("cells", "|")
+    return rows.groupBy("page_id").agg(F.count("*").alias("n_rows"), F.max(F.size("cells")).cast("long").alias("n_cols"), F.sum(F.length(line)).alias("chars"), F.max(line).alias("last"))
+
+
+@query("""SELECT r_regionkey AS table_id, i AS row, h AS header, v AS cell FROM (
+  SELECT r_regionkey, n_nationkey AS i, unnest(['name', 'key']) AS h, unnest([n_name, lower(n_name)]) AS v FROM region JOIN nation ON n_regionkey = r_regionkey)""")
+def table_by_header(spark, sf_dir):
+    """Cells by header of a table for each region: of the two columns headed key the last counts, a cell beyond the headers goes."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("<"), x["n_name"], F.lit("><"), x["n_nationkey"].cast("string"), F.lit("> <"), F.lower(x["n_name"]), F.lit("><beyond>")))
+    tables = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("table_id")).agg(F.array_join(lines, "\n").alias("text"), F.array_sort(F.collect_list("n_nationkey")).alias("keys"))
+    rows = tables.select("table_id", "keys", F.posexplode(s.rows_by_header(s.table_rows(F.concat(F.lit("<name><key><key>\n"), "text")))).alias("i", "cells"))
+    return rows.select("table_id", F.element_at("keys", F.col("i") + 1).alias("row"), F.explode("cells").alias("header", "cell"))
+
+
 @query(f"SELECT table_id, row_id, (i - 1)::BIGINT AS col, {stripped('c[i]')} AS cell, CASE WHEN row_id = 0 THEN 'header' WHEN i = 1 THEN 'row_header' ELSE 'data' END AS kind FROM (SELECT table_id, row_id, regexp_extract_all(line, '<([^<>]*)>', 1) AS c FROM {cte(TABLES)}), unnest(generate_series(1, len(c))) AS g(i)")
 def table_cells(spark, sf_dir):
     rows = made(spark, sf_dir, TABLES).select("table_id", "row_id", F.posexplode(F.get(s.table_rows(F.col("line")), F.lit(0))).alias("col", "cell"))
@@ -203,17 +257,13 @@ def page_progress(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(done, 4).alias("progress"))
 
 
-@query()
+@query(r"""WITH RECURSIVE r AS (SELECT doc_id, 0::BIGINT AS chunk, text AS rest, left(text, 500) AS reach, ''::VARCHAR AS content, false AS done FROM documents WHERE text <> ''
+UNION ALL SELECT doc_id, chunk + 1, substr(rest, cut + 1), left(substr(rest, cut + 1), 500), left(rest, cut), length(rest) <= cut FROM (
+  SELECT *, CASE WHEN length(rest) <= 500 THEN length(rest) WHEN contains(reach, chr(10)) THEN length(regexp_extract(reach, '(?s)^.*\n')) WHEN contains(reach, '. ') THEN length(regexp_extract(reach, '(?s)^.*\. ')) ELSE 500 END AS cut FROM r WHERE NOT done))
+SELECT doc_id, chunk - 1 AS chunk, content FROM r WHERE chunk > 0""")
 def boundary_chunks(spark, sf_dir):
     """Chunks of at most 500 characters that end at line ends; they join to the text."""
-    import pandas as pd
-
-    def run(frames):
-        for f in frames:
-            rows = [(d, i, c) for d, text in zip(f["doc_id"], f["text"], strict=True) for i, c in enumerate(s.boundary_chunks(text or "", 500))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "content"])
-
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, chunk long, content string")
+    return chains.boundary_chunks(table(spark, sf_dir, "documents"), 500)
 
 
 @query(f"""SELECT doc_id, arg_min(method, p) AS method, arg_min(length(text), p)::BIGINT AS n FROM (

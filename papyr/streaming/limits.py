@@ -34,7 +34,7 @@ def limited_stream(requests: DataFrame, limit: int, window: float, late: str = "
         result = list(sliding_log(iter(rows["t"]), limit, window, log))
         state.update((list(log),))
         state.setTimeoutTimestamp(max(int((rows["t"].iloc[-1] + window) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": rows["event_id"], "client": rows["client"], "t": rows["t"], "accepted": [a for a, _ in result], "retry_after": [w for _, w in result]})
+        yield pd.DataFrame({"event_id": rows["event_id"], "client": rows["client"], "t": rows["t"], "accepted": [a for a, _, _ in result], "retry_after": [w for _, w, _ in result]})
 
     return requests.withWatermark("ts", late).groupBy("client").applyInPandasWithState(step, OUT, "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 

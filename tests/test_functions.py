@@ -103,12 +103,6 @@ def test_ttl(spark, kind, size, base, want):
 
 
 def test_sliding_log():
-    assert [a for a, _ in logs.sliding_log(iter([0, 1, 2, 60, 61, 62]), 2, 60)] == [True, True, False, True, True, False]
+    assert [a for a, _, _ in logs.sliding_log(iter([0, 1, 2, 60, 61, 62]), 2, 60)] == [True, True, False, True, True, False]
     bucket = logs.LeakyBucket(1, 1)
     assert [bucket.accepts(x) for x in (0, 0, 0, 1, 5)] == [True, True, False, True, True]
-
-
-@given(st.text("ab\n. ", max_size=80), st.integers(3, 20))
-def test_chunks_join_to_the_text(text, size):
-    parts = structure.boundary_chunks(text, size)
-    assert "".join(parts) == text and all(0 < len(p) <= size for p in parts)

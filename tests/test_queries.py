@@ -30,7 +30,7 @@ def test_stream_equals_batch(spark):
 
 
 def test_buffered_rows_join_to_the_text(spark):
-    from papyr.plans.delivery import buffered_rows
+    from papyr.operators.chains import buffered_rows
 
     rows = [(k, i, None if i == 3 else f"{k}-{i} " * (i % 5)) for k in range(6) for i in range(20)]
     got = buffered_rows(spark.createDataFrame(rows, "k long, i long, text string"), 30, "k", "i").orderBy("k", "flush").collect()
