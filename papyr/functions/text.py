@@ -148,6 +148,12 @@ def clean_controls(c: Column) -> Column:
     return clean_zero_width(F.regexp_replace(spaced, rf"[ࡂृ࡚{cc.CONTROLS}{cc.SPECIALS}\x{{80}}-\x{{9f}}]", ""))
 
 
+def clean_improved(c: Column) -> Column:
+    """clean_controls with canonical composition in its place, behind control characters and before what has no width."""
+    spaced = F.regexp_replace(F.translate(c, "\x0b\x0c", " \n"), rf"[ࡂृ࡚{cc.CONTROLS}{cc.SPECIALS}\x{{80}}-\x{{9f}}]", "")
+    return clean_zero_width(composed(spaced))
+
+
 #: A character that is no white space; visible ASCII is tested first, as most characters are of it.
 _INK = rf"[\x21-\x7e[^{cc.WS}]]"
 

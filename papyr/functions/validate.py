@@ -123,3 +123,12 @@ def error_envelope(kind: Column, message: Column, path: Column, details: Column
         status = F.when(kind == k, v).otherwise(status)
     details = F.lit(None).cast("string") if details is None else details
     return F.when(kind.isNotNull(), F.struct(status.alias("status"), kind.alias("error"), message.alias("message"), details.alias("details"), path.alias("path")))
+
+
+def simple_verdict(filename: Column, content: Column) -> Column:
+    """missing, extension, size or ok: null content is a file that is not there; the largest size of any kind is allowed to all."""
+    ext = extension(filename)
+    return (
+        F.when(content.isNull(), "missing").when(~ext.isin(*EXTENSIONS), "extension")
+        .when(F.octet_length(content) > max(LIMITS.values()), "size").otherwise("ok")
+    )

@@ -1,10 +1,11 @@
 """Cuts that depend on the cut before: running totals, next-cut functions and pointer doubling.
 
-A buffer that is emptied when it is full, or a text that is cut at the last
-boundary in reach, is a fold in order.  Here each place knows the next cut from
-there, whatever came before; the places that are really reached from the first
-one are found in a logarithmic number of joins.  No step needs the rows of one
-key in one task but the last, which gathers a buffer of bounded size.
+A buffer that is emptied when it is full is a fold over rows in order.  Here
+each place knows the next cut from there, whatever came before; the places that
+are really reached from the first one are found in a logarithmic number of
+joins.  No step needs the rows of one key in one task but the last, which
+gathers a buffer of bounded size.  Within one text, which is one row, the same
+kind of cut is a fold over an array.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from papyr.functions.text import once
 from papyr.operators.tables import settle
 
 
@@ -93,56 +95,56 @@ def buffered_rows(pieces: DataFrame, size: int, key: str, order: str, text: str
     return numbered.groupBy(key, (F.col("flush") - 1).alias("flush")).agg(joined.alias("content"))
 
 
-def boundary_cuts(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, cuts): where each text is cut in chunks of at most `size` characters, in order; one row for each key.
+def boundary_cuts(text: Column, size: int) -> Column:
+    """Where a text is cut in chunks of at most `size` characters, in order, as an array; empty where it is one chunk.
 
     A chunk ends after the last line end in reach, else after the last '. ',
-    else where it is full.  Boundaries are rows of their own; from one of them
-    the next cut is found past any chunks that just fill up.  A text is one
-    row, so its boundaries may be sorted together.
+    else where it is full.  A text is one row, so this is a fold over its
+    pieces between boundaries: the state is where the chunk began, and the last
+    line end and the last stop so far, which are those in reach whenever the
+    next boundary is not.
     """
-    # pieces that end with a boundary; a place between the two signs of '. ' can be a cut of a full chunk, from which that boundary doesn't count
-    piece = docs.where(F.length(text) > 0).select(key, F.length(text).cast("long").alias("n"), F.posexplode(F.split(text, r"(?<=\n)|(?<=\. )", -1)).alias("i", "piece"))
-    w = W.partitionBy(key).orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    marks = piece.select(key, "n", F.sum(F.length("piece").cast("long")).over(w).alias("end"), F.when(F.col("piece").endswith("\n"), "line").when(F.col("piece").endswith(". "), "stop").otherwise("end").alias("kind"))
-    marks = settle(marks.where("kind <> 'end'").distinct())
-    places = docs.where(F.length(text) > 0).select(key, F.length(text).cast("long").alias("n"), F.lit(0).cast("long").alias("at"))
-    places = places.union(marks.select(key, "n", F.explode(F.when(F.col("kind") == "line", F.array("end")).otherwise(F.array(F.col("end") - 1, F.col("end")))))).distinct()
-    end = lambda kind: F.when(F.col("kind") == kind, F.col("end")).alias(kind)
-    none = F.lit(None).cast("long")
-    # the first line end and the first stop that counts behind a place: larger coordinates first
-    events = marks.select(key, "n", (2 * F.col("end") - F.when(F.col("kind") == "stop", 2).otherwise(0)).alias("x"), none.alias("at"), end("line"), end("stop"))
-    probes = places.select(key, "n", (2 * F.col("at") + 1).alias("x"), "at", none.alias("line"), none.alias("stop"))
-    down = W.partitionBy(key).orderBy(F.desc("x")).rowsBetween(W.unboundedPreceding, 0)
-    ahead = events.union(probes).select(key, "n", "at", F.last("line", True).over(down).alias("line"), F.last("stop", True).over(down).alias("stop")).where("at is not null")
-    first = F.least("line", "stop")
-    fills = (F.ceil((F.coalesce(first, F.col("n")) - F.col("at")) / size) - 1).cast("long")
-    ahead = ahead.select(key, "n", "at", "line", "stop", F.greatest(fills, F.lit(0)).alias("fills")).withColumn("full", F.col("at") + F.col("fills") * size)
-    # from there the last line end in reach, or the last stop
-    events = marks.select(key, (2 * F.col("end")).alias("x"), none.alias("at"), none.alias("n"), none.alias("fills"), none.alias("full"), none.alias("next"), end("line"), end("stop"))
-    probes = ahead.select(key, (2 * (F.col("full") + size) + 1).alias("x"), "at", "n", "fills", "full", F.least("line", "stop").alias("next"), none.alias("line"), none.alias("stop"))
-    up = W.partitionBy(key).orderBy("x").rowsBetween(W.unboundedPreceding, 0)
-    found = events.union(probes).select(key, "at", "n", "fills", "full", "next", F.max("line").over(up).alias("line"), F.max("stop").over(up).alias("stop")).where("at is not null")
-    following = (
-        F.when(F.col("n") - F.col("full") <= size, None)
-        .when(F.col("line") > F.col("full"), F.col("line"))
-        .when(F.col("stop") > F.col("full") + 1, F.col("stop"))
-        .when(F.col("next") == F.col("full") + 1, F.col("full"))  # a stop that a full chunk has cut in two
-    )
-    steps = settle(found.select(key, "at", "fills", following.alias("next")))
-    known = reached(steps, key)
-    path = _joined(steps, known, [key, "at"])
-    filled = F.transform(F.when(F.col("fills") > 0, F.sequence(F.lit(1).cast("long"), F.col("fills"))).otherwise(F.array().cast("array<bigint>")), lambda k: F.col("at") + k * size)
-    cuts = path.select(key, F.explode(F.concat(filled, F.array_compact(F.array("next")))).alias("cut"))
-    return cuts.groupBy(key).agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
+    none = F.lit(0).cast("long")
+    start = F.struct(none.alias("at"), none.alias("b"), none.alias("line"), none.alias("stop"), F.array().cast("array<bigint>").alias("cuts"))
+
+    def step(s: Column, piece: Column) -> Column:
+        end = s["at"] + F.length(piece)
+        far = lambda b: end - b > size
+        by_line = F.when(far(s["b"]) & (s["line"] > s["b"]), s["line"]).otherwise(s["b"])
+
+        def then(b1: Column) -> Column:
+            # a stop that a full chunk has cut in two doesn't count
+            by_stop = F.when(far(b1) & (s["stop"] > b1 + 1), s["stop"]).otherwise(b1)
+
+            def last(b2: Column) -> Column:
+                fills = F.greatest(F.ceil((end - b2) / size) - 1, F.lit(0)).cast("long")
+                full = F.when(fills > 0, F.transform(F.sequence(F.lit(1).cast("long"), fills), lambda k: b2 + k * size))
+                more = F.concat(F.when(b1 > s["b"], F.array(b1)).otherwise(F.array().cast("array<bigint>")), F.when(b2 > b1, F.array(b2)).otherwise(F.array().cast("array<bigint>")), F.coalesce(full, F.array().cast("array<bigint>")))
+                return F.struct(
+                    end.alias("at"), (b2 + fills * size).alias("b"), F.when(piece.endswith("\n"), end).otherwise(s["line"]).alias("line"),
+                    F.when(piece.endswith(". "), end).otherwise(s["stop"]).alias("stop"), F.when(b2 + fills * size > s["b"], F.concat(s["cuts"], more)).otherwise(s["cuts"]).alias("cuts"),
+                )
+
+            return once(by_stop, last)
+
+        return once(by_line, then)
+
+    return F.aggregate(F.split(text, r"(?<=\n)|(?<=\. )", -1), start, step, lambda s: s["cuts"])
 
 
 def boundary_chunks(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, chunk, content): the chunks of boundary_cuts, which join to the text; an empty or null text has none."""
-    cuts = boundary_cuts(docs, size, key, text)
-    own = docs.where(F.length(text) > 0).select(key, F.col(text).alias("text"))
-    whole = _joined(own, cuts, [key], "left").select(key, "text", F.coalesce("cuts", F.array().cast("array<bigint>")).alias("cuts"))
-    n = F.length("text").cast("long")
-    bounds = F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), "cuts").alias("lo"), F.concat("cuts", F.array(n)).alias("hi"))
-    rows = whole.select(key, "text", F.posexplode(bounds).alias("chunk", "b"))
-    return rows.select(key, F.col("chunk").cast("long").alias("chunk"), F.substring("text", (F.col("b.lo") + 1).cast("int"), (F.col("b.hi") - F.col("b.lo")).cast("int")).alias("content"))
+    """(key, chunk, content): the chunks of boundary_cuts, which join to the text; an empty or null text has none.
+
+    Nothing is shuffled.  Chunks are taken from stretches of a few chunks, as
+    finding a place in a text takes time in proportion to what is before it.
+    """
+    span = 16 * size
+    own = docs.where(F.length(text) > 0).select(key, F.length(text).cast("long").alias("n"), boundary_cuts(F.col(text), size).alias("cuts"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{span}}}"), F.lit(0)).alias("s"))
+    bounds = F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), "cuts").alias("lo"), F.concat("cuts", F.array("n")).alias("hi"))
+
+    def content(b: Column) -> Column:
+        i = F.floor(b["lo"] / span).cast("int")
+        both = F.concat(F.get("s", i), F.coalesce(F.get("s", i + 1), F.lit("")))
+        return F.substring(both, (b["lo"] % span + 1).cast("int"), (b["hi"] - b["lo"]).cast("int"))
+
+    return own.select(key, F.posexplode(F.transform(bounds, content)).alias("chunk", "content")).withColumn("chunk", F.col("chunk").cast("long"))

@@ -84,10 +84,16 @@ def error_envelope(spark, sf_dir):
     return out.select("page_id", F.col("e.status").cast("long").alias("status"), "e.error", "e.path")
 
 
-@query("SELECT page_id, CASE WHEN h LIKE 'D0CF11E0A1B11AE1%' THEN 'ole' WHEN h LIKE '504B0304%' THEN 'zip' WHEN h LIKE '255044462D%' THEN 'pdf' WHEN h LIKE '485750%' THEN 'hwp' ELSE 'unknown' END AS container FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'D0CF11E0A1B11AE1' WHEN 1 THEN '504B030414000600' WHEN 2 THEN '255044462D312E34' WHEN 3 THEN '4857502044' ELSE '3C21444F' END AS h FROM pages)")
+#: Whole contents of files as bytes: pages behind the first bytes of containers, and pages as they are.
+_BYTES = "SELECT page_id, concat(unhex(CASE CAST(page_id % 6 AS INT) WHEN 0 THEN 'D0CF11E0A1B11AE1' WHEN 1 THEN '504B030414000600' WHEN 2 THEN '255044462D312E34' WHEN 3 THEN '4857502044' WHEN 4 THEN 'D0CF11E0' ELSE '' END), encode(coalesce(html, ''){}))"
+
+
+@query("SELECT page_id, CASE WHEN h LIKE 'D0CF11E0A1B11AE1%' THEN 'ole' WHEN h LIKE '504B0304%' THEN 'zip' WHEN h LIKE '255044462D%' THEN 'pdf' WHEN h LIKE '485750%' THEN 'hwp' ELSE 'unknown' END AS container, bytes FROM (SELECT page_id, left(hex(content), 16) AS h, octet_length(content)::BIGINT AS bytes FROM ("
+       + _BYTES.format("").replace("concat(unhex(", "(unhex(").replace("END), encode", "END) || encode") + " AS content FROM pages))")
 def container_magic(spark, sf_dir):
-    head = F.expr("unhex(CASE page_id % 5 WHEN 0 THEN 'D0CF11E0A1B11AE1' WHEN 1 THEN '504B030414000600' WHEN 2 THEN '255044462D312E34' WHEN 3 THEN '4857502044' ELSE '3C21444F' END)")
-    return table(spark, sf_dir, "pages").select("page_id", v.magic_of(head).alias("container"))
+    """The container of each file by its first bytes, and its size."""
+    files = spark.sql(_BYTES.format(", 'UTF-8'") + " AS content FROM {pages}", pages=table(spark, sf_dir, "pages"))
+    return files.select("page_id", v.magic_of(F.col("content")).alias("container"), F.octet_length("content").cast("long").alias("bytes"))
 
 
 @query("SELECT event_id, event_type IN ('view', 'click', 'purchase') AS valid FROM events")

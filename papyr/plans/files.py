@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from papyr.operators.tables import new_path
+from papyr.plans import catalog
 from papyr.plans.inputs import table
 from papyr.sources import cfb, hwp, hwpx
 from papyr.streaming import limits
@@ -58,10 +59,7 @@ def _streamed(spark, df, name, mode="append"):
     """Rows that a stream gives until its input ends, written to and read from the shared folder."""
     at = new_path(spark, f"stream-{name}")
     stream = df.writeStream.option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True)
-    if mode == "complete":  # each batch gives the whole result, which files cannot take in place
-        stream = stream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/out"))
-    else:
-        stream = stream.format("parquet").option("path", f"{at}/out")
+    stream = stream.format("parquet").option("path", f"{at}/out")
     stream.start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{at}/out")
 
@@ -72,14 +70,21 @@ def _events(spark, sf_dir):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-@query()
+@query(catalog.SQL["rate_limit_accept"])
 def stream_rate_limit(spark, sf_dir):
+    """The batch form of the limiter, from a stream."""
     ts = F.col("ts").cast("timestamp")
     requests = _events(spark, sf_dir).select("event_id", F.col("user_id").alias("client"), (F.unix_micros(ts) / 1e6).alias("t"), ts.alias("ts"))
     return _streamed(spark, limits.limited_stream(requests, 2, 86400), "limit").select("event_id", "accepted")
 
 
-@query()
+@query("SELECT strftime(date_trunc('day', ts::TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def stream_counter(spark, sf_dir):
-    """All windows, also those still open when the input ends."""
-    return _streamed(spark, limits.counted_stream(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))), "count", "complete")
+    """All windows; a mark behind the last event closes those still open when the input ends, so windows leave the state as they are told."""
+    at = new_path(spark, "closing")
+    last = table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("ts"))
+    last.select((F.col("ts") + F.expr("INTERVAL 10 DAYS")).alias("ts"), F.lit(None).cast("string").alias("event_type")).write.parquet(at)
+    closing = spark.readStream.schema("ts timestamp, event_type string").parquet(at)
+    events = _events(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "event_type").union(closing)
+    counts = _streamed(spark, limits.counted_stream(events), "count").where("event_type is not null")
+    return counts.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from papyr.functions import charclass as cc
 from papyr.functions import text as t
-from papyr.operators import cascade, patterns, retention
+from papyr.functions import validate as v
+from papyr.operators import caches, cascade, logs, patterns, retention
 from papyr.operators.tables import new_path
 from papyr.plans.files import _events
-from papyr.plans.inputs import MIXED, cte, made, table
-from papyr.plans.text import sub
+from papyr.plans.catalog import _EXT
+from papyr.plans.inputs import FILES, MIXED, cte, made, table
+from papyr.plans.text import stripped, sub
 from papyr.streaming import expiry, sink
 
 QUERIES: dict = {}
@@ -126,3 +128,36 @@ def retention_delete(spark, sf_dir):
 def json_chunks(spark, sf_dir):
     """The turns of each conversation as one JSON text."""
     return sink.chunk_stream(table(spark, sf_dir, "conversations").where("text is not null"), "conv_id", "turn", "text")
+
+
+@query("""WITH k AS (SELECT doc_id, text, 'hwp_extract:text_preserve_formatting:false:' || sha256(text) AS key FROM documents),
+c AS (SELECT DISTINCT key FROM k WHERE doc_id % 3 = 0)
+SELECT doc_id, c.key IS NOT NULL AS hit, md5(CASE WHEN c.key IS NOT NULL THEN 'cached ' || k.key ELSE """ + stripped(sub("text", f"[{cc.WS}]+", " ")) + """ END) AS digest FROM k LEFT JOIN c USING (key)""")
+def bucketed_cache(spark, sf_dir):
+    """Results from a cache stored by key, which a lookup reads without moving it, and computed ones of the rest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    keyed = docs.withColumn("key", logs.composite_key("text", {"preserve_formatting": "false"}, F.col("text")))
+    cache = caches.ResultCache(spark, 8)
+    cache.store(keyed.where("doc_id % 3 = 0").select("key", F.concat(F.lit("cached "), "key").alias("result")))
+    found = cache.lookup(keyed)
+    return found.select("doc_id", F.col("result").isNotNull().alias("hit"), F.md5(F.coalesce("result", t.squeeze(F.col("text")))).alias("digest"))
+
+
+_NFC = "nfc_normalize({})"
+_CONTROL = rf"[ࡂृ࡚{cc.CONTROLS}{cc.SPECIALS}\x{{80}}-\x{{9f}}]"
+#: Texts with decomposed letters in their middle, control characters among them.
+_DECOMPOSED = "SELECT doc_id, concat(text, 'e\u0301', chr(11), 'x\u1112\u1161\u11ab \ufeff', coalesce(text, '')) AS text FROM {documents}"
+
+
+@query(f"""SELECT doc_id, md5({stripped(sub(sub(_NFC.format(sub("translate(text, chr(11) || chr(12), ' ' || chr(10))", _CONTROL)), f'[{cc.ZERO_WIDTH}]'), f'[{cc.WS}]+', ' '))}) AS digest FROM {cte(_DECOMPOSED)}""")
+def improved_clean(spark, sf_dir):
+    """The cleaner with composition in its place: after control characters, before what has no width."""
+    return made(spark, sf_dir, _DECOMPOSED).select("doc_id", F.md5(t.clean_improved(F.col("text"))).alias("digest"))
+
+
+@query(f"""SELECT page_id, CASE WHEN content IS NULL THEN 'missing' WHEN {_EXT} NOT IN {v.EXTENSIONS} THEN 'extension' WHEN strlen(content) > {max(v.LIMITS.values())} THEN 'size' ELSE 'ok' END AS verdict
+FROM (SELECT page_id, filename, NULLIF(content, '') AS content FROM {cte(FILES)})""")
+def simple_validation(spark, sf_dir):
+    """The short form: a file that is there, of a known suffix and no larger than any kind may be."""
+    files = made(spark, sf_dir, FILES).withColumn("content", F.nullif("content", F.lit("")))
+    return files.select("page_id", v.simple_verdict(F.col("filename"), F.col("content")).alias("verdict"))

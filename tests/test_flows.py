@@ -143,5 +143,51 @@ def test_rows_by_header(spark):
 
 
 def test_a_value_is_computed_once(spark):
-    plan = spark.createDataFrame([("a",)], "x string").select(t.clean(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("array_join(") == 1
+    plan = spark.createDataFrame([("a",)], "x string").select(t.gate(F.reverse("x")).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(x#") == 1
+
+
+def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
+    """300 MB in ranges: every byte once, in several tasks; too large, missing and empty files are rows of their own."""
+    from papyr.sources import ranged
+
+    ranged.register(spark)
+    block = bytes(range(256)) * 4096
+    with open(tmp_path / "big.bin", "wb") as f:
+        for k in range(300):
+            f.write(k.to_bytes(4, "little") + block[4:])
+    (tmp_path / "none.bin").write_bytes(b"")
+    read = lambda path, **o: spark.read.format("ranged").options(**o).load(path)
+    rows = read(f"{tmp_path}/*.bin", size=32 << 20)
+    assert rows.rdd.getNumPartitions() == 11
+    own = rows.withColumn("head", F.hex(F.substring("content", 1, 4))).withColumn("n", F.octet_length("content")).select("path", "start", "head", "n", "file_size", "error").collect()
+    big = sorted((r for r in own if r.path.endswith("big.bin")), key=lambda r: r.start)
+    assert [r.head for r in big] == [(32 * i).to_bytes(4, "little").hex().upper() for i in range(10)]
+    assert sum(r.n for r in big) == 300 << 20 and not any(r.error for r in own)
+    assert [(r.start, r.n, r.file_size) for r in own if r.path.endswith("none.bin")] == [(0, 0, 0)]
+    capped = read(f"file://{tmp_path}/big.bin", most=1 << 20).first()
+    assert capped.content is None and capped.error.startswith("314572800 bytes") and capped.file_size == 300 << 20
+    assert read(f"{tmp_path}/gone.bin").first().error == "not found"
+
+
+def test_a_bucketed_cache_is_not_moved(spark):
+    from papyr.operators.caches import ResultCache
+
+    cache = ResultCache(spark, 4)
+    cache.store(spark.createDataFrame([(f"k{i % 50}", f"r{i % 50}") for i in range(100)] + [(None, "x")], "key string, result string"))
+    assert cache.table.count() == 50
+    inputs = spark.createDataFrame([(i, f"k{i}") for i in range(90)] + [(99, None)], "id long, key string")
+    out = cache.lookup(inputs)
+    assert {r.id: r.result for r in out.collect()} == {i: f"r{i}" if i < 50 else None for i in [*range(90), 99]}
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    scan = next(i for i, x in enumerate(lines) if "FileScan parquet" in x)
+    join = next(i for i, x in enumerate(lines) if "SortMergeJoin" in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    # what lies between the join and the cache's scan on the scan's own side
+    branch, at = [], scan
+    for i in range(scan, join, -1):
+        if depth(lines[i]) < depth(lines[at]) or i == scan:
+            branch.append(lines[i])
+            at = i
+    assert not any("Exchange" in x for x in branch), "\n".join(lines)
+    cache.drop()

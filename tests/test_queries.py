@@ -56,6 +56,6 @@ def test_cleaning_queries_read_whole_texts(spark):
 
 
 def test_stream_counts_equal_batch(spark, duck):
-    got = {(str(r.start), r.event_type, r.n) for r in registry.QUERIES["stream_counter"](spark, SF).collect()}
+    got = {(r.start, r.event_type, r.n) for r in registry.QUERIES["stream_counter"](spark, SF).collect()}
     want = duck.sql("SELECT date_trunc('day', ts::TIMESTAMP), event_type, count(*) FROM events GROUP BY ALL").fetchall()
     assert got == {(str(d), k, n) for d, k, n in want}
