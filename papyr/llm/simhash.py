@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyr.llm import textunits as tu
-from papyr.llm.common import NULL_ID, Tables, dealt_in_blocks, id_of, pairs_in_cells, read, runs_by_key, slices, width
+from papyr.llm.common import NULL_ID, Tables, dealt_in_blocks, id_of, join_hot, pairs_in_cells, read, runs_by_key, slices, width
 from papyr.llm.components import connected_components, forest
 
 SEGMENTS = 16
@@ -170,15 +170,14 @@ def _verify(radius: int):
     return run
 
 
-def _counts(segments: int, least: int = 16):
-    """mapInArrow function: (cell, n) of the cells that hold at least `least` of some fingerprints of a task."""
+def _counts(segments: int):
+    """mapInArrow function: (cell, n) of all cells of some fingerprints of a task; what they hold in all is summed before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 50_000):
-                keys = cells(batch.column("fp").slice(at, 50_000).to_numpy().view(np.uint64), segments)
-                cell, n = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell[n >= least].view(np.int64)), pa.array(n[n >= least])], names=["cell", "n"])
+                cell, n = np.unique(cells(batch.column("fp").slice(at, 50_000).to_numpy().view(np.uint64), segments), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(n)], names=["cell", "n"])
 
     return run
 
@@ -220,13 +219,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3) -> D
     """(doc_id, fingerprint, component_id) of every row of `docs`(doc_id, text, ...)."""
     tables = Tables(spark)
     rows = tables.settle(fingerprints(docs, shingle))
-    classes = tables.settle(rows.groupBy("fp").agg(F.min("id").alias("rep")))
-    joined = connected_components(links(classes), tables)
-    of_class = classes.join(joined, F.col("rep") == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "rep").alias("component")
+    classes = tables.settle(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    joined = connected_components(links(classes.select("fp", "rep")), tables)
+    of_class = tables.settle(
+        classes.join(joined, F.col("rep") == F.col("node"), "left").select("fp", "copies", F.coalesce("component", "rep").alias("component"))
     )
     shown = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
-    return rows.join(of_class, "fp").select(
+    return join_hot(rows, of_class, "fp", "copies", rows.count()).select(
         shown("id").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         shown("component").alias("component_id"),
@@ -413,7 +412,8 @@ def similar_documents(spark: SparkSession, docs: DataFrame, shingle: int = 5) ->
     key = ["k1", "k2"]
     sorted_cells = lambda x: x.repartition(width(spark), "cell").sortWithinPartitions("cell")
     rows = tables.settle(sketches(docs, shingle, VIEWS))
-    classes = tables.settle(rows.groupBy(*key).agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "fp", "views", "wide"), "id").alias("own")).select(*key, "rep", "own.*"))
+    first_of = F.min_by(F.struct("n", "fp", "views", "wide"), "id").alias("own")
+    classes = tables.settle(rows.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), first_of).select(*key, "rep", "copies", "own.*"))
     views = classes.select(F.explode("views").alias("view"), "rep")
     met = tables.settle(views.groupBy("view").count().where("count > 1").select("view"))
     seen = classes.select(F.explode("views").alias("view"), "rep", "n", "wide").join(met, "view", "left_semi")
@@ -425,8 +425,10 @@ def similar_documents(spark: SparkSession, docs: DataFrame, shingle: int = 5) ->
     member = first.join(sets, ["id", *key]).select("group", F.col("id").alias("rep"), "wide", "own")
     by_group = sorted_cells(dealt_in_blocks(tables.settle(member), "group", "rep", BUCKET)).mapInArrow(_verify_sets, "a long, b long")
     joined = connected_components(by_group, tables)
-    of_class = classes.select(*key, "rep").join(joined, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    return rows.select("id", *key).join(of_class, key).select("id", "component")
+    of_class = tables.settle(
+        classes.select(*key, "rep", "copies").join(joined, F.col("rep") == F.col("node"), "left").select(*key, "copies", F.coalesce("component", "rep").alias("component"))
+    )
+    return join_hot(rows.select("id", *key), of_class, key, "copies", rows.count()).select("id", "component")
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, shingle: int = 5) -> DataFrame:
