@@ -244,7 +244,8 @@ def blocks(page: str) -> Page:
 def judge(b: Block, stop_words: frozenset[str], served: bool) -> str:
     """First pass: good, near, bad or open (ambiguous)."""
     n, share = len(b.text), b.linked / len(b.text)
-    if share > (LINKS if n >= LOW else LINKS_SHORT) or (n < LOW and "©" in b.text):
+    # a short line with the sign is a page's notice, but may credit a picture inside a marked article
+    if share > (LINKS if n >= LOW else LINKS_SHORT) or (n < LOW and "©" in b.text and not b.marked):
         return "bad"
     if n < LOW:
         return "open"

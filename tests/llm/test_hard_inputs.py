@@ -126,3 +126,11 @@ def test_patterns_of_schemas():
     for pattern in ("(", "(?=a)", r"(a)\1", "a{1,5000}", 7):
         assert tool_chat.unsupported({"pattern": pattern}) == f"pattern {pattern}"
     assert tool_chat.unsupported({"patternProperties": {"(?!x)": {}}}) == "pattern (?!x)"
+
+
+def test_a_credit_inside_an_article_stays():
+    from papyr.llm import html_extract
+
+    prose = "The river is wide and the town lies on the hill that was built by the people who came from the north in the spring of the year and it has been there for a long time since then, as the old books say of it."
+    page = f"<body><p>© 2024 Town</p><article><p>{prose}</p><p>Photo © A. Person</p><p>{prose}</p></article><p>© 2024 Town</p></body>"
+    assert html_extract.main_text(page) == f"{prose}\n\nPhoto © A. Person\n\n{prose}"
