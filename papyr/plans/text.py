@@ -66,8 +66,9 @@ def doc_statistics(spark, sf_dir):
     """Text statistics of every document and of its lines; both come from one row, so nothing is shuffled."""
     text = F.col("text")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # the counts of the lines are used four times and computed once
-    docs = docs.withColumn("counts", F.transform(F.split(text, "\n"), t.words)).withColumn("sentences", t.sentence_count(text))
+    # what is used several times is computed once
+    docs = docs.withColumn("marks", t.marks(t.plain_spaces(text)))
+    docs = docs.withColumn("counts", t.words_of_lines(F.col("marks"))).withColumn("sentences", t.sentence_marks(F.col("marks")))
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
     emails = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(cc.TAGS[1][1])))
     return docs.select(
