@@ -3,6 +3,8 @@
 # Code point ranges that results depend on.
 # Latin-1 members of WS stand one by one: Java tests those in one bit set, ranges one after the other.
 WS = r"\t\n\x{0b}\f\r\x{1c}\x{1d}\x{1e}\x{1f}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The characters of WS.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 HANGUL = r"\x{AC00}-\x{D7A3}"
 JAMO = r"\x{3130}-\x{318F}"
 KOREAN = HANGUL + JAMO

@@ -17,24 +17,30 @@ def _count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("long")
 
 
+def _rare(one: str) -> str:
+    """A class that holds neither printable ASCII nor Hangul syllables, which are ruled out first: Java asks the ranges of a class one after the other."""
+    return rf"[[^\x20-\x7e{cc.HANGUL}]&&{one}]"
+
+
 def _chars(c: Column, one: str) -> Column:
     """Characters of a class, as what is missing when its runs are deleted."""
-    return (F.length(c) - F.length(F.regexp_replace(c, one + "+", ""))).cast("long")
+    return (F.length(c) - F.length(F.regexp_replace(c, one + "++", ""))).cast("long")
 
 
 def strip(c: Column) -> Column:
-    """Without white space at both ends, as Python strips it."""
-    return F.regexp_replace(c, f"^[{cc.WS}]+|[{cc.WS}]+$", "")
+    """Without white space at both ends, as Python strips it; only the ends are looked at."""
+    return F.btrim(c, F.lit(cc.SPACES))
 
 
 def squeeze(c: Column) -> Column:
     """Words joined by one space."""
-    return strip(F.regexp_replace(c, f"[{cc.WS}]+", " "))
+    # a single space between words is left as it is
+    return strip(F.regexp_replace(c, rf"(?:{_rare(f'[{cc.WS}]')}|\x20(?=[{cc.WS}]))[{cc.WS}]*+", " "))
 
 
 def strip_noise(c: Column) -> Column:
     """Without the characters that binary records leave in a text; line ends go with them."""
-    return F.regexp_replace(c, f"[{cc.NOISE}]+", "")
+    return F.regexp_replace(c, _rare(f"[{cc.NOISE}]") + "++", "")
 
 
 def strip_ascii_noise(c: Column, repeats: bool = True) -> Column:
@@ -49,20 +55,23 @@ def drop_foreign_runs(c: Column, longest: int = 10) -> Column:
 
 def keep_allowed(c: Column) -> Column:
     """Allowed characters; other white space becomes a space, the rest goes."""
-    spaced = F.regexp_replace(c, f"[{cc.WS}&&[^{cc.ALLOWED}{cc.ALLOWED_SPACES}]]", " ")
-    return F.regexp_replace(spaced, f"[^{cc.ALLOWED}{cc.ALLOWED_SPACES}]", "")
+    spaced = F.regexp_replace(c, _rare(f"[{cc.WS}&&[^{cc.ALLOWED}{cc.ALLOWED_SPACES}]]"), " ")
+    return F.regexp_replace(spaced, _rare(f"[^{cc.ALLOWED}{cc.ALLOWED_SPACES}]") + "++", "")
 
 
 def korean_ratio(c: Column, wide: bool = False) -> Column:
     """Korean characters, with `wide` also single leading and trailing letters, of all that are not white space; 0 if there are none."""
     korean = cc.KOREAN + cc.LETTERS if wide else cc.KOREAN
-    return F.coalesce(_chars(c, f"[{korean}]") / F.nullif(_chars(c, f"[^{cc.WS}]"), F.lit(0)), F.lit(0.0))
+    # blanks are counted by bytes; the rest of white space is looked for behind them
+    blanks = F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit("")))
+    ink = (F.length(c) - blanks).cast("long") - _chars(c, _rare(f"[{cc.WS}]"))
+    return F.coalesce(_chars(c, f"[{korean}]") / F.nullif(ink, F.lit(0)), F.lit(0.0))
 
 
 def smart_filter(c: Column) -> Column:
     """Characters of the languages served; other white space becomes a space, the rest goes."""
-    spaced = F.regexp_replace(c, f"[{cc.WS}&&[^{cc.SERVED}{cc.ALLOWED_SPACES}]]", " ")
-    return F.regexp_replace(spaced, f"[^{cc.SERVED}{cc.ALLOWED_SPACES}]+", "")
+    spaced = F.regexp_replace(c, _rare(f"[{cc.WS}&&[^{cc.SERVED}{cc.ALLOWED_SPACES}]]"), " ")
+    return F.regexp_replace(spaced, _rare(f"[^{cc.SERVED}{cc.ALLOWED_SPACES}]") + "++", "")
 
 
 def usable(c: Column) -> Column:
@@ -90,9 +99,9 @@ def meaningful(token: Column) -> Column:
     kinds = F.size(F.array_distinct(F.split(token, "")))
     bare = F.regexp_replace(token, "[.,:/-]", "")
     return (
-        F.when(n == 0, False)
-        .when(token.rlike("^[A-Za-z0-9]{1,4}$"), True)
-        .when(token.rlike(korean), (n <= 10) | (F.regexp_count(token, F.lit(korean)) / n >= 0.1))
+        F.when(token.rlike(f"^(?:[A-Za-z0-9]{{1,4}}|(?=[^{cc.KOREAN}]{{0,9}}{korean})(?s:.){{1,10}})$"), True)
+        .when(n == 0, False)
+        .when(token.rlike(korean), F.regexp_count(token, F.lit(korean)) / n >= 0.1)
         .when(n > 10, False)
         .when((n > 4) & (1 - kinds / n > 0.5), False)
         .when(bare.rlike(r"^[\p{L}\p{N}]+$"), True)
@@ -155,7 +164,7 @@ def clean_improved(c: Column) -> Column:
 
 
 #: A character that is no white space; visible ASCII is tested first, as most characters are of it.
-_INK = rf"[\x21-\x7e[^{cc.WS}]]"
+_INK = rf"[\x21-\x7e{cc.HANGUL}[^{cc.WS}]]"
 
 
 def words(c: Column) -> Column:

@@ -12,7 +12,7 @@ from papyr.operators import documents as d
 from papyr.operators import logs
 from papyr.operators import structure as s
 from papyr.plans.catalog import _EXT, _LIMIT, _MEDIA, _SCAN, _listed
-from papyr.plans.inputs import FILES, MIXED, PARAGRAPHS, cte, made, table
+from papyr.plans.inputs import FILES, MIXED, PARAGRAPHS, cte, dealt, made, table
 from papyr.plans.structure import _HEAD, _LEVEL
 from papyr.plans.text import TAG_SQL, WORD, _stat_sql, n_of, stripped, sub
 from papyr.sources import cfb, hwp, hwpx
@@ -152,7 +152,7 @@ SELECT doc_id, idx, repeat(concat(CASE WHEN idx % 5 = 0 THEN 'ab 12. ' WHEN idx
 @query()
 def strategy_accepted(spark, sf_dir):
     """The text accepted by length and share of Korean, of body and preview, both cleaned."""
-    out = made(spark, sf_dir, BODIES).select("doc_id", "idx", s.accepted(F.col("body"), F.col("preview")).alias("x"))
+    out = made(spark, sf_dir, BODIES, orders="o_orderkey").select("doc_id", "idx", s.accepted(F.col("body"), F.col("preview")).alias("x"))
     return out.select("doc_id", "idx", "x.method", F.length("x.text").cast("long").alias("n"), F.round("x.korean_ratio", 6).alias("korean_ratio"))
 
 
@@ -169,15 +169,17 @@ z AS (SELECT *, CASE WHEN length(body) > 500 AND ra < 0.1 AND length(preview) >
 SELECT doc_id, idx, method, CASE method WHEN 'body' THEN length(a) WHEN 'preview' THEN length(b) END::BIGINT AS n, round(CASE method WHEN 'body' THEN ra WHEN 'preview' THEN rb END, 6) AS korean_ratio FROM z""")
 def strategy_accepted_loosely(spark, sf_dir):
     """The same rule with a cleaner that SQL can express."""
-    out = made(spark, sf_dir, BODIES).select("doc_id", "idx", s.accepted(F.col("body"), F.col("preview"), _LOOSE).alias("x"))
+    out = made(spark, sf_dir, BODIES, orders="o_orderkey").select("doc_id", "idx", s.accepted(F.col("body"), F.col("preview"), _LOOSE).alias("x"))
     return out.select("doc_id", "idx", "x.method", F.length("x.text").cast("long").alias("n"), F.round("x.korean_ratio", 6).alias("korean_ratio"))
 
 
 @query()
 def section_clean(spark, sf_dir):
     """Texts as the live path cleans them: each section, then the sections joined."""
-    rows = made(spark, sf_dir, BODIES).select("doc_id", "idx", t.clean(F.col("body")).alias("part")).where("part <> ''")
-    joined = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "part"))), lambda x: x["part"]), "\n\n").alias("text"))
+    rows = made(spark, sf_dir, BODIES, orders="o_orderkey").select("doc_id", "idx", t.clean(F.col("body")).alias("part"))
+    # empty parts are left out while they are collected: a filter would be moved before the projection and clean every text again
+    parts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("part") != "", F.struct("idx", "part")))).alias("parts")).where(F.size("parts") > 0)
+    joined = dealt(parts.select("doc_id", F.array_join(F.transform("parts", lambda x: x["part"]), "\n\n").alias("text")), "doc_id")
     return joined.select("doc_id", t.clean(F.col("text")).alias("result"))
 
 

@@ -74,12 +74,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The DataFrame of one of the texts above."""
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The same rows over at least three tasks a core: a scan gives a row group to one task, however much is made of its rows."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), key)
+
+
+def made(spark: SparkSession, sf_dir: str, sql: str, **keys: str) -> DataFrame:
+    """The DataFrame of one of the texts above; a table that keys names is dealt by the column given."""
     import re
 
     names = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql.replace("VARCHAR(9)", "STRING").replace("VARCHAR(12)", "STRING"), **{n: table(spark, sf_dir, n) for n in names})
+    tables = {n: dealt(table(spark, sf_dir, n), keys[n]) if n in keys else table(spark, sf_dir, n) for n in names}
+    return spark.sql(sql.replace("VARCHAR(9)", "STRING").replace("VARCHAR(12)", "STRING"), **tables)
 
 
 def cte(sql: str) -> str:
