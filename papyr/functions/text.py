@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,13 +139,17 @@ def clean_line(c: Column) -> Column:
 
 
 def composed(c: Column) -> Column:
-    """Canonical composition (NFC), for which Spark has no function: an Arrow UDF that passes composed texts on."""
+    """Canonical composition (NFC), for which Spark has no function.
 
-    @F.pandas_udf("string")
-    def nfc(x: pd.Series) -> pd.Series:
-        from unicodedata import is_normalized, normalize
+    A plain UDF, which holds some 100 rows at once: an Arrow batch of 10,000
+    texts and its copies took hundreds of MB of each Python worker.
+    """
+
+    @F.udf("string", useArrow=False)
+    def nfc(x: str | None) -> str | None:
+        from unicodedata import normalize
 
-        return x.map(lambda v: v if v is None or is_normalized("NFC", v) else normalize("NFC", v))
+        return None if x is None else normalize("NFC", x)
 
     return nfc(c)
 

@@ -89,3 +89,13 @@ def test_bodies_are_dealt_and_cleaned_once(spark, query):
 
     plan = registry.QUERIES[query](spark, SF)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert "REPARTITION_BY_NUM" in plan and "Filter NOT" not in plan
+
+
+def test_composed_holds_few_rows(spark):
+    """Composition by rows, not by Arrow batches of 10,000 texts; Latin-1 texts, nulls and decomposed ones come out right."""
+    from unicodedata import normalize
+
+    texts = [None, "", "plain", "caf\xe9", "é", "한 x", "à̕ יִ Å", "\U0001d15e"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string").select("text", t.composed(F.col("text")).alias("x"))
+    assert all(r.x == (r.text if r.text is None else normalize("NFC", r.text)) for r in df.collect())
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().toString()
