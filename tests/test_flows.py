@@ -81,6 +81,28 @@ def test_ten_thousand_patterns_in_one_pass(spark):
     assert hits.count() == docs.where(F.length(F.substring("text", 5, 30)) > 0).count()
 
 
+def test_only_windows_that_may_begin_a_pattern_are_moved(spark):
+    docs = spark.range(50).select("id", F.repeat(F.concat(F.lit("some words of text "), F.col("id").cast("string")), 40).alias("text"))
+    known = spark.range(3_000).select(F.col("id").alias("pattern_id"), F.concat(F.lit("text no such "), "id").alias("pattern"))
+    found, *_ = patterns._candidates(docs, "id", "text", patterns._known(known), once=False)
+    assert found.count() < docs.agg(F.sum(F.length("text"))).first()[0] / 100
+    assert patterns.pattern_counts(docs, known).count() == 0
+
+
+def test_pattern_counts_equal_a_plain_search(spark, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(patterns, "MOST_BITS", 64)  # lets nearly all through
+    texts = ["".join(rng.choice("ab😀\n") for _ in range(rng.choice((0, 1, 40, 700)))) for _ in range(20)] + ["ab" * 70_000 + "a😀b", None]
+    texts += texts[:9]
+    long = max(texts[:20], key=len)
+    known = ["a", "ab", "a😀b", "", None, "ab", "b" * 31, long[3:34], long[3:35], long[3:36], long[5:190], long[5:189] + "x"]
+    docs = spark.createDataFrame([(0, x) for x in texts], "doc_id long, text string")
+    for some in (known, known[:9]):
+        want = {p: n for p in some if p and (n := sum(p in (x or "") for x in texts))}
+        got = patterns.pattern_counts(docs, spark.createDataFrame([(x,) for x in some], "pattern string")).collect()
+        assert {r["pattern"]: r["n"] for r in got} == want and len(got) == len(want)
+
+
 def test_later_strategies_see_what_is_left(spark):
     rows = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(70)] + [(99, None)], "id long, text string")
     known = cascade.Registry()
