@@ -81,9 +81,10 @@ def dealt(rows: DataFrame, key: str) -> DataFrame:
 
 
 def made(spark: SparkSession, sf_dir: str, sql: str, **keys: str) -> DataFrame:
-    """The DataFrame of one of the texts above; a table that keys names is dealt by the column given."""
+    """The DataFrame of one of the texts above; documents, and a table that keys names, are dealt by the column given."""
     import re
 
+    keys = {"documents": "doc_id"} | keys
     names = set(re.findall(r"\{(\w+)\}", sql))
     tables = {n: dealt(table(spark, sf_dir, n), keys[n]) if n in keys else table(spark, sf_dir, n) for n in names}
     return spark.sql(sql.replace("VARCHAR(9)", "STRING").replace("VARCHAR(12)", "STRING"), **tables)

@@ -99,3 +99,11 @@ def test_composed_holds_few_rows(spark):
     df = spark.createDataFrame([(x,) for x in texts], "text string").select("text", t.composed(F.col("text")).alias("x"))
     assert all(r.x == (r.text if r.text is None else normalize("NFC", r.text)) for r in df.collect())
     assert "ArrowEvalPython" not in df._jdf.queryExecution().toString()
+
+
+def test_documents_of_one_row_group_are_worked_on_by_all_tasks(spark):
+    import __spark_entry__ as e
+
+    for name in ("smart_filter", "garbage_gate", "doc_statistics", "improved_clean"):
+        sizes = e.queries()[name](spark, SF).rdd.glom().map(len).collect()
+        assert sum(sizes) == 200 and max(sizes) <= 50, (name, sizes)
