@@ -8,6 +8,7 @@ import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -91,6 +92,24 @@ def process_state() -> dict:
     return sys.modules[name].state
 
 
+#: Bytes and rows of a batch that an executor sends to Python at once, for rows that hold texts or sets.
+BATCH_BYTES, BATCH_ROWS = "4m", "1000"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """What runs inside sends rows to Python by small batches: a batch of 10,000 texts is held several times by the executor and its Python workers."""
+    names = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of `column`, or of one row."""
     for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyr.llm import textunits as tu
-from papyr.llm.common import NULL_ID, Tables, dealt_in_blocks, id_of, join_hot, pairs_in_cells, read, runs_by_key, slices, width
+from papyr.llm.common import NULL_ID, Tables, dealt_in_blocks, id_of, join_hot, pairs_in_cells, read, runs_by_key, slices, small_batches, width
 from papyr.llm.components import connected_components, forest
 
 SEGMENTS = 16
@@ -274,25 +274,12 @@ def sketches(docs: DataFrame, shingle: int, views: int) -> DataFrame:
     return plain.mapInArrow(run, "id long, k1 long, k2 long, n long, fp long, wide array<long>, views array<long>")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """(id, size, text): the texts compressed, as they are about to be shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2_000_000):
-            text = [x or b"" for x in batch.column("text").to_pylist()]
-            small = [pa.compress(x, codec="zstd", asbytes=True) for x in text]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, text), pa.int64()), pa.array(small, pa.binary())], names=["id", "size", "text"])
-
-    return docs.select(id_of().alias("id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, size long, text binary")
-
-
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, k1, k2, own): the distinct shingle hashes, sorted, of every row of packed `docs`."""
+    """(id, k1, k2, own): the distinct shingle hashes, sorted, of every row of `docs` (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 500_000):
-            texts = zip(batch.column("text").to_pylist(), batch.column("size").to_pylist(), strict=True)
-            own = [np.unique(shingle_hashes(pa.decompress(x, size, codec="zstd", asbytes=True) if size else b"", shingle)) for x, size in texts]
+            own = [np.unique(shingle_hashes(x or b"", shingle)) for x in batch.column("text").to_pylist()]
             k1, k2 = zip(*map(set_key, own), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))],
@@ -408,6 +395,11 @@ def similar_documents(spark: SparkSession, docs: DataFrame, shingle: int = 5) ->
     equal (each is, with probability 0.8 ** VIEW_SIZE).  What meets is linked
     only where the sets themselves are similar.
     """
+    with small_batches(spark):
+        return _similar_documents(spark, docs, shingle)
+
+
+def _similar_documents(spark: SparkSession, docs: DataFrame, shingle: int) -> DataFrame:
     tables = Tables(spark)
     key = ["k1", "k2"]
     sorted_cells = lambda x: x.repartition(width(spark), "cell").sortWithinPartitions("cell")
@@ -420,7 +412,8 @@ def similar_documents(spark: SparkSession, docs: DataFrame, shingle: int = 5) ->
     by_view = sorted_cells(dealt_in_blocks(seen, "view", "rep", BUCKET)).mapInArrow(_meet, "a long, b long")
     # all that may be similar and meets lies in one group, so each set is sent to its group only
     groups = tables.settle(connected_components(links(classes.select("fp", "rep")).union(by_view), tables).withColumnsRenamed({"node": "id", "component": "group"}))
-    sets = shingle_sets(packed(docs).join(groups.select("id").distinct(), "id", "left_semi"), shingle).dropDuplicates(["id", *key])
+    texts = docs.select(id_of().alias("id"), F.col("text").cast("binary").alias("text")).join(groups.select("id").distinct(), "id", "left_semi")
+    sets = shingle_sets(texts, shingle).dropDuplicates(["id", *key])
     first = classes.select(F.col("rep").alias("id"), *key, "wide").join(groups, "id")
     member = first.join(sets, ["id", *key]).select("group", F.col("id").alias("rep"), "wide", "own")
     by_group = sorted_cells(dealt_in_blocks(tables.settle(member), "group", "rep", BUCKET)).mapInArrow(_verify_sets, "a long, b long")

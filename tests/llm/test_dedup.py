@@ -354,3 +354,12 @@ def test_jaccard_at_the_limit():
     assert simhash.jaccard_at_least(*sets(4, 5)) and simhash.jaccard_at_least(*sets(5, 4)) and simhash.jaccard_at_least(*sets(0, 0))
     assert not simhash.jaccard_at_least(*sets(3, 4)) and not simhash.jaccard_at_least(*sets(0, 1))
     assert not simhash.jaccard_at_least(np.array([1, 9]), np.array([2, 9]))
+
+
+def test_texts_go_to_python_by_small_batches(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, real = spark.conf.get(name), simhash.shingle_sets
+    monkeypatch.setattr(simhash, "shingle_sets", lambda *x: seen.append(int(spark.conf.get(name))) or real(*x))
+    docs = spark.createDataFrame([(i, f"some words of a text that has ten copies {i % 2}") for i in range(20)], "doc_id long, text string")
+    assert simhash.keep_representatives(spark, docs).count() == 2
+    assert seen and max(seen) <= 1000 and spark.conf.get(name) == before
