@@ -4,7 +4,8 @@ A leaf of the tree holds the rank of the pair that starts at its symbol; the
 root holds the smallest (rank, position), so it yields the leftmost merge of
 lowest rank.  A merge changes three leaves, each in logarithmic time, until no
 pair can be merged.  Words repeat, so results are kept by word in a bounded
-table of each worker.
+table of each worker; the words of a batch that it lacks are merged together,
+with a tree as the row of a matrix for each word.
 
 The vocabulary is read from a tokenizer file by the driver and broadcast; its
 size is that of the file.  With it go the letters, numbers and capitals of the
@@ -36,6 +37,10 @@ _NONE = 1 << 62
 _TABLES = "_library_tables"
 #: Bytes of the words, and of their ids, that a worker keeps, and what each costs beside.
 CACHE_BYTES, CACHE_ROW = 48_000_000, 200
+#: Leaves of the largest tree that is a row of a matrix, and leaves of such a matrix.
+ROW_LEAVES, MATRIX_LEAVES = 64, 1 << 17
+#: Bytes of text whose words are looked up together.
+GROUP = 500_000
 
 
 def byte_symbols() -> list[str]:
@@ -102,6 +107,74 @@ def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return [s for s in symbols if s]
 
 
+class Pairs:
+    """Symbols by number, and the rank and product of each pair of them that merges."""
+
+    def __init__(self, ranks: dict[tuple[str, str], int], first: list[str], last: list[str]):
+        """first, last: the symbols of each byte inside a word and at its end."""
+        number: dict[str, int] = {}
+        of = lambda s: number.setdefault(s, len(number))
+        self.first, self.last = (np.array([of(s) for s in x]) for x in (first, last))
+        rows = [(of(a), of(b), of(a + b), r) for (a, b), r in ranks.items()]
+        self.names, self.none = list(number), len(number)
+        a, b, product, rank = np.array(rows, np.int64).reshape(-1, 4).T
+        key = a * (self.none + 1) + b
+        order = np.argsort(key)
+        # the last key is that of no pair, so a search always finds a place
+        self.key, self.rank = np.append(key[order], np.iinfo(np.int64).max), np.append(rank[order], 0)
+        self.product = np.zeros(rank.max(initial=0) + 1, np.int64)
+        self.product[rank] = product
+
+    def leaves(self, a: np.ndarray, b: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+        """rank * m + at of the pairs (a, b), _NONE where they don't merge."""
+        key = a * (self.none + 1) + b
+        k = np.searchsorted(self.key, key)
+        return np.where(self.key[k] == key, self.rank[k] * m + at, _NONE)
+
+
+def merge_rows(symbols: np.ndarray, pairs: Pairs) -> np.ndarray:
+    """merge() for many words at once: a row each, pairs.none before, behind and, in the result, where a symbol was merged.
+
+    The row's width less one is a power of two and the number of leaves of its
+    tree; a row has fewer symbols than that.
+    """
+    n, size = symbols.shape[0], symbols.shape[1] - 1
+    sym = symbols.copy()
+    tree = np.full((n, 2 * size), _NONE)
+    place = np.arange(1, size)
+    tree[:, size + 1 :] = pairs.leaves(sym[:, 1:size], sym[:, 2 : size + 1], place, size)
+    level = size
+    while level > 1:
+        half = level >> 1
+        tree[:, half:level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
+        level = half
+    left, right = (np.tile(np.arange(size + 1) + d, (n, 1)) for d in (-1, 1))
+    live = np.arange(n)
+    while True:
+        top = tree[live, 1]
+        going = top != _NONE
+        if not going.all():
+            live, top = live[going], top[going]
+        if not len(live):
+            return sym
+        i = top % size
+        new = pairs.product[top // size]
+        j = right[live, i]
+        nxt, p = right[live, j], left[live, i]
+        sym[live, i], sym[live, j] = new, pairs.none
+        right[live, i], left[live, nxt] = nxt, i
+        leaves = np.concatenate((
+            np.full(len(live), _NONE), pairs.leaves(new, sym[live, nxt], i, size), np.where(p > 0, pairs.leaves(sym[live, p], new, p, size), _NONE),
+        ))
+        row = np.concatenate((live, live, live))
+        k = np.concatenate((j, i, p)) + size
+        tree[row, k] = leaves
+        k >>= 1
+        while k[0]:
+            tree[row, k] = np.minimum(tree[row, 2 * k], tree[row, 2 * k + 1])
+            k >>= 1
+
+
 class Words(dict):
     """Ids by word, computed when first asked for.
 
@@ -116,8 +189,27 @@ class Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
-        if found is None:
-            found = self.compute(word)
+        return self.keep(word, self.compute(word) if found is None else found)
+
+    def many(self, words: Iterable[str], compute) -> dict[str, bytes]:
+        """Ids of different words; those that are not held are computed together, from a list."""
+        out, new = {}, []
+        held, old = self.get, self.old.get
+        for w in words:
+            found = held(w)
+            if found is None:
+                found = old(w)
+                if found is None:
+                    new.append(w)
+                    continue
+                self.keep(w, found)
+                held, old = self.get, self.old.get
+            out[w] = found
+        for w, found in zip(new, compute(new), strict=True):
+            out[w] = self.keep(w, found)
+        return out
+
+    def keep(self, word: str, found: bytes) -> bytes:
         size = len(word) + len(found) + CACHE_ROW
         if 10 * size > self.most:
             return found
@@ -194,6 +286,8 @@ class Codec:
         for t, i in [*self.vocab.items(), *self.special.items()]:
             self.tokens[i] = t
         self.cache = Words(self.encode_word, CACHE_BYTES // 2)
+        self.pairs = Pairs(self.ranks, self.symbols, [s + self.suffix for s in self.symbols])
+        self.ids = np.array([*(self.vocab.get(s, -1) for s in self.pairs.names), -1])
 
     def encode_word(self, word: str) -> bytes:
         """Ids of one word as little-endian unsigned 32-bit integers."""
@@ -202,6 +296,33 @@ class Codec:
         ids = [i for s in merge(symbols, self.ranks) if (i := self.vocab.get(s)) is not None]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """encode_word of each, for short words by matrices of trees."""
+        out = [b""] * len(words)
+        data = [w.encode() for w in words]
+        groups: dict[int, list[int]] = {}
+        for i, b in enumerate(data):
+            groups.setdefault(1 << len(b).bit_length(), []).append(i)
+        for size, group in groups.items():
+            if size > ROW_LEAVES:
+                for i in group:
+                    out[i] = self.encode_word(words[i])
+                continue
+            step = max(1, MATRIX_LEAVES // size)
+            for part in (group[k : k + step] for k in range(0, len(group), step)):
+                n = np.array([len(data[i]) for i in part])
+                row = np.repeat(np.arange(len(part)), n)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + 1
+                byte = np.frombuffer(b"".join([data[i] for i in part]), np.uint8)
+                symbols = np.full((len(part), size + 1), self.pairs.none)
+                symbols[row, at] = np.where(at == n[row], self.pairs.last[byte], self.pairs.first[byte])
+                ids = self.ids[merge_rows(symbols, self.pairs)]
+                ends = (4 * np.cumsum((ids >= 0).sum(axis=1))).tolist()
+                flat = ids[ids >= 0].astype("<u4").tobytes()
+                for i, a, b in zip(part, [0, *ends], ends):  # noqa: B905
+                    out[i] = flat[a:b]
+        return out
+
     def normal(self, text: str) -> str:
         if self.nfc and not text.isascii():
             text = unicodedata.normalize("NFC", text)
@@ -210,21 +331,41 @@ class Codec:
             text = text.lower() if "Σ" not in text else "".join("σ" if c == "Σ" else c.lower() for c in text)
         return text
 
-    def _plain(self, text: str) -> bytes:
-        cache = self.cache
+    def _plain(self, text: str) -> list[str]:
+        """The words of a text without special tokens."""
         text, words = self.normal(text), self.words
         if self.high(text) and self.odd(text):
             text, words = text.translate(self.capitals) if self.lower else text, self.odd_words
-        return b"".join([cache[w] for w in words(text)])
+        return words(text)
 
-    def encode(self, text: str) -> bytes:
+    def _parts(self, text: str) -> list[list[str] | bytes]:
+        """Its lists of words and, between them, the ids of special tokens."""
         if self.split_special is None or not self.split_special.search(text):
-            return self._plain(text)
+            return [self._plain(text)]
         out, at = [], 0
         for m in self.split_special.finditer(text):
             out += [self._plain(text[at : m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
             at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        return [*out, self._plain(text[at:])]
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text; the words of some texts at a time are looked up together."""
+        held, size = [], 0
+        for text in texts:
+            held.append(self._parts(text))
+            size += len(text)
+            if size >= GROUP:
+                yield from self._encoded(held)
+                held, size = [], 0
+        yield from self._encoded(held)
+
+    def _encoded(self, held: list[list[list[str] | bytes]]) -> list[bytes]:
+        distinct = set().union(*(x for parts in held for x in parts if isinstance(x, list)))
+        ids = self.cache.many(distinct, self.encode_words).__getitem__
+        return [b"".join([x if isinstance(x, bytes) else b"".join(map(ids, x)) for x in parts]) for parts in held]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Without a decoder in the file, tokens are joined by a space."""
@@ -253,7 +394,7 @@ def encode(docs: DataFrame, spec) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(spec)
         for batch in slices(batches, "text", 1_000_000):
-            ids = [np.frombuffer(c.encode(x or ""), "<u4").astype(np.int32) for x in batch.column("text").to_pylist()]
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in c.encode_all(x or "" for x in batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -278,8 +419,7 @@ def digests(docs: DataFrame, spec) -> DataFrame:
         c = codec(spec)
         for batch in slices(batches, "text", 2_000_000):
             n, a, b = [], [], []
-            for x in batch.column("text").to_pylist():
-                ids = c.encode(x or "")
+            for ids in c.encode_all(x or "" for x in batch.column("text").to_pylist()):
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(c.decode(np.frombuffer(ids, "<u4").tolist()).encode()).hexdigest())

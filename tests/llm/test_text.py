@@ -46,6 +46,23 @@ def test_kept_words_are_bounded_by_bytes():
     assert sum(len(w) + len(v) + bpe.CACHE_ROW for w, v in words.items()) <= 10_000
 
 
+def test_new_words_are_merged_together():
+    import random
+    import time
+
+    rng = random.Random(4)
+    words = [*{"".join(rng.choice("abcdefghiostué漢") for _ in range(rng.randint(1, 14))) for _ in range(20_000)}, *("ab" * n for n in range(1, 90))]
+    began = time.process_time()
+    want = [CODEC.encode_word(w) for w in words]
+    single = time.process_time() - began
+    began = time.process_time()
+    got = CODEC.encode_words(words)
+    assert time.process_time() - began < single / 2
+    assert got == want
+    texts = [" ".join(words[k : k + 50]) + "<|endoftext|>" for k in range(0, len(words), 50)]
+    assert [*CODEC.encode_all(texts)] == [CODEC.encode(t) for t in texts]
+
+
 @pytest.mark.parametrize("text", SAMPLES)
 def test_token_samples(text):
     assert np.frombuffer(CODEC.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
