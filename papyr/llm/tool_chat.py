@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyr.llm.common import NULL_ID, Tables, id_of, read, runs_by_key, slices, width
+from papyr.llm.common import NULL_ID, Tables, id_of, process_state, read, runs_by_key, slices, width
 from papyr.llm.components import connected_components
 
 #: Citations of one component that a task orders in memory.
@@ -55,15 +55,19 @@ _TYPES = {
 }
 
 
-def canonical(value: Any) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+def _refuse(x: str) -> Any:
+    raise ValueError(x)
 
 
-def _strict(text: str) -> Any:
-    def refuse(x: str) -> Any:
-        raise ValueError(x)
+# made once: json.dumps with options makes an encoder for each value
+canonical = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode
+
 
-    return json.loads(text, parse_constant=refuse)
+def _strict(text: str) -> Any:
+    state = process_state()
+    if "strict_json" not in state:  # a decoder can't be pickled with this module's functions
+        state["strict_json"] = json.JSONDecoder(parse_constant=_refuse).decode
+    return state["strict_json"](text)
 
 
 class Unsupported(ValueError):
@@ -412,29 +416,49 @@ def _read_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def _rules(text: str) -> tuple[Any, str | Exception | None]:
+    """A schema and the first keyword in it that cannot be decided or, where it can't even be searched, the error of that."""
+    rules = _strict(text)
+    try:
+        return rules, unsupported(rules)
+    except (re.error, TypeError, ValueError, AttributeError, ZeroDivisionError, RecursionError) as e:
+        return rules, e
+
+
 def _serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    quoted = lambda x: "null" if x is None else canonical(x)
     for batch in batches:
+        # the batch's schemas, which its calls share
+        known: dict[str, tuple[Any, str | Exception | None]] = {}
         out: list[list] = [[], [], []]
         names = ("kind", "id", "name", "body", "role", "status", "schema")
         for kind, i, name, body, role, status, schema in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
             error = None
-            line: dict[str, Any] = {"kind": kind, "role": role}
-            if kind in ("call", "result", "tool"):
+            if kind == "call" and schema is not None and status in ("ok", "unanswered"):
                 value = _strict(body)
-                line |= {"id": i, "name": name, {"call": "arguments", "result": "content", "tool": "parameters"}[kind]: value}
-                if kind == "call" and schema is not None and status in ("ok", "unanswered"):
-                    rules = _strict(schema)
-                    try:
-                        if unknown := unsupported(rules):
-                            status, error = "unsupported_schema", f"schema: {unknown}"
-                        elif error := validate(value, rules):
-                            status = "invalid_arguments"
-                    except (re.error, TypeError, ValueError, AttributeError, ZeroDivisionError, RecursionError) as e:
-                        status, error = "invalid_arguments", f"schema: {type(e).__name__}"
+                if schema not in known:
+                    known[schema] = _rules(schema)
+                rules, unknown = known[schema]
+                try:
+                    if isinstance(unknown, Exception):
+                        raise unknown
+                    if unknown:
+                        status, error = "unsupported_schema", f"schema: {unknown}"
+                    elif error := validate(value, rules):
+                        status = "invalid_arguments"
+                except (re.error, TypeError, ValueError, AttributeError, ZeroDivisionError, RecursionError) as e:
+                    status, error = "invalid_arguments", f"schema: {type(e).__name__}"
+            # bodies of these kinds are canonical already, and the keys stand in their order
+            rest = f'"kind":{quoted(kind)},"name":{quoted(name)},'
+            if kind == "call":
+                line = f'{{"arguments":{body},"id":{quoted(i)},{rest}'
+            elif kind == "result":
+                line = f'{{"content":{body},"id":{quoted(i)},{rest}'
+            elif kind == "tool":
+                line = f'{{"id":{quoted(i)},{rest}"parameters":{body},'
             else:
-                line["content"] = body
-            line["status"] = status
-            out[0].append(status), out[1].append(error), out[2].append(canonical(line))
+                line = f'{{"content":{quoted(body)},"kind":{quoted(kind)},'
+            out[0].append(status), out[1].append(error), out[2].append(f'{line}"role":{quoted(role)},"status":{quoted(status)}}}')
         keep = [c for c in batch.schema.names if c in ("conv", "turn", "part", "depth", "kind", "id", "name")]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in keep), *(pa.array(x, pa.string()) for x in out)], names=[*keep, "status", "error", "json"]
@@ -485,9 +509,11 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _depths(calls: DataFrame, tables: Tables) -> DataFrame:
     """(conv, id, t, p, depth, cyclic) for calls that cite others: their place, which is after all that they cite.
 
-    Calls that cite each other, directly or by others, form a component, which
-    is found by a distributed search and ordered in one task.  A component of
-    over COMPONENT citations is ordered by rounds over the whole cluster.
+    Calls cite within their conversation, so one of at most COMPONENT citations
+    is ordered in one task.  In a larger one, calls that cite each other, directly
+    or by others, form a component, which is found by a distributed search and
+    ordered likewise.  A component of over COMPONENT citations is ordered by
+    rounds over the whole cluster.
     """
     spark = calls.sparkSession
     edges = tables.settle(
@@ -498,12 +524,21 @@ def _depths(calls: DataFrame, tables: Tables) -> DataFrame:
     )
     if edges.isEmpty():
         return spark.createDataFrame([], _PLACES)
+    by_task = lambda df: (
+        df.select("*", F.col("answer.t").alias("at"), F.col("answer.p").alias("ap"))
+        .repartition(width(spark), "component").sortWithinPartitions("component").mapInArrow(_places, _PLACES)
+    )
+    whole = edges.withColumn("component", F.col("conv"))
+    long = tables.settle(edges.groupBy("conv").count().where(F.col("count") > COMPONENT).select("conv"))
+    if long.isEmpty():
+        return by_task(whole)
+    placed = by_task(whole.join(long, "conv", "left_anti"))
+    edges = tables.settle(edges.join(long, "conv", "left_semi"))
     # equal hashes of different calls would only join their components
     components = connected_components(edges.select("a", "b"), tables).withColumnRenamed("node", "a")
     edges = tables.settle(edges.join(components, "a", "left").withColumn("component", F.coalesce("component", "a")))
     large = tables.settle(edges.groupBy("component").count().where(F.col("count") > COMPONENT).select("component"))
-    some = edges.join(large, "component", "left_anti").select("*", F.col("answer.t").alias("at"), F.col("answer.p").alias("ap"))
-    placed = some.repartition(width(spark), "component").sortWithinPartitions("component").mapInArrow(_places, _PLACES)
+    placed = placed.union(by_task(edges.join(large, "component", "left_anti")))
     return placed if large.isEmpty() else placed.union(_by_rounds(edges.join(large, "component", "left_semi"), tables))
 
 
@@ -565,9 +600,12 @@ def link_tool_calls(spark: SparkSession, conversations: DataFrame) -> DataFrame:
         .join(answered.hint("shuffle_hash"), ["conv", "id"], "left")
     )
     depths = _depths(heads.select("conv", "id", F.col("c_turn").alias("turn"), F.col("c_part").alias("part"), "cites", "first"), tables)
-    heads = heads.drop("cites").join(depths, ["conv", "id"], "left").select(
-        "conv", "id", "c_turn", "c_part", "c_name", "n_results", F.coalesce("t", "c_turn").alias("t"), F.coalesce("p", "c_part").alias("p"),
-        F.coalesce("depth", F.lit(0)).alias("depth0"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
+    # written, as calls and results are joined to it apart
+    heads = tables.settle(
+        heads.drop("cites").join(depths, ["conv", "id"], "left").select(
+            "conv", "id", "c_turn", "c_part", "c_name", "n_results", F.coalesce("t", "c_turn").alias("t"), F.coalesce("p", "c_part").alias("p"),
+            F.coalesce("depth", F.lit(0)).alias("depth0"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
+        )
     )
     is_call = F.col("kind") == "call"
     own = (F.col("turn") == F.col("c_turn")) & (F.col("part") == F.col("c_part"))

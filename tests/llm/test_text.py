@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import SF
 from hypothesis import given, settings
@@ -337,6 +338,23 @@ def test_order_of_citing_calls(spark, limit, monkeypatch):
     assert "cycle" in want.values() or limit == 3
 
 
+def test_conversations_are_ordered_without_a_search(spark, monkeypatch):
+    """A conversation of few citations needs no components, which took rounds over the whole table; a schema is read once for the calls of a batch."""
+    monkeypatch.setattr(tool_chat, "connected_components", None)
+    got = tool_chat.tool_links_made(spark, SF)
+    assert got.where("depth > 1").count() > 0
+    times = []
+    read = tool_chat._rules
+    monkeypatch.setattr(tool_chat, "_rules", lambda s: times.append(s) or read(s))
+    rows = {"kind": ["call"] * 3, "id": ["a", "b", None], "name": ["é"] * 3, "body": ['{"n":1}', '{"n":"x"}', "{}"], "role": ["r", None, "r"], "status": ["ok"] * 3, "schema": ['{"properties":{"n":{"type":"integer"}}}'] * 3}
+    json = next(tool_chat._serialise(iter([pa.record_batch({k: pa.array(v, pa.string()) for k, v in rows.items()})]))).column("json").to_pylist()
+    assert len(times) == 1
+    assert json == [
+        '{"arguments":{"n":1},"id":"a","kind":"call","name":"é","role":"r","status":"ok"}', '{"arguments":{"n":"x"},"id":"b","kind":"call","name":"é","role":null,"status":"invalid_arguments"}',
+        '{"arguments":{},"id":null,"kind":"call","name":"é","role":"r","status":"ok"}',
+    ]
+
+
 def test_secrets_in_long_texts():
     import time
 
