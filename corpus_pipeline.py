@@ -2,7 +2,8 @@
 
 Each stage is a function of (spark, docs, sf_dir) and returns a DataFrame that
 is written as Parquet and read again as the next stage's docs.  All but the
-last keep the columns of documents.
+last keep the columns of documents.  A stage that ends in Python writes its rows
+itself, by small batches: a batch of 10,000 whole texts is held several times.
 """
 
 from __future__ import annotations
@@ -13,12 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyr.llm import bpe, decontaminate, language_id, secret_scan, simhash
-from papyr.llm.common import Tables, id_of, read
+from papyr.llm.common import Tables, read, small_batches
 
 #: Near-duplicate stages take shingles of five words.
 SHINGLE = 5
 
 
+def written(spark: SparkSession, out: DataFrame) -> DataFrame:
+    with small_batches(spark):
+        return Tables(spark).settle(out)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; lang becomes the predicted one.
 
@@ -30,7 +36,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     taken = {c.lower() for c in docs.columns}
     lang, score = (next(n for n in (f"_{k}{i or ''}" for i in range(len(taken) + 1)) if n not in taken) for k in ("lang_pred", "score"))
     found = language_id.predict(docs, language_id.train(labelled), lang, score)
-    return found.where(F.col(lang) != language_id.UNDETERMINED).withColumn("lang", F.col(lang)).select(*docs.columns)
+    return written(spark, found.where(F.col(lang) != language_id.UNDETERMINED).withColumn("lang", F.col(lang)).select(*docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +56,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets are replaced in the text and n_chars follows."""
     out = secret_scan.redact_documents(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return written(spark, out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the token ids and of the decoded text."""
-    return bpe.digests(docs, bpe.public_spec(spark))
+    return written(spark, bpe.digests(docs, bpe.public_spec(spark)))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -74,7 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written and read again."""
     docs = read(spark, sf_dir, "documents")
     tables = Tables(spark)
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         out = stage(spark, docs, sf_dir)
-        docs = out if name == STAGES[-1][0] else tables.settle(out)
+        docs = tables.settle(out) if stage in (near_duplicate_stage, decontamination_stage) else out
     return docs

@@ -355,6 +355,24 @@ def test_conversations_are_ordered_without_a_search(spark, monkeypatch):
     ]
 
 
+def test_pipeline_sends_small_batches(spark, monkeypatch):
+    import corpus_pipeline
+
+    def bounded(docs, *_):
+        def run(batches):
+            for b in batches:
+                assert b.num_rows <= 1000
+                yield b
+
+        return docs.mapInArrow(run, docs.schema)
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text")).coalesce(1)
+    monkeypatch.setattr(corpus_pipeline.secret_scan, "redact_documents", bounded)
+    monkeypatch.setattr(corpus_pipeline.bpe, "digests", bounded)
+    assert corpus_pipeline.secrets_stage(spark, docs, SF).count() == 3000
+    assert corpus_pipeline.encoding_stage(spark, docs, SF).count() == 3000
+
+
 def test_secrets_in_long_texts():
     import time
 
