@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyr.llm import bpe, decontaminate, language_id, secret_scan, simhash
 from papyr.llm.common import Tables, read, small_batches
@@ -22,7 +23,10 @@ SHINGLE = 5
 
 def written(spark: SparkSession, out: DataFrame) -> DataFrame:
     with small_batches(spark):
-        return Tables(spark).settle(out)
+        rows = Tables(spark).settle(out)
+    # Parquet is read as nullable: columns without nulls are told as such again
+    whole = [f for f in out.schema if not f.nullable and isinstance(f.dataType, (T.NumericType, T.StringType))]
+    return rows.withColumns({f.name: F.coalesce(f.name, F.lit(0 if isinstance(f.dataType, T.NumericType) else "").cast(f.dataType)) for f in whole}) if whole else rows
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
