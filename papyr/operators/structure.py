@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from papyr.functions import bulk
 from papyr.functions import charclass as cc
 from papyr.functions import text as t
 
@@ -233,23 +234,25 @@ def padded_table(rows: Column) -> Column:
 ENOUGH, LEFT, PREVIEW, PREVIEW_LEFT, KOREAN = 500, 100, 100, 50, 0.10
 
 
-def accepted(body: Column, preview: Column, clean: Callable[[Column], Column] = t.clean) -> Column:
-    """(method, text, korean_ratio) of a body text and a stored preview, or null where neither is accepted.
+def accepted(rows: DataFrame, body: str, preview: str, clean: Callable[[Column], Column] = bulk.clean) -> DataFrame:
+    """Adds method, text and korean_ratio of a body text and a stored preview, null where neither is accepted, and leaves those two out.
 
     The body's text is taken if it is long enough before and after cleaning; one
-    with hardly any Korean gives way to a preview with more.
+    with hardly any Korean gives way to a preview with more.  A text is cleaned
+    only where the rule asks for it: a body that is long enough, and a preview
+    that the body's text may give way to.
     """
-    pick = lambda m, c, r: F.struct(F.lit(m).alias("method"), c.alias("text"), r.alias("korean_ratio"))
-    rated = lambda c: F.struct(c.alias("text"), t.korean_ratio(c).alias("ratio"))
-
-    def choose(own: Column, other: Column) -> Column:
-        usable = (F.length(preview) > PREVIEW) & (F.length(other["text"]) > PREVIEW_LEFT)
-        long = F.length(body) > ENOUGH
-        return (
-            F.when(long & (own["ratio"] < KOREAN) & usable & (other["ratio"] > own["ratio"]), pick("preview", other["text"], other["ratio"]))
-            .when(long & (F.length(own["text"]) >= LEFT), pick("body", own["text"], own["ratio"]))
-            .when((F.length(preview) > ENOUGH) & (F.length(other["text"]) >= LEFT), pick("preview", other["text"], other["ratio"]))
-        )
-
-    cleaned = lambda c: t.once(clean(c), rated)
-    return t.once(F.struct(cleaned(body).alias("a"), cleaned(preview).alias("b")), lambda x: choose(x["a"], x["b"]))
+    pick = lambda m, c: F.struct(F.lit(m).alias("method"), c["text"].alias("text"), c["ratio"].alias("korean_ratio"))
+    rated = lambda c: t.once(c, lambda x: F.struct(x.alias("text"), t.korean_ratio(x).alias("ratio")))
+    cleaned = lambda asked, c: rated(F.when(asked, clean(F.when(asked, F.col(c)))))
+    own, other, size = F.col("_own"), F.col("_other"), F.length(preview)
+    long = F.coalesce(F.length(body) > ENOUGH, F.lit(False))
+    foreign, enough = long & (own["ratio"] < KOREAN), F.coalesce(long & (F.length(own["text"]) >= LEFT), F.lit(False))
+    asked = F.coalesce((foreign & (size > PREVIEW)) | (~enough & (size > ENOUGH)), F.lit(False))
+    both = rows.withColumn("_own", cleaned(long, body)).withColumn("_other", cleaned(asked, preview))
+    choice = (
+        F.when(foreign & (size > PREVIEW) & (F.length(other["text"]) > PREVIEW_LEFT) & (other["ratio"] > own["ratio"]), pick("preview", other))
+        .when(enough, pick("body", own))
+        .when((size > ENOUGH) & (F.length(other["text"]) >= LEFT), pick("preview", other))
+    )
+    return both.select(*(c for c in rows.columns if c not in (body, preview)), choice.alias("_x")).select("*", "_x.*").drop("_x")

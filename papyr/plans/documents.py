@@ -152,8 +152,8 @@ SELECT doc_id, idx, repeat(concat(CASE WHEN idx % 5 = 0 THEN 'ab 12. ' WHEN idx
 @query()
 def strategy_accepted(spark, sf_dir):
     """The text accepted by length and share of Korean, of body and preview, both cleaned."""
-    out = made(spark, sf_dir, BODIES, orders="o_orderkey").select("doc_id", "idx", s.accepted(F.col("body"), F.col("preview")).alias("x"))
-    return out.select("doc_id", "idx", "x.method", F.length("x.text").cast("long").alias("n"), F.round("x.korean_ratio", 6).alias("korean_ratio"))
+    out = s.accepted(made(spark, sf_dir, BODIES, orders="o_orderkey"), "body", "preview")
+    return out.select("doc_id", "idx", "method", F.length("text").cast("long").alias("n"), F.round("korean_ratio", 6).alias("korean_ratio"))
 
 
 _LOOSE = lambda c: t.squeeze(t.strip_noise(c))
@@ -169,8 +169,8 @@ z AS (SELECT *, CASE WHEN length(body) > 500 AND ra < 0.1 AND length(preview) >
 SELECT doc_id, idx, method, CASE method WHEN 'body' THEN length(a) WHEN 'preview' THEN length(b) END::BIGINT AS n, round(CASE method WHEN 'body' THEN ra WHEN 'preview' THEN rb END, 6) AS korean_ratio FROM z""")
 def strategy_accepted_loosely(spark, sf_dir):
     """The same rule with a cleaner that SQL can express."""
-    out = made(spark, sf_dir, BODIES, orders="o_orderkey").select("doc_id", "idx", s.accepted(F.col("body"), F.col("preview"), _LOOSE).alias("x"))
-    return out.select("doc_id", "idx", "x.method", F.length("x.text").cast("long").alias("n"), F.round("x.korean_ratio", 6).alias("korean_ratio"))
+    out = s.accepted(made(spark, sf_dir, BODIES, orders="o_orderkey"), "body", "preview", _LOOSE)
+    return out.select("doc_id", "idx", "method", F.length("text").cast("long").alias("n"), F.round("korean_ratio", 6).alias("korean_ratio"))
 
 
 @query()
