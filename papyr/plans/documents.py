@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from papyr.functions import bulk
 from papyr.functions import charclass as cc
 from papyr.functions import text as t
 from papyr.functions import validate as v
@@ -176,11 +177,11 @@ def strategy_accepted_loosely(spark, sf_dir):
 @query()
 def section_clean(spark, sf_dir):
     """Texts as the live path cleans them: each section, then the sections joined."""
-    rows = made(spark, sf_dir, BODIES, orders="o_orderkey").select("doc_id", "idx", t.clean(F.col("body")).alias("part"))
+    rows = dealt(made(spark, sf_dir, BODIES, orders="o_orderkey").select("doc_id", "idx", bulk.clean(F.col("body")).alias("part")), "doc_id")
     # empty parts are left out while they are collected: a filter would be moved before the projection and clean every text again
     parts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("part") != "", F.struct("idx", "part")))).alias("parts")).where(F.size("parts") > 0)
-    joined = dealt(parts.select("doc_id", F.array_join(F.transform("parts", lambda x: x["part"]), "\n\n").alias("text")), "doc_id")
-    return joined.select("doc_id", t.clean(F.col("text")).alias("result"))
+    joined = parts.select("doc_id", F.array_join(F.transform("parts", lambda x: x["part"]), "\n\n").alias("text"))
+    return joined.select("doc_id", bulk.clean(F.col("text")).alias("result"))
 
 
 #: First bytes of a file and, of a zip, the names in it.

@@ -77,3 +77,22 @@ def test_only_texts_asked_for_are_cleaned(spark):
 def test_strategy_texts_are_cleaned_in_bulk(spark):
     plan = registry.QUERIES["strategy_accepted"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 2 and r"{3,}" not in plan
+
+
+def test_sections_are_cleaned_in_bulk_and_moved_once(spark):
+    """Parts were cleaned by patterns and moved twice, for the grouping and for the texts made of it."""
+    plan = registry.QUERIES["section_clean"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and r"{3,}" not in plan and plan.count("Exchange hashpartitioning(doc_id") == 1
+
+
+def test_sections_of_a_frequent_document(spark, tmp_path):
+    """Half of all orders are one customer's, whose text is longer than what is taken at once."""
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 2 == 0, 7).otherwise(F.col("o_custkey")).cast("long")).write.parquet(str(tmp_path / "orders.parquet"))
+    from papyr.plans.documents import BODIES
+    from papyr.plans.inputs import made
+
+    got = {r.doc_id: r.result for r in registry.QUERIES["section_clean"](spark, str(tmp_path)).collect()}
+    parts = made(spark, str(tmp_path), BODIES).where("doc_id = 7").select("idx", t.clean(F.col("body")).alias("part")).where("part <> ''").orderBy("idx").collect()
+    whole = "\n\n".join(r.part for r in parts)
+    assert got[7] == spark.createDataFrame([(whole,)], "x string").select(t.clean(F.col("x")).alias("y")).first().y and len(whole) > 50_000
