@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +124,7 @@ def cleaned(texts: list[str], table: np.ndarray) -> list[str]:
     return [x if ok else "" for x, ok in zip(codes.tobytes().decode("utf-32-le").split("\n"), passed.tolist())]
 
 
-def _portions(texts: list[str]) -> Iterator[list[str]]:
+def _portions(texts: Iterable[str]) -> Iterator[list[str]]:
     portion, n = [], 0
     for x in texts:
         if portion and n + len(x) > AT_ONCE:
@@ -139,10 +139,11 @@ def _portions(texts: list[str]) -> Iterator[list[str]]:
 def _of_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     table = _table()
     for batch in batches:
-        # equal texts of a batch are cleaned once
+        # equal texts of a batch are cleaned once, and few are Python's strings at a time
         known = batch.dictionary_encode()
-        out = [x for portion in _portions(known.dictionary.to_pylist()) for x in cleaned(portion, table)]
-        yield pa.array(out, batch.type).take(known.indices)
+        texts = (x for i in range(0, len(known.dictionary), 100) for x in known.dictionary.slice(i, 100).to_pylist())
+        out = [pa.array(cleaned(portion, table), batch.type) for portion in _portions(texts)]
+        yield pa.concat_arrays([pa.array([], batch.type), *out]).take(known.indices)
 
 
 def clean(c: Column) -> Column:
