@@ -80,8 +80,8 @@ def _meaningful(codes: np.ndarray, bits: np.ndarray, edges: np.ndarray) -> np.nd
     return keep
 
 
-def cleaned(texts: list[str], table: np.ndarray) -> list[str]:
-    """text.clean of each; the steps are those of text, in their order."""
+def cleaned(texts: list[str], table: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """text.clean of each and text.korean_ratio of that; the steps are those of text, in their order."""
     codes = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le"), np.uint32).copy()
     codes[np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1] = END
     bits = table[codes]
@@ -104,7 +104,7 @@ def cleaned(texts: list[str], table: np.ndarray) -> list[str]:
     ink = (bits & (SPACE | STOP)) == 0
     edges = np.flatnonzero(np.diff(ink, prepend=False))
     if not len(edges):
-        return [""] * len(texts)
+        return [""] * len(texts), np.zeros(len(texts))
     keep = _meaningful(codes, bits, edges)
     first, last = edges[::2][keep], edges[1::2][keep]
     step = np.zeros(len(codes), np.int8)
@@ -119,9 +119,10 @@ def cleaned(texts: list[str], table: np.ndarray) -> list[str]:
     begin = np.append(0, stops[:-1] + 1)
     korean, blanks = (np.add.reduceat((bits & bit) != 0, begin, dtype=np.int64) for bit in (KOREAN, SPACE))
     n = stops - begin
-    passed = (n >= 10) & (korean / np.maximum(n - blanks, 1) >= 0.05)
+    ratio = korean / np.maximum(n - blanks, 1)
+    passed = (n >= 10) & (ratio >= 0.05)
     codes[stops] = 10  # no text holds a line end any more
-    return [x if ok else "" for x, ok in zip(codes.tobytes().decode("utf-32-le").split("\n"), passed.tolist())]
+    return [x if ok else "" for x, ok in zip(codes.tobytes().decode("utf-32-le").split("\n"), passed.tolist())], np.where(passed, ratio, 0.0)
 
 
 def _portions(texts: Iterable[str]) -> Iterator[list[str]]:
@@ -136,17 +137,38 @@ def _portions(texts: Iterable[str]) -> Iterator[list[str]]:
         yield portion
 
 
-def _of_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _of_batches(batches: Iterator[pa.Array]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Texts and ratios of each batch."""
     table = _table()
     for batch in batches:
         # equal texts of a batch are cleaned once, and few are Python's strings at a time
         known = batch.dictionary_encode()
         texts = (x for i in range(0, len(known.dictionary), 100) for x in known.dictionary.slice(i, 100).to_pylist())
-        out = [pa.array(cleaned(portion, table), batch.type) for portion in _portions(texts)]
-        yield pa.concat_arrays([pa.array([], batch.type), *out]).take(known.indices)
+        out, ratios = [pa.array([], batch.type)], [np.zeros(0)]
+        for portion in _portions(texts):
+            own, ratio = cleaned(portion, table)
+            out.append(pa.array(own, batch.type))
+            ratios.append(ratio)
+        yield pa.concat_arrays(out).take(known.indices), pa.array(np.concatenate(ratios)).take(known.indices)
+
+
+def _cleaned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return (texts for texts, _ in _of_batches(batches))
+
+
+def _rated(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return (pa.StructArray.from_arrays(both, ["text", "ratio"]) for both in _of_batches(batches))
+
+
+def _sent(f: Callable, c: Column, kind: str) -> Column:
+    return F.arrow_udf(f, kind)(F.make_valid_utf8(F.coalesce(c, F.lit(""))))
 
 
 def clean(c: Column) -> Column:
     """text.clean, sent to Python by Arrow batches."""
-    run: Callable[[Column], Column] = F.arrow_udf(_of_batches, "string")
-    return run(F.make_valid_utf8(F.coalesce(c, F.lit(""))))
+    return _sent(_cleaned, c, "string")
+
+
+def rated(c: Column) -> Column:
+    """(text, ratio): text.clean and text.korean_ratio of that."""
+    return _sent(_rated, c, "text string, ratio double")

@@ -234,17 +234,22 @@ def padded_table(rows: Column) -> Column:
 ENOUGH, LEFT, PREVIEW, PREVIEW_LEFT, KOREAN = 500, 100, 100, 50, 0.10
 
 
-def accepted(rows: DataFrame, body: str, preview: str, clean: Callable[[Column], Column] = bulk.clean) -> DataFrame:
+def rated(c: Column) -> Column:
+    """(text, ratio) of a text that is cleaned already."""
+    return t.once(c, lambda x: F.struct(x.alias("text"), t.korean_ratio(x).alias("ratio")))
+
+
+def accepted(rows: DataFrame, body: str, preview: str, clean: Callable[[Column], Column] = bulk.rated) -> DataFrame:
     """Adds method, text and korean_ratio of a body text and a stored preview, null where neither is accepted, and leaves those two out.
 
     The body's text is taken if it is long enough before and after cleaning; one
     with hardly any Korean gives way to a preview with more.  A text is cleaned
     only where the rule asks for it: a body that is long enough, and a preview
-    that the body's text may give way to.
+    that the body's text may give way to.  clean: the cleaned text and its share
+    of Korean, as `rated` gives them.
     """
     pick = lambda m, c: F.struct(F.lit(m).alias("method"), c["text"].alias("text"), c["ratio"].alias("korean_ratio"))
-    rated = lambda c: t.once(c, lambda x: F.struct(x.alias("text"), t.korean_ratio(x).alias("ratio")))
-    cleaned = lambda asked, c: rated(F.when(asked, clean(F.when(asked, F.col(c)))))
+    cleaned = lambda asked, c: F.when(asked, clean(F.when(asked, F.col(c))))
     own, other, size = F.col("_own"), F.col("_other"), F.length(preview)
     long = F.coalesce(F.length(body) > ENOUGH, F.lit(False))
     foreign, enough = long & (own["ratio"] < KOREAN), F.coalesce(long & (F.length(own["text"]) >= LEFT), F.lit(False))

@@ -170,7 +170,7 @@ z AS (SELECT *, CASE WHEN length(body) > 500 AND ra < 0.1 AND length(preview) >
 SELECT doc_id, idx, method, CASE method WHEN 'body' THEN length(a) WHEN 'preview' THEN length(b) END::BIGINT AS n, round(CASE method WHEN 'body' THEN ra WHEN 'preview' THEN rb END, 6) AS korean_ratio FROM z""")
 def strategy_accepted_loosely(spark, sf_dir):
     """The same rule with a cleaner that SQL can express."""
-    out = s.accepted(made(spark, sf_dir, BODIES, orders="o_orderkey"), "body", "preview", _LOOSE)
+    out = s.accepted(made(spark, sf_dir, BODIES, orders="o_orderkey"), "body", "preview", lambda c: s.rated(_LOOSE(c)))
     return out.select("doc_id", "idx", "method", F.length("text").cast("long").alias("n"), F.round("korean_ratio", 6).alias("korean_ratio"))
 
 

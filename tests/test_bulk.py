@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import SF
@@ -34,8 +35,9 @@ def texts():
 
 def test_bulk_is_the_cleaner(spark, texts):
     frame = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, None])], "i long, x string").repartition(8)
-    rows = frame.select("i", t.clean(F.col("x")).alias("a"), bulk.clean(F.col("x")).alias("b")).collect()
-    assert [r.i for r in rows if r.a != r.b] == [] and sum(r.a != "" for r in rows) > 3000
+    plain = frame.select("i", "x", t.clean(F.col("x")).alias("a")).withColumn("share", t.korean_ratio(F.col("a")))
+    rows = plain.select("i", "a", "share", bulk.clean(F.col("x")).alias("b"), bulk.rated(F.col("x")).alias("c")).collect()
+    assert [r.i for r in rows if (r.a, r.a, r.share) != (r.b, r.c.text, r.c.ratio)] == [] and sum(r.a != "" for r in rows) > 3000
 
 
 def test_broken_bytes(spark):
@@ -45,8 +47,8 @@ def test_broken_bytes(spark):
 
 def test_equal_texts_are_cleaned_once(monkeypatch):
     seen = []
-    monkeypatch.setattr(bulk, "cleaned", lambda texts, _: seen.extend(texts) or [x.upper() for x in texts])
-    out = list(bulk._of_batches(iter([pa.array(["a", "b", "a", "a"]), pa.array([], pa.string())])))
+    monkeypatch.setattr(bulk, "cleaned", lambda texts, _: (seen.extend(texts) or [x.upper() for x in texts], np.zeros(len(texts))))
+    out = list(bulk._cleaned(iter([pa.array(["a", "b", "a", "a"]), pa.array([], pa.string())])))
     assert [x.to_pylist() for x in out] == [["A", "B", "A", "A"], []] and seen == ["a", "b"]
 
 
@@ -70,7 +72,7 @@ def test_only_texts_asked_for_are_cleaned(spark):
         (1, korean, "unasked " * 100), (2, "unasked", korean), (3, "unasked", "unasked " * 20), (4, latin, korean), (5, latin, "unasked"),
         (6, None, korean), (7, korean, None), (8, None, None), (9, latin, latin),
     ]
-    out = s.accepted(spark.createDataFrame(rows, "i int, body string, preview string"), "body", "preview", clean).collect()
+    out = s.accepted(spark.createDataFrame(rows, "i int, body string, preview string"), "body", "preview", lambda c: s.rated(clean(c))).collect()
     assert {r.i: r.method for r in out} == {1: "body", 2: "preview", 3: None, 4: "preview", 5: "body", 6: "preview", 7: "body", 8: None, 9: "body"}
 
 
